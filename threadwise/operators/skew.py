@@ -1,0 +1,42 @@
+"""Joins whose many side may hold a hot key."""
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+HOT_SHARE = 0.001
+HOT_MIN_ROWS = 1_000_000
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """Keys that hold more than `share` of all rows: never more than 1 / share of them, so safe to broadcast."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    return counts.filter((F.col("__n") >= min_rows) & (F.col("__n") > total * F.lit(share))).select(key)
+
+
+def skew_join(
+    left: DataFrame, right: DataFrame, key: str, how: str, spread: list[str],
+    salts: int = SALTS, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS,
+) -> DataFrame:
+    """Equi-join on `key` where the left side may be skewed.
+
+    Rows of hot keys are spread over `salts` sub-keys by a hash of the `spread` columns (which should tell
+    the rows of one key apart, and give the same salt when a lost task runs again); only the right rows of
+    those keys are copied. Rows with a NULL key match nothing and are spread too. `how` is inner, left,
+    left_semi or left_anti.
+    """
+    hot = F.broadcast(hot_keys(left, key, share, min_rows).withColumn("__hot", F.lit(True)))
+    salt: Column = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    is_hot = F.coalesce("__hot", F.lit(False))
+    salted = (
+        left.join(hot, key, "left")
+        .withColumn("__salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(F.lit(0)))
+        .drop("__hot")
+    )
+    all_salts, one_salt = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))
+    copied = (
+        right.join(hot, key, "left")
+        .withColumn("__salt", F.explode(F.when(is_hot, all_salts).otherwise(one_salt)))
+        .drop("__hot")
+    )
+    return salted.join(copied, [key, "__salt"], how).drop("__salt")
