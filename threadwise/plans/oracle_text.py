@@ -83,7 +83,7 @@ VERDICT_SQL = {
 _STATS = """
   select {key}count(*) as total_comments, count(case when responded then 1 end) as responded_comments,
          round(count(case when responded then 1 end) * 100 / cast(count(*) as double), 2) as response_rate,
-         count(distinct author) as unique_authors, round(avg(emotional_score), 2) as avg_emotional_score,
+         count(distinct author) as unique_authors, round(avg(emotional_score), 2) + 0.0 as avg_emotional_score,
          round(max(emotional_score), 2) as max_emotional_score, round(min(emotional_score), 2) as min_emotional_score,
          count(case when emotional_score > cast(0.5 as double) then 1 end) as positive,
          count(case when emotional_score >= cast(0.3 as double) and emotional_score <= cast(0.7 as double) then 1 end) as neutral,

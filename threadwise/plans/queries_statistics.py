@@ -78,9 +78,9 @@ def sample_comments(q):
 
 @query(["comments_ev"], """
 select comment_id,
-       cast(cast(round(spam_score * 100, 1) as decimal(6,1)) as varchar) || '%' as spam_display,
+       cast(cast(cast(cast(spam_score * 100 as varchar) as decimal(38,20)) as decimal(6,1)) as varchar) || '%' as spam_display,
        spam_score > cast(0.5 as double) as spam_alert,
-       cast(cast(round(toxicity_score * 100, 1) as decimal(6,1)) as varchar) || '%' as toxicity_display,
+       cast(cast(cast(cast(toxicity_score * 100 as varchar) as decimal(38,20)) as decimal(6,1)) as varchar) || '%' as toxicity_display,
        toxicity_score > cast(0.5 as double) as toxicity_alert
 from comments_ev""")
 def score_display(q):
@@ -169,7 +169,7 @@ def emotion_bands(q):
 
 
 @query(["comments_ev"], """
-select video_id, count(emotional_score) > 0 as has_scores, round(avg(emotional_score), 2) as avg_emotional_score,
+select video_id, count(emotional_score) > 0 as has_scores, round(avg(emotional_score), 2) + 0.0 as avg_emotional_score,
        round(max(emotional_score), 2) as max_emotional_score, round(min(emotional_score), 2) as min_emotional_score,
        count(case when emotional_score > cast(0.5 as double) then 1 end) as positive,
        count(case when emotional_score >= cast(0.3 as double) and emotional_score <= cast(0.7 as double) then 1 end) as neutral,
@@ -191,8 +191,8 @@ def engagement(q):
 @query(["comments_ev"], """
 with per_author as (
   select video_id, author, count(*) as comment_count,
-         round(coalesce(sum(emotional_score), 0) / count(*), 2) as avg_emotional_score,
-         round(avg(emotional_score), 2) as avg_scored,
+         round(coalesce(sum(emotional_score), 0) / count(*), 2) + 0.0 as avg_emotional_score,
+         round(avg(emotional_score), 2) + 0.0 as avg_scored,
          row_number() over (partition by video_id order by count(*) desc, author) as author_rank
   from comments_ev group by video_id, author),
 per_class as (

@@ -56,7 +56,7 @@ select comment_id, video_id, author, timestamp, likes, content_class, sentiment,
        emotional_score, toxicity_score, spam_score, is_spam, responded from comments_ev""")
 def scan_comments(q):
     """Writes nothing: the declared schema is applied at the scan of the stored table."""
-    return q("comments_ev").drop("reason", "updated_at")
+    return q("comments_ev").drop("text", "reason", "updated_at")
 
 
 THREAD_ROWS = """

@@ -45,7 +45,8 @@ def comment_stats(comments: DataFrame, overall: bool = True) -> DataFrame:
 
 def _ranked_array(df: DataFrame, rank: str, columns: list[str | Column], name: str) -> DataFrame:
     """The few ranked rows of each video as one array."""
-    rows = F.array_sort(F.collect_list(F.struct(rank, F.struct(*columns).alias("row"))))
+    ranked = F.collect_list(F.struct(rank, F.struct(*columns).alias("row")))
+    rows = F.array_sort(ranked, lambda a, b: (a[rank] - b[rank]).cast("int"))
     return df.groupBy("video_id").agg(F.transform(rows, lambda x: x["row"]).alias(name))
 
 

@@ -30,13 +30,13 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                cast(null as string) as thumbnail_url
         from nation join region on n_regionkey = r_regionkey"""),
     "comments_ev": (["events"], """
-        select comment_id, video_id, author, timestamp, likes, content_class, sentiment,
+        select comment_id, video_id, author, text, timestamp, likes, content_class, sentiment,
                content_class || ':' || sentiment as classification,
                mod_action, cast(null as string) as reason, emotional_score, toxicity_score, spam_score, is_spam, responded,
                cast(null as {ntz}) as updated_at
         from (
           select cast(event_id as string) as comment_id, concat('v', cast(event_id % 20 as string)) as video_id,
-                 concat('u', cast(user_id as string)) as author, ts as timestamp,
+                 concat('u', cast(user_id as string)) as author, props as text, ts as timestamp,
                  cast(floor(value) as bigint) as likes,
                  case event_type when 'error' then 'spam' when 'click' then 'questionable' when 'view' then 'toxic'
                                  when 'purchase' then 'safe' end as content_class,
@@ -111,7 +111,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "model_versions": (["events"], """
         select case when value < 20 then 'toxicity' else 'spam' end as model_type,
                concat('v', cast(event_id as string)) as version,
-               concat('{{"accuracy":', cast(value / 1000 as string), ',"total_samples":', cast(user_id as string), '}}') as metrics,
+               concat('{{"accuracy":', cast(cast(value / 1000 as decimal(10, 5)) as string), ',"total_samples":', cast(user_id as string), '}}') as metrics,
                '{{}}' as parameters, ts as created_at
         from events where event_type = 'signup' and ts < {ts} '2024-01-20 00:00:00'"""),
     "video_pages": (["pages"], """
@@ -162,7 +162,8 @@ class Tables:
         return scan_table(self.spark, self.path(table), TABLES[table])
 
     def stream(self, table: str) -> DataFrame:
-        return read_stream(self.spark, self.path(table), TABLES[table])
+        # A glob, because a table may be one file or a folder of files.
+        return read_stream(self.spark, f"{self.path(table)}*", TABLES[table])
 
     def __call__(self, name: str, streamed: str | None = None) -> DataFrame:
         """A view, with one of its tables read as a stream if asked."""

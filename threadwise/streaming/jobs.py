@@ -15,7 +15,7 @@ DAY_LATE, SHORT_LATE = "1 day", "10 minutes"
 
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stream of the parquet files of a folder, or of one file."""
+    """Stream of the parquet files of a folder or of a glob of files and folders."""
     return spark.readStream.schema(schema).parquet(path)
 
 
