@@ -37,13 +37,12 @@ EXCLAMATION, MAX_EXCLAMATIONS, QUESTION, MANY_QUESTIONS = 0.292, 4, 0.18, 0.96
 NORMAL = 15.0
 
 BROADCAST_WORDS = 200_000
-_EDGES = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 
 
 def _words(text: Column) -> Column:
     """Words without edge punctuation; two-character remains (emoticons) keep theirs."""
     def clean(word: Column) -> Column:
-        bare = F.regexp_replace(word, _EDGES, "")
+        bare = F.btrim(word, F.lit(P.ASCII_PUNCTUATION))
         return F.when(F.length(bare) <= 2, word).otherwise(bare)
 
     parts = F.filter(F.split(text, P.SPACES), lambda w: F.length(w) > 1)

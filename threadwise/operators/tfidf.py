@@ -6,29 +6,26 @@ from threadwise import constants as C
 from threadwise.functions import patterns as P
 
 
-def _term_runs(sorted_terms: Column) -> Column:
-    """Distinct terms of a sorted term list with their counts, without leaving the row."""
-    count = F.size(sorted_terms)
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1)))
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(count))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(
-        F.get(sorted_terms, a).alias("term"), (b - a).cast("bigint").alias("tf")))
-
-
-def term_frequencies(documents: DataFrame, key: str, text: str = "text",
-                     stop_words: list[str] = C.STOP_WORDS) -> DataFrame:
-    """Rows (key, term, tf) of terms of two or more word characters. Needs no shuffle."""
+def terms(text: Column, stop_words: list[str]) -> Column:
+    """Terms of two or more word characters, stop words left out."""
     found = F.regexp_extract_all(F.lower(text), F.lit(P.TERM), F.lit(0))
-    kept = F.filter(found, lambda t: ~t.isin(stop_words))
-    listed = documents.select(key, F.array_sort(kept).alias("__terms"))
-    runs = listed.select(key, F.explode(_term_runs(F.col("__terms"))).alias("t"))
-    return runs.select(key, "t.term", "t.tf")
+    return F.filter(found, lambda t: ~t.isin(stop_words))
 
 
-def vocabulary(frequencies: DataFrame, max_terms: int = C.MAX_TERMS, min_df: int = C.MIN_DOC_FREQ) -> DataFrame:
-    """The most frequent terms found in at least min_df documents: never more than max_terms rows."""
-    counts = frequencies.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+def vocabulary(documents: DataFrame, text: str = "text", stop_words: list[str] = C.STOP_WORDS,
+               max_terms: int = C.MAX_TERMS, min_df: int = C.MIN_DOC_FREQ) -> DataFrame:
+    """The most frequent terms found in at least min_df documents: never more than max_terms rows.
+
+    The terms of a document are sorted in its row and the first of equal ones is marked, so that document and
+    term counts come out of one aggregate on the term alone, combined before the shuffle.
+    """
+    listed = documents.select(F.sort_array(terms(F.col(text), stop_words)).alias("__terms"))
+    listing = F.col("__terms")
+    marked = F.transform(listing, lambda t, i: F.struct(
+        t.alias("term"), ((i == 0) | (F.get(listing, i - 1) != t)).alias("first")))
+    # The outer form, because the other one would copy the whole expression into a filter.
+    exploded = listed.select(F.explode_outer(marked).alias("t")).filter("t is not null")
+    counts = exploded.groupBy("t.term").agg(F.count_if("t.first").alias("df"), F.count("*").alias("total"))
     return counts.filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_terms).drop("total")
 
 
@@ -36,13 +33,14 @@ def tfidf(documents: DataFrame, key: str, text: str = "text", stop_words: list[s
           max_terms: int = C.MAX_TERMS, min_df: int = C.MIN_DOC_FREQ) -> DataFrame:
     """Smoothed, L2-normalised TF-IDF weights over the top terms.
 
-    The vocabulary is bounded by max_terms and broadcast; the only shuffle of rows brings the vocabulary
-    terms of a document together for its norm.
+    The vocabulary is bounded by max_terms and broadcast. Only its terms are shuffled, once, to their document,
+    where they are counted and the norm is taken.
     """
-    frequencies = term_frequencies(documents, key, text, stop_words)
-    terms = vocabulary(frequencies, max_terms, min_df)
+    known = vocabulary(documents, text, stop_words, max_terms, min_df)
     documents_total = documents.agg(F.count("*")).scalar()
     idf = F.log((documents_total + 1) / (F.col("df") + 1)) + 1
-    weighted = frequencies.join(F.broadcast(terms), "term").withColumn("__w", F.col("tf") * idf)
+    found = documents.select(key, F.explode(terms(F.col(text), stop_words)).alias("term"))
+    hits = found.join(F.broadcast(known), "term").repartition(key)
+    weighted = hits.groupBy(key, "term", "df").agg(F.count("*").alias("tf")).withColumn("__w", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", "tf", (F.col("__w") / norm).alias("weight"))

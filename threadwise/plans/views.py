@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadwise.sources.tables import scan_table
+from threadwise.sources.tables import scan_table, spread_small_scan
 from threadwise.streaming.jobs import read_stream
 
 DIALECTS = {
@@ -146,6 +146,7 @@ TABLES = {
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
     "pages": "page_id BIGINT, url STRING, html STRING",
 }
+LONG_TEXTS = {"documents", "conversations", "pages"}
 
 
 @dataclass(frozen=True)
@@ -159,7 +160,8 @@ class Tables:
         return f"{self.sf_dir}/{table}.parquet"
 
     def raw(self, table: str) -> DataFrame:
-        return scan_table(self.spark, self.path(table), TABLES[table])
+        df = scan_table(self.spark, self.path(table), TABLES[table])
+        return spread_small_scan(df) if table in LONG_TEXTS else df
 
     def stream(self, table: str) -> DataFrame:
         # A glob, because a table may be one file or a folder of files.
