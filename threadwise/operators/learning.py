@@ -25,6 +25,8 @@ from threadwise.operators.filters import since_days
 UNTRAINED, NO_DATA, TRAINED = "untrained", "no_data", "trained"
 # Depth is limited because trees are kept in memory of every task that scores.
 FOREST_DEPTH = 10
+# Statistics of more tree nodes per pass mean fewer passes over the labels.
+FOREST_MEMORY_MB = 1024
 TOXICITY_TERMS = 1 << 16
 
 
@@ -61,7 +63,7 @@ def train_spam(labels: DataFrame, text: str = "text", label: str = "is_spam", tr
         norm = Normalizer(inputCol="__weighted", outputCol="__features")
         forest = RandomForestClassifier(
             labelCol="__label", featuresCol="__features", weightCol="__weight", numTrees=trees, maxDepth=depth,
-            minInstancesPerNode=C.FOREST_MIN_LEAF, seed=C.FOREST_SEED,
+            minInstancesPerNode=C.FOREST_MIN_LEAF, seed=C.FOREST_SEED, maxMemoryInMB=FOREST_MEMORY_MB,
             rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction",
         )
         model = forest.fit(norm.transform(weighing.transform(counted)))

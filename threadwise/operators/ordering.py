@@ -1,7 +1,7 @@
 """Order-based operators: top-k, pages, row numbers and gaps within a video.
 
 A video may hold a large part of all comments, so no window runs over a whole video. Row numbers and gaps are
-computed inside (video, hour) slices and corrected with one summary row per slice.
+computed inside (video, hour) slices, hot ones split further, and corrected with one summary row per slice.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from threadwise import constants as C
 from threadwise.functions.times import hours_between
 
+SLICE = ["video_id", "__slice"]
+PART = [*SLICE, "__part"]
+HOT_SLICE_SHARE = 1 / 5000
+HOT_SLICE_ROWS = 1_000_000
+SLICE_CUTS = 128
+
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First k rows of each group. Spark cuts each group to k rows before the shuffle (window group limit)."""
@@ -28,24 +34,42 @@ def _hour_slice(time: str) -> Column:
     return F.coalesce(F.substring(F.col(time).cast("string"), 1, 13), F.lit(""))
 
 
+def _split_hot_slices(rows: DataFrame, time: str, tie: str) -> DataFrame:
+    """Add the part of each row in its slice: 0, or for a hot slice the number of cut points before the row.
+
+    Cut points are rows of the slice chosen by a hash of the tie column, so every evaluation finds the same ones
+    and even rows of one single time are split. Hot slices hold more than HOT_SLICE_SHARE of all rows each, so the
+    broadcast tables are bounded by 1 / HOT_SLICE_SHARE slices with about SLICE_CUTS points.
+    """
+    sizes = rows.groupBy(*SLICE).agg(F.count("*").alias("__size"))
+    total = sizes.agg(F.sum("__size")).scalar()
+    hot = sizes.filter((F.col("__size") >= HOT_SLICE_ROWS) & (F.col("__size") > total * F.lit(HOT_SLICE_SHARE)))
+    point = F.struct(F.col(time).alias("time"), F.col(tie).alias("tie"))
+    chosen = F.pmod(F.xxhash64(tie), F.col("__size")) < SLICE_CUTS
+    cuts = (
+        rows.select(*SLICE, time, tie).join(F.broadcast(hot), SLICE).filter(chosen)
+        .groupBy(*SLICE).agg(F.collect_list(point).alias("__cuts"))
+    )
+    part = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda cut: cut <= point)))
+    return rows.join(F.broadcast(cuts), SLICE, "left").withColumn("__part", part).drop("__cuts")
+
+
 def _sliced(df: DataFrame, time: str, tie: str) -> DataFrame:
     """Rows with their place in the slice, and of the slices before: the row count and the last time."""
-    rows = df.withColumn("__slice", _hour_slice(time))
-    slices = rows.groupBy("video_id", "__slice").agg(
-        F.count("*").alias("__rows"), F.max(time).alias("__last")
-    )
-    earlier = Window.partitionBy("video_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _split_hot_slices(df.withColumn("__slice", _hour_slice(time)), time, tie)
+    slices = rows.groupBy(*PART).agg(F.count("*").alias("__rows"), F.max(time).alias("__last"))
+    earlier = Window.partitionBy("video_id").orderBy("__slice", "__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        "video_id", "__slice",
+        *PART,
         F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
         F.max("__last").over(earlier).alias("__previous"),
     )
-    in_slice = Window.partitionBy("video_id", "__slice").orderBy(time, tie)
+    in_part = Window.partitionBy(*PART).orderBy(time, tie)
     placed = rows.withColumns({
-        "__place": F.row_number().over(in_slice),
-        "__lag": F.lag(time).over(in_slice),
+        "__place": F.row_number().over(in_part),
+        "__lag": F.lag(time).over(in_part),
     })
-    return placed.join(offsets, ["video_id", "__slice"])
+    return placed.join(offsets, PART)
 
 
 def row_number_per_video(df: DataFrame, name: str, time: str = "timestamp", tie: str = "comment_id") -> DataFrame:

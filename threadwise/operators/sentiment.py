@@ -49,6 +49,12 @@ def _words(text: Column) -> Column:
     return F.transform(parts, clean)
 
 
+def _described_words(text: Column) -> Column:
+    """Words as (word, low, caps)."""
+    return F.transform(_words(text), lambda w: F.struct(
+        w.alias("word"), F.lower(w).alias("low"), _is_upper(w).alias("caps")))
+
+
 def _is_upper(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
@@ -68,22 +74,23 @@ def _signed(valence: Column, amount: float) -> Column:
 
 
 def _in_context(df: DataFrame, modifiers: Column) -> DataFrame:
-    """Add the valence after capitals, then boosters and negations among the three words before, nearest first."""
+    """Add the valence after capitals, then boosters and negations among the three words before, nearest first.
+
+    Words outside the lexicon keep NULL, and nothing is computed for them.
+    """
     valence = F.col("valence")
     capitals = F.col("w.caps") & F.col("mixed_case")
     valued = df.withColumn("value", valence + F.when(capitals, _signed(valence, CAPITALS)).otherwise(0.0))
     value = F.col("value")
     for distance, factor in enumerate(DISTANCE_FACTORS, 1):
-        word = F.col(f"w.before{distance}")
-        low = F.lower(word)
+        low, caps = F.col(f"w.before{distance}.low"), F.col(f"w.before{distance}.caps")
         weight = F.when(low.isin(BOOSTERS), BOOST).when(low.isin(DAMPENERS), -BOOST)
-        loud = F.when(_is_upper(word) & F.col("mixed_case"), CAPITALS).otherwise(0.0)
+        loud = F.when(caps & F.col("mixed_case"), CAPITALS).otherwise(0.0)
         step = F.coalesce((weight + loud) * factor, F.lit(0.0))
         boosted = value + F.when(value < 0, -step).otherwise(step)
-        active = F.coalesce(~F.array_contains(modifiers, low), F.lit(False))
-        valued = valued.withColumn(
-            "value", F.when(~active, value).when(low.isin(NEGATIONS), boosted * NEGATE).otherwise(boosted)
-        )
+        applies = value.isNotNull() & low.isin(BOOSTERS + DAMPENERS + NEGATIONS) & ~F.array_contains(modifiers, low)
+        changed = F.when(low.isin(NEGATIONS), boosted * NEGATE).otherwise(boosted)
+        valued = valued.withColumn("value", F.when(applies, changed).otherwise(value))
     return valued
 
 
@@ -99,21 +106,21 @@ def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comme
     Each word carries its three predecessors, so the words of a comment need not be brought together in order;
     they are summed up where they are read, and one partial row per comment is shuffled.
     """
-    t = F.col(text)
-    listed = comments.select(F.col(key), t, _words(t).alias("words"))
-    upper_words = F.size(F.filter("words", _is_upper))
+    listed = comments.select(key, _marks(F.col(text)).alias("marks"), _described_words(F.col(text)).alias("words"))
+    words, count = F.col("words"), F.size("words")
+    upper_words = F.size(F.filter(words, lambda w: w["caps"]))
     described = listed.select(
-        key, "words", _marks(t).alias("marks"), F.size("words").alias("n"),
-        ((upper_words > 0) & (upper_words < F.size("words"))).alias("mixed_case"),
-        F.array_position(F.transform("words", F.lower), "but").alias("but"),
+        key, "marks", "words", ((upper_words > 0) & (upper_words < count)).alias("mixed_case"),
+        F.array_position("words.low", "but").alias("but"),
     )
 
     def in_place(word: Column, i: Column) -> Column:
-        before = [F.get("words", i - d).alias(f"before{d}") for d in (1, 2, 3)]
-        return F.struct((i + 1).alias("place"), F.lower(word).alias("word"), _is_upper(word).alias("caps"), *before)
+        before = [F.get(words, i - d).alias(f"before{d}") for d in (1, 2, 3)]
+        return F.struct((i + 1).alias("place"), word["low"].alias("word"), word["caps"].alias("caps"), *before)
 
+    # The outer form keeps comments without words, and does not copy the whole expression into a filter.
     placed = described.select(
-        key, "marks", "n", "mixed_case", "but", F.explode_outer(F.transform("words", in_place)).alias("w")
+        key, "marks", "mixed_case", "but", F.explode_outer(F.transform(words, in_place)).alias("w")
     ).withColumn("word", F.col("w.word"))
     modifiers = BOOSTERS + DAMPENERS + NEGATIONS
     known = lexicon.filter(F.col("word").isin(modifiers)).agg(F.collect_set("word")).scalar()
@@ -123,7 +130,7 @@ def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comme
     factor = F.when((but > 0) & (place < but), BEFORE_BUT).when((but > 0) & (place > but), AFTER_BUT).otherwise(1.0)
     value = F.coalesce(F.col("value") * factor, F.lit(0.0))
     sums = valued.groupBy(key).agg(
-        F.max("marks").alias("marks"), F.max("n").alias("n"), F.sum(value).alias("total"),
+        F.max("marks").alias("marks"), F.sum(value).alias("total"),
         F.sum(F.when(value > 0, value + 1).otherwise(0.0)).alias("up"),
         F.sum(F.when(value < 0, 1 - value).otherwise(0.0)).alias("down"),
         F.count_if((value == 0) & F.col("word").isNotNull()).alias("flat"),
@@ -131,7 +138,7 @@ def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comme
     marks, up, down, total = F.col("marks"), F.col("up"), F.col("down"), F.col("total")
     stressed = total + F.when(total > 0, marks).when(total < 0, -marks).otherwise(0.0)
     summed = sums.select(
-        key, "flat", "n", stressed.alias("total"),
+        key, "flat", stressed.alias("total"),
         (up + F.when(up > down, marks).otherwise(0.0)).alias("up"),
         (down + F.when(down > up, marks).otherwise(0.0)).alias("down"),
     )

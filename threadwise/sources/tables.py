@@ -1,6 +1,6 @@
 """Stored tables: declared-schema scans, appends and partition replacement."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadwise import constants as C
 from threadwise.operators.ordering import top_per_group
@@ -30,6 +30,20 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def store_by_day(comments: DataFrame, path: str, time: str = "timestamp") -> None:
+    """Append comments under one folder per day, so that a filter on `day` skips whole folders.
+
+    Each task writes the days it holds; a day is not gathered in one task, as one day may hold most rows.
+    """
+    comments.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def scan_since(spark: SparkSession, path: str, schema: str, start: Column, time: str = "timestamp") -> DataFrame:
+    """Comments stored by day from a point in time on; earlier days are not read."""
+    stored = scan_table(spark, path, f"{schema}, day DATE")
+    return stored.filter((F.col("day") >= F.to_date(start)) & (F.col(time) >= start)).drop("day")
+
+
 def table_columns(df: DataFrame) -> list[tuple[str, str]]:
     """Column names and types of a table."""
     return [(field.name, field.dataType.simpleString()) for field in df.schema.fields]

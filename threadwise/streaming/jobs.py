@@ -12,6 +12,7 @@ from threadwise import constants as C
 from threadwise.operators.feedback import labels_from, retrain_due, updates_from
 
 DAY_LATE, SHORT_LATE = "1 day", "10 minutes"
+LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -52,9 +53,17 @@ def _finish(query: StreamingQuery, out: str) -> str:
     return out
 
 
-def ingest(comments: DataFrame, late: str = DAY_LATE) -> DataFrame:
-    """First row of each comment id; copies within the watermark are dropped."""
-    return event_time(comments).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["comment_id"])
+def ingest(comments: DataFrame, late: str = DAY_LATE, salts: int = 8) -> DataFrame:
+    """First row of each comment id; copies within the watermark are dropped.
+
+    A comment may arrive in very many copies, so they are first dropped per id and group of input partitions
+    (`salts` groups; 0 leaves this step out), and only the few left meet under their id.
+    """
+    marked = event_time(comments).withWatermark("timestamp", late)
+    if salts:
+        salted = marked.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        marked = salted.dropDuplicatesWithinWatermark(["comment_id", "__salt"]).drop("__salt")
+    return marked.dropDuplicatesWithinWatermark(["comment_id"])
 
 
 def daily_trends(comments: DataFrame, late: str = DAY_LATE) -> DataFrame:
@@ -66,7 +75,11 @@ def daily_trends(comments: DataFrame, late: str = DAY_LATE) -> DataFrame:
 
 
 def sessions(comments: DataFrame, gap: str = "30 minutes", late: str = SHORT_LATE) -> DataFrame:
-    """Closed bursts of comments per video: no gap inside a burst reaches `gap`."""
+    """Closed bursts of comments per video: no gap inside a burst reaches `gap`.
+
+    Comments are merged to partial sessions before the shuffle, for videos with very many comments.
+    """
+    comments.sparkSession.conf.set(LOCAL_SESSIONS, "true")
     bursts = event_time(comments).withWatermark("timestamp", late).groupBy("video_id", F.session_window("timestamp", gap))
     return bursts.agg(F.count("*").alias("n")).select(
         "video_id", F.col("session_window.start").alias("session_start"),
