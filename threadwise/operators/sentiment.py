@@ -5,7 +5,6 @@ The lexicon is a table (word, valence). Idioms and multi-word special cases are
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadwise import constants as C
 from threadwise.functions import patterns as P
 
 # Words that strengthen or weaken the next sentiment word.
