@@ -94,9 +94,10 @@ def test_registry_and_history(table):
 
 def test_holdout_is_stable_and_disjoint(spark):
     df = spark.range(2000).select(F.col("id").cast("string").alias("comment_id"))
-    train, held = L.holdout_split(df)
-    assert train.count() + held.count() == 2000 and 300 < held.count() < 500
-    assert train.join(held, "comment_id").count() == 0
+    split = L.with_split(df)
+    assert rows(split) == rows(L.with_split(df.repartition(7)))
+    held = split.filter("split = 'holdout'").count()
+    assert 300 < held < 500 and split.filter("split = 'training'").count() == 2000 - held
 
 
 def test_user_scorer_loads_once_per_task(table):
@@ -152,6 +153,14 @@ def test_lexicon_sentiment(table):
     assert got[""]["neu"] == 0.0
 
 
+def test_large_lexicon_is_not_broadcast(table, monkeypatch):
+    df = table("comment_id STRING, text STRING", [(str(i), f"very good but bad day {i}") for i in range(20)])
+    lexicon = table("word STRING, valence DOUBLE", LEXICON)
+    small = rows(sentiment.lexicon_sentiment(df, lexicon))
+    monkeypatch.setattr(sentiment, "BROADCAST_WORDS", 1)
+    assert rows(sentiment.lexicon_sentiment(df, lexicon)) == small
+
+
 def test_label_lexicon(table):
     df = table("comment_id STRING, text STRING, good BOOLEAN", [(str(i), "fine words", i < 3) for i in range(4)])
     got = rows(sentiment.label_lexicon(df, "good", min_documents=4))

@@ -5,6 +5,7 @@ functions are not covered by Spark's common-subexpression elimination, and Spark
 when its costly columns are used more than once.
 """
 
+import re
 from functools import reduce
 from operator import add
 
@@ -67,9 +68,33 @@ def contains_any(low: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
 
 
+def lexicon_pattern(lexicon: list[str]) -> str:
+    """Pattern that captures, at every place of a text, the longest lexicon entry starting there.
+
+    The look-ahead takes no characters, so overlapping entries are all found. Entries are grouped by first
+    character, which rules out most places at once.
+    """
+    groups: dict[str, list[str]] = {}
+    for entry in sorted(lexicon, key=len, reverse=True):
+        groups.setdefault(entry[0], []).append(re.escape(entry[1:]))
+    firsts = "".join(re.escape(first) for first in groups)
+    branches = "|".join(f"{re.escape(first)}(?:{'|'.join(rests)})" for first, rests in groups.items())
+    return f"(?=[{firsts}])(?=({branches}))"
+
+
 def lexicon_hits(low: Column, lexicon: list[str]) -> Column:
-    """Number of lexicon entries found anywhere in the text."""
-    return reduce(add, [low.contains(entry).cast("int") for entry in lexicon]).cast("bigint")
+    """Number of lexicon entries found anywhere in the text, in one pass over it.
+
+    An entry hidden behind a longer one with the same beginning is counted with that one.
+    """
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(lexicon_pattern(lexicon)), F.lit(1)))
+    longer = {e: [x for x in lexicon if x != e and x.startswith(e)] for e in lexicon}
+    hidden = [
+        F.when(F.arrays_overlap(found, F.array(*[F.lit(x) for x in others])), F.array(F.lit(entry)))
+        .otherwise(F.array().cast("array<string>"))
+        for entry, others in longer.items() if others
+    ]
+    return F.size(F.array_distinct(F.concat(found, *hidden))).cast("bigint")
 
 
 def exact_hits(word_list: Column, lexicon: list[str]) -> Column:

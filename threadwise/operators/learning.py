@@ -103,14 +103,15 @@ def accuracy(predictions: DataFrame, label: str = "is_spam", prediction: str = "
     )
 
 
-def classification_scores(predictions: DataFrame, label: str = "is_spam", prediction: str = "prediction") -> DataFrame:
-    """Confusion counts with accuracy, precision, recall and F1."""
+def classification_scores(predictions: DataFrame, label: str = "is_spam", prediction: str = "prediction",
+                          by: list[str] | None = None) -> DataFrame:
+    """Confusion counts with accuracy, precision, recall and F1, over all predictions or per `by`."""
     y, p = F.col(label), F.col(prediction)
-    counts = predictions.filter(y.isNotNull()).agg(
+    counts = predictions.filter(y.isNotNull()).groupBy(*(by or [])).agg(
         F.count_if(y & p).alias("true_positive"), F.count_if(~y & p).alias("false_positive"),
         F.count_if(y & ~p).alias("false_negative"), F.count_if(~y & ~p).alias("true_negative"),
     )
-    tp, fp, fn, tn = (F.col(c) for c in counts.columns)
+    tp, fp, fn, tn = (F.col(c) for c in counts.columns[-4:])
     return counts.withColumns({
         "accuracy": F.try_divide(tp + tn, tp + fp + fn + tn),
         "precision": F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)),
@@ -137,10 +138,10 @@ def spam_metrics(predictions: DataFrame, versions: DataFrame, by: list[str] | No
     ).drop("__right")
 
 
-def holdout_split(labels: DataFrame, key: str = "comment_id", share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Training and hold-out rows, split by a hash of the key: the same rows on every run."""
+def with_split(labels: DataFrame, key: str = "comment_id", share: float = 0.2) -> DataFrame:
+    """Add split = training or holdout, by a hash of the key: the same on every run."""
     held = F.pmod(F.xxhash64(key), F.lit(1000)) < int(share * 1000)
-    return labels.filter(~held), labels.filter(held)
+    return labels.withColumn("split", F.when(held, "holdout").otherwise("training"))
 
 
 def register_version(metrics: DataFrame, model_type: str, version: Column, created_at: Column,

@@ -6,6 +6,7 @@ The lexicon is a table (word, valence). Idioms and multi-word special cases are
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadwise.functions import patterns as P
+from threadwise.operators.skew import skew_join
 
 # Words that strengthen or weaken the next sentiment word.
 BOOSTERS = [
@@ -28,6 +29,7 @@ NEGATIONS = [
     "wasnt", "werent", "oughtn't", "shan't", "shouldn't", "uh-uh", "wasn't", "weren't", "without", "wont",
     "wouldnt", "won't", "wouldn't", "rarely", "seldom", "despite",
 ]
+MODIFIERS = BOOSTERS + DAMPENERS + NEGATIONS
 # Published weights.
 BOOST, CAPITALS, NEGATE = 0.293, 0.733, -0.74
 DISTANCE_FACTORS = [1.0, 0.95, 0.9]
@@ -49,9 +51,12 @@ def _words(text: Column) -> Column:
 
 
 def _described_words(text: Column) -> Column:
-    """Words as (word, low, caps)."""
-    return F.transform(_words(text), lambda w: F.struct(
-        w.alias("word"), F.lower(w).alias("low"), _is_upper(w).alias("caps")))
+    """Words as (low, caps, modifier); modifier is NULL for most words, which keeps their neighbours small."""
+    def describe(word: Column) -> Column:
+        low = F.lower(word)
+        return F.struct(low.alias("low"), _is_upper(word).alias("caps"), F.when(low.isin(MODIFIERS), low).alias("modifier"))
+
+    return F.transform(_words(text), describe)
 
 
 def _is_upper(word: Column) -> Column:
@@ -72,31 +77,34 @@ def _signed(valence: Column, amount: float) -> Column:
     return F.when(valence > 0, amount).when(valence < 0, -amount).otherwise(0.0)
 
 
-def _in_context(df: DataFrame, modifiers: Column) -> DataFrame:
+def _in_context(df: DataFrame, known: Column) -> DataFrame:
     """Add the valence after capitals, then boosters and negations among the three words before, nearest first.
 
-    Words outside the lexicon keep NULL, and nothing is computed for them.
+    Words outside the lexicon keep NULL, and nothing is computed for them. `known` lists the modifiers that are
+    lexicon words themselves; these do not modify others.
     """
     valence = F.col("valence")
     capitals = F.col("w.caps") & F.col("mixed_case")
     valued = df.withColumn("value", valence + F.when(capitals, _signed(valence, CAPITALS)).otherwise(0.0))
     value = F.col("value")
     for distance, factor in enumerate(DISTANCE_FACTORS, 1):
-        low, caps = F.col(f"w.before{distance}.low"), F.col(f"w.before{distance}.caps")
+        low, caps = F.col(f"w.before{distance}.modifier"), F.col(f"w.before{distance}.caps")
         weight = F.when(low.isin(BOOSTERS), BOOST).when(low.isin(DAMPENERS), -BOOST)
         loud = F.when(caps & F.col("mixed_case"), CAPITALS).otherwise(0.0)
         step = F.coalesce((weight + loud) * factor, F.lit(0.0))
         boosted = value + F.when(value < 0, -step).otherwise(step)
-        applies = value.isNotNull() & low.isin(BOOSTERS + DAMPENERS + NEGATIONS) & ~F.array_contains(modifiers, low)
+        applies = value.isNotNull() & low.isNotNull() & ~F.array_contains(known, low)
         changed = F.when(low.isin(NEGATIONS), boosted * NEGATE).otherwise(boosted)
         valued = valued.withColumn("value", F.when(applies, changed).otherwise(value))
     return valued
 
 
-def _small(lexicon: DataFrame) -> DataFrame:
-    """Broadcast a lexicon after counting it; a larger one is left to the planner."""
+def _with_valence(placed: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
+    """Words with their valence: by broadcast after counting the lexicon, or with frequent words spread."""
     rows = lexicon.limit(BROADCAST_WORDS + 1).count()
-    return F.broadcast(lexicon) if rows <= BROADCAST_WORDS else lexicon
+    if rows <= BROADCAST_WORDS:
+        return placed.join(F.broadcast(lexicon), "word", "left")
+    return skew_join(placed, lexicon, "word", "left", [key, "w"])
 
 
 def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comment_id", text: str = "text") -> DataFrame:
@@ -114,17 +122,20 @@ def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comme
     )
 
     def in_place(word: Column, i: Column) -> Column:
-        before = [F.get(words, i - d).alias(f"before{d}") for d in (1, 2, 3)]
-        return F.struct((i + 1).alias("place"), word["low"].alias("word"), word["caps"].alias("caps"), *before)
+        def before(distance: int) -> Column:
+            other = F.get(words, i - distance)
+            return F.struct(other["modifier"].alias("modifier"), other["caps"].alias("caps")).alias(f"before{distance}")
+
+        return F.struct((i + 1).alias("place"), word["low"].alias("word"), word["caps"].alias("caps"),
+                        before(1), before(2), before(3))
 
     # The outer form keeps comments without words, and does not copy the whole expression into a filter.
     placed = described.select(
         key, "marks", "mixed_case", "but", F.explode_outer(F.transform(words, in_place)).alias("w")
     ).withColumn("word", F.col("w.word"))
-    modifiers = BOOSTERS + DAMPENERS + NEGATIONS
-    known = lexicon.filter(F.col("word").isin(modifiers)).agg(F.collect_set("word")).scalar()
+    known = lexicon.filter(F.col("word").isin(MODIFIERS)).agg(F.collect_set("word")).scalar()
     own = lexicon.filter(~F.col("word").isin(BOOSTERS + DAMPENERS)).select("word", "valence")
-    valued = _in_context(placed.join(_small(own), "word", "left"), known)
+    valued = _in_context(_with_valence(placed, own, key), known)
     place, but = F.col("w.place"), F.col("but")
     factor = F.when((but > 0) & (place < but), BEFORE_BUT).when((but > 0) & (place > but), AFTER_BUT).otherwise(1.0)
     value = F.coalesce(F.col("value") * factor, F.lit(0.0))

@@ -60,14 +60,10 @@ def class_weights(q):
 @query()
 def train_spam(q):
     """Training and hold-out scores of a model that has not seen the hold-out labels."""
-    training, held = learning.holdout_split(_labels(q))
-    model = learning.train_spam(training)
-
-    def scores(df, split):
-        predicted = learning.spam_probability(df, model).withColumn("prediction", F.col("p") > 0.5)
-        return learning.classification_scores(predicted).withColumn("split", F.lit(split))
-
-    return scores(training, "training").unionByName(scores(held, "holdout"))
+    labels = learning.with_split(_labels(q))
+    model = learning.train_spam(labels.filter("split = 'training'"))
+    predicted = learning.spam_probability(labels, model).withColumn("prediction", F.col("p") > 0.5)
+    return learning.classification_scores(predicted, by=["split"])
 
 
 @query()

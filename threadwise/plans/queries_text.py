@@ -7,6 +7,7 @@ from threadwise.operators import moderation, ordering, sentiment
 from threadwise.operators.filters import unclassified
 from threadwise.plans import analyze, video_stats
 from threadwise.plans.catalog import query
+from threadwise.session import checkpointed
 from threadwise.plans.oracle_text import FEATURES_SQL, INDICATORS_SQL, RATIO_SQL, SPACE, VERDICT_SQL, WHITELIST_SQL, sql_list
 
 
@@ -202,8 +203,9 @@ SENTIMENT_SQL = SENTIMENT_SQL.replace("chr(33), chr(32)[1:0]", "'!', ''").replac
 
 
 def _label_lexicon(q):
+    """A small lexicon learnt from the labels, stored because the job reads it several times."""
     judged = q("comments_doc").filter("is_spam is not null").withColumn("good", ~F.col("is_spam"))
-    return sentiment.label_lexicon(judged, "good")
+    return checkpointed(sentiment.label_lexicon(judged, "good"))
 
 
 @query(["comments_doc"], f"""
