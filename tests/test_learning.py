@@ -44,6 +44,13 @@ def test_training_separates_and_survives_a_round_trip(spark, table, model):
     assert len(top) == 5 and set(top) <= {"win", "bitcoin", "prize", "money", "offer", "lovely", "music", "piano", "concert", "recording"}
 
 
+def test_numeric_columns_beside_the_terms(spark, table):
+    df = labels(table).withColumn("marks", F.when(F.col("is_spam"), 5.0).otherwise(0.0))
+    model = L.train_spam(df, trees=5, depth=3, numeric=["marks"])
+    assert "marks" in [r["term"] for r in L.feature_importance(spark, model, 10).collect()]
+    assert L.score_spam(df, model).filter("is_spam").count() == 12
+
+
 def test_no_labels_and_no_model(table):
     assert L.train_spam(table(LABELS, [])) is None
     new = table("comment_id STRING, text STRING", [("a", "a long enough text without any phrase")])

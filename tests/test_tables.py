@@ -93,6 +93,17 @@ def test_partition_replacement_and_scan(spark, table):
     assert ("video_id", "string") in tables.table_columns(df)
 
 
+def test_update_rewrites_only_touched_partitions(spark, table):
+    folder = scratch_dir(spark, "update") + "/t"
+    df = table(KEYED, [("a", "v", 1), ("b", "v", 2), ("c", "w", 3)])
+    df.coalesce(1).write.partitionBy("video_id").parquet(folder)
+    files = lambda: {r[0] for r in spark.read.parquet(folder).select(F.input_file_name()).distinct().collect()}
+    before = files()
+    tables.update_stored(spark, folder, KEYED, table("comment_id STRING, likes BIGINT", [("a", 9), ("zz", 1)]), "comment_id", "video_id")
+    assert rows(tables.scan_table(spark, folder, KEYED), "comment_id", "video_id", "likes") == [("a", "v", 9), ("b", "v", 2), ("c", "w", 3)]
+    assert [f for f in before & files() if "video_id=w" in f] and not [f for f in before & files() if "video_id=v" in f]
+
+
 def test_day_folders_are_pruned(spark, table):
     folder = scratch_dir(spark, "days")
     ddl = "comment_id STRING, timestamp TIMESTAMP_NTZ"

@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     IDF, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover,
+    VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -43,13 +44,15 @@ def _tokenizer(text: str) -> list:
 
 
 def train_spam(labels: DataFrame, text: str = "text", label: str = "is_spam", trees: int = C.FOREST_TREES,
-               depth: int = FOREST_DEPTH) -> PipelineModel | None:
+               depth: int = FOREST_DEPTH, numeric: list[str] | None = None) -> PipelineModel | None:
     """Fit TF-IDF and a balanced random forest on all labels; None without labels.
 
-    The vocabulary comes from CountVectorizer; an element-wise product applies ln((1+n)/(1+df)) + 1.
+    The vocabulary comes from CountVectorizer; an element-wise product applies ln((1+n)/(1+df)) + 1. `numeric`
+    names columns, such as the text features, to be used beside the terms; scored tables need them as well.
     """
+    numeric = numeric or []
     weights = F.broadcast(class_weights(labels, label).select(label, F.col("weight").alias("__weight")))
-    rows = labels.select(text, label).join(weights, label).withColumn("__label", F.col(label).cast("double"))
+    rows = labels.select(text, label, *numeric).join(weights, label).withColumn("__label", F.col(label).cast("double"))
     tokenized = PipelineModel(_tokenizer(text)).transform(rows).drop("__all_terms")
     tokenized = tokenized.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -60,14 +63,15 @@ def train_spam(labels: DataFrame, text: str = "text", label: str = "is_spam", tr
         counted = counting.transform(tokenized)
         idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray() + 1.0
         weighing = ElementwiseProduct(inputCol="__tf", outputCol="__weighted", scalingVec=Vectors.dense(idf))
-        norm = Normalizer(inputCol="__weighted", outputCol="__features")
+        norm = Normalizer(inputCol="__weighted", outputCol="__normed")
+        join = VectorAssembler(inputCols=["__normed", *numeric], outputCol="__features")
         forest = RandomForestClassifier(
             labelCol="__label", featuresCol="__features", weightCol="__weight", numTrees=trees, maxDepth=depth,
             minInstancesPerNode=C.FOREST_MIN_LEAF, seed=C.FOREST_SEED, maxMemoryInMB=FOREST_MEMORY_MB,
             rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction",
         )
-        model = forest.fit(norm.transform(weighing.transform(counted)))
-        return PipelineModel([*_tokenizer(text), counting, weighing, norm, model])
+        model = forest.fit(join.transform(norm.transform(weighing.transform(counted))))
+        return PipelineModel([*_tokenizer(text), counting, weighing, norm, join, model])
     finally:
         tokenized.unpersist()
 
@@ -87,9 +91,10 @@ def score_spam(df: DataFrame, model: PipelineModel | None, text: str = "text") -
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel, k: int = C.TOP_FEATURES_MODEL) -> DataFrame:
-    """The k terms of highest importance. A vocabulary has at most MAX_TERMS terms."""
-    counting, forest = model.stages[2], model.stages[-1]
-    rows = zip(counting.vocabulary, map(float, forest.featureImportances.toArray()))
+    """The k terms (or numeric columns) of highest importance. A vocabulary has at most MAX_TERMS terms."""
+    counting, join, forest = model.stages[2], model.stages[-2], model.stages[-1]
+    names = [*counting.vocabulary, *join.getInputCols()[1:]]
+    rows = zip(names, map(float, forest.featureImportances.toArray()))
     ranked = spark.createDataFrame(list(rows), "term STRING, importance DOUBLE")
     return ranked.orderBy(F.desc("importance"), "term").limit(k)
 

@@ -168,15 +168,12 @@ with {UPDATES}
 select c.comment_id, c.video_id, coalesce(l.is_spam, c.is_spam) as is_spam
 from comments_ev c left join last_label l on c.comment_id = l.comment_id""")
 def stored_updates(q):
-    """Updates written back by partition: only the videos with an update are rewritten."""
-    folder = scratch_dir(q.spark, "tables") + "/comments"
-    comments = q("comments_ev").select("comment_id", "video_id", "is_spam")
-    comments.write.partitionBy("video_id").parquet(folder)
+    """Updates written back to the stored table: only the videos with an update are rewritten."""
+    folder, schema = scratch_dir(q.spark, "tables") + "/comments", "comment_id STRING, video_id STRING, is_spam BOOLEAN"
+    q("comments_ev").select("comment_id", "video_id", "is_spam").write.partitionBy("video_id").parquet(folder)
     updates = feedback.updates_from(q("label_requests").filter("is_spam is not null")).select("comment_id", "is_spam")
-    touched = comments.join(updates, "comment_id", "left_semi").select("video_id").distinct()
-    changed = merge.apply_updates(comments.join(touched, "video_id", "left_semi"), updates, "comment_id")
-    tables.replace_partitions(changed, folder, "video_id")
-    return tables.scan_table(q.spark, folder, "comment_id STRING, video_id STRING, is_spam BOOLEAN")
+    tables.update_stored(q.spark, folder, schema, updates, "comment_id", "video_id")
+    return tables.scan_table(q.spark, folder, schema)
 
 
 def _lines(number: int, section: str, scalars: list[str], first_line: int = 0) -> str:

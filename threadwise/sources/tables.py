@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadwise import constants as C
+from threadwise.operators.merge import apply_updates
 from threadwise.operators.ordering import top_per_group
+from threadwise.session import scratch_dir
 
 
 def scan_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -30,6 +32,19 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def update_stored(spark: SparkSession, path: str, schema: str, updates: DataFrame, key: str, by: str) -> None:
+    """Apply updates to a table stored in partitions, rewriting only the partitions that hold an updated row.
+
+    The new rows are first written to the scratch folder: the table is never replaced by a plan that reads it.
+    """
+    stored = scan_table(spark, path, schema)
+    touched = stored.join(updates.select(key), key, "left_semi").select(by).distinct()
+    changed = apply_updates(stored.join(touched, by, "left_semi"), updates, key)
+    staged = scratch_dir(spark, "update")
+    changed.write.mode("overwrite").parquet(staged)
+    replace_partitions(scan_table(spark, staged, schema), path, by)
+
+
 def store_by_day(comments: DataFrame, path: str, time: str = "timestamp") -> None:
     """Append comments under one folder per day, so that a filter on `day` skips whole folders.
 
