@@ -145,13 +145,19 @@ def test_batches_keep_rows_without_time(spark):
     assert len({(r["video_id"], r["batch_no"], r["comment_no"]) for r in batches}) == 1000
 
 
-def test_pages(spark):
+def test_pages(spark, monkeypatch):
     df = big(spark).filter("timestamp is not null")
     newest = sorted((r for r in df.collect() if r["video_id"] == "hot"), key=lambda r: r["comment_id"])
     newest.sort(key=lambda r: r["timestamp"], reverse=True)
     page = [r for r in ordering.comments_page(df, 3, 20).collect() if r["video_id"] == "hot"]
     assert {r["comment_id"] for r in page} == {r["comment_id"] for r in newest[40:60]}
     assert page[0]["total"] == len(newest) and page[0]["total_pages"] == -(-len(newest) // 20)
+    deep = [r for r in ordering.comments_page(df, 30, 50).collect() if r["video_id"] == "hot"]
+    assert {r["comment_id"] for r in deep} == {r["comment_id"] for r in newest[1450:1500]}
+    monkeypatch.setattr(ordering, "HOT_SLICE_ROWS", 50)
+    monkeypatch.setattr(ordering, "HOT_SLICE_SHARE", 0.001)
+    split = ordering.comments_page(df, 30, 50)
+    assert {r["comment_id"] for r in split.collect() if r["video_id"] == "hot"} == {r["comment_id"] for r in deep}
     last = newest[39]
     after = ordering.comments_after(df, "hot", F.lit(last["timestamp"]), F.lit(last["comment_id"]), 20)
     assert [r["comment_id"] for r in after.collect()] == [r["comment_id"] for r in newest[40:60]]

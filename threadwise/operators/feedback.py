@@ -49,9 +49,8 @@ def request_outcomes(requests: DataFrame, comments: DataFrame) -> DataFrame:
     )
 
 
-def labels_from(accepted: DataFrame, comments: DataFrame, confidence: float = 1.0) -> DataFrame:
-    """Label log rows of accepted requests; trained_at stays NULL until a training run stamps it."""
-    found = label_lookup(accepted, comments, ["text"])
+def labels_from(found: DataFrame, confidence: float = 1.0) -> DataFrame:
+    """Label log rows of requests joined to their texts; trained_at stays NULL until a training run stamps it."""
     return found.select(
         "comment_id", "text", "is_spam", F.lit(confidence).alias("confidence"),
         F.col("requested_at").alias("labeled_at"), F.lit(None).cast("timestamp_ntz").alias("trained_at"),
@@ -72,7 +71,7 @@ def mark_spam(requests: DataFrame, comments: DataFrame, confidence: float = 1.0)
     outcomes = request_outcomes(requests, comments)
     valid = requests.filter("is_spam is not null")
     updated = apply_updates(comments, updates_from(valid), "comment_id")
-    return Marked(outcomes, labels_from(valid, comments, confidence), updated)
+    return Marked(outcomes, labels_from(label_lookup(valid, comments, ["text"]), confidence), updated)
 
 
 def mark_spam_bulk(requests: DataFrame, comments: DataFrame, confidence: float = 1.0) -> Marked:
@@ -95,7 +94,7 @@ def mark_spam_bulk(requests: DataFrame, comments: DataFrame, confidence: float =
     complete = outcomes.filter("status = 'success'").select("request_id", "is_spam")
     accepted = asked.join(complete, ["request_id", "is_spam"], "left_semi")
     updated = apply_updates(comments, updates_from(accepted), "comment_id")
-    return Marked(outcomes, labels_from(accepted, comments, confidence), updated)
+    return Marked(outcomes, labels_from(label_lookup(accepted, comments, ["text"]), confidence), updated)
 
 
 def newer_than_model(labels: DataFrame, versions: DataFrame, model_type: str = "spam") -> DataFrame:

@@ -14,6 +14,8 @@ PART = [*SLICE, "__part"]
 HOT_SLICE_SHARE = 1 / 5000
 HOT_SLICE_ROWS = 1_000_000
 SLICE_CUTS = 128
+# Spark's default for cutting groups before a window; larger ranks would sort a whole video in one task.
+GROUP_LIMIT = 1000
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -34,8 +36,8 @@ def _hour_slice(time: str) -> Column:
     return F.coalesce(F.substring(F.col(time).cast("string"), 1, 13), F.lit(""))
 
 
-def _split_hot_slices(rows: DataFrame, time: str, tie: str) -> DataFrame:
-    """Add the part of each row in its slice: 0, or for a hot slice the number of cut points before the row.
+def _split_hot_slices(rows: DataFrame, time: str, tie: str, tie_down: bool = False) -> DataFrame:
+    """Add the part of each row in its slice: 0, or for a hot slice the number of cut points up to the row.
 
     Cut points are rows of the slice chosen by a hash of the tie column, so every evaluation finds the same ones
     and even rows of one single time are split. Hot slices hold more than HOT_SLICE_SHARE of all rows each, so the
@@ -50,13 +52,18 @@ def _split_hot_slices(rows: DataFrame, time: str, tie: str) -> DataFrame:
         rows.select(*SLICE, time, tie).join(F.broadcast(hot), SLICE).filter(chosen)
         .groupBy(*SLICE).agg(F.collect_list(point).alias("__cuts"))
     )
-    part = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda cut: cut <= point)))
+
+    def up_to_row(cut: Column) -> Column:
+        tied = cut["tie"] >= F.col(tie) if tie_down else cut["tie"] <= F.col(tie)
+        return F.coalesce(cut["time"] < F.col(time), F.lit(False)) | (cut["time"].eqNullSafe(F.col(time)) & tied)
+
+    part = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", up_to_row)))
     return rows.join(F.broadcast(cuts), SLICE, "left").withColumn("__part", part).drop("__cuts")
 
 
-def _sliced(df: DataFrame, time: str, tie: str) -> DataFrame:
+def _sliced(df: DataFrame, time: str, tie: str, tie_down: bool = False) -> DataFrame:
     """Rows with their place in the slice, and of the slices before: the row count and the last time."""
-    rows = _split_hot_slices(df.withColumn("__slice", _hour_slice(time)), time, tie)
+    rows = _split_hot_slices(df.withColumn("__slice", _hour_slice(time)), time, tie, tie_down)
     slices = rows.groupBy(*PART).agg(F.count("*").alias("__rows"), F.max(time).alias("__last"))
     earlier = Window.partitionBy("video_id").orderBy("__slice", "__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
@@ -64,7 +71,7 @@ def _sliced(df: DataFrame, time: str, tie: str) -> DataFrame:
         F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
         F.max("__last").over(earlier).alias("__previous"),
     )
-    in_part = Window.partitionBy(*PART).orderBy(time, tie)
+    in_part = Window.partitionBy(*PART).orderBy(time, F.desc(tie) if tie_down else F.asc(tie))
     placed = rows.withColumns({
         "__place": F.row_number().over(in_part),
         "__lag": F.lag(time).over(in_part),
@@ -72,9 +79,10 @@ def _sliced(df: DataFrame, time: str, tie: str) -> DataFrame:
     return placed.join(offsets, PART)
 
 
-def row_number_per_video(df: DataFrame, name: str, time: str = "timestamp", tie: str = "comment_id") -> DataFrame:
-    """Number the comments of each video from 1 in time order."""
-    placed = _sliced(df, time, tie).withColumn(name, (F.col("__before") + F.col("__place")).cast("bigint"))
+def row_number_per_video(df: DataFrame, name: str, time: str = "timestamp", tie: str = "comment_id",
+                         tie_down: bool = False) -> DataFrame:
+    """Number the comments of each video from 1 in time order, equal times by the tie column."""
+    placed = _sliced(df, time, tie, tie_down).withColumn(name, (F.col("__before") + F.col("__place")).cast("bigint"))
     return placed.select(*df.columns, name)
 
 
@@ -86,12 +94,19 @@ def comment_gaps(df: DataFrame, time: str = "timestamp", tie: str = "comment_id"
 
 
 def comments_page(comments: DataFrame, page: int = 1, per_page: int = C.PAGE_SIZE) -> DataFrame:
-    """One page of every video, newest first, with the video's total and number of pages."""
+    """One page of every video, newest first, with the video's total and number of pages.
+
+    Early pages are cut to size before the shuffle; later ones count back from the oldest comment in slices.
+    """
     totals = comments.groupBy("video_id").agg(F.count("*").alias("total"))
-    rows = top_per_group(comments, ["video_id"], [F.desc("timestamp"), F.col("comment_id")], page * per_page, "__n")
+    if page * per_page <= GROUP_LIMIT:
+        order = [F.desc("timestamp"), F.col("comment_id")]
+        numbered = top_per_group(comments, ["video_id"], order, page * per_page, "__n").join(totals, "video_id")
+    else:
+        oldest_first = row_number_per_video(comments, "__n", tie_down=True).join(totals, "video_id")
+        numbered = oldest_first.withColumn("__n", F.col("total") - F.col("__n") + 1)
     return (
-        rows.filter(F.col("__n") > (page - 1) * per_page)
-        .join(totals, "video_id")
+        numbered.filter((F.col("__n") > (page - 1) * per_page) & (F.col("__n") <= page * per_page))
         .withColumns({
             "page": F.lit(page).cast("bigint"),
             "per_page": F.lit(per_page).cast("bigint"),

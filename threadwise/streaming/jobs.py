@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadwise import constants as C
-from threadwise.operators.feedback import labels_from, retrain_due, updates_from
+from threadwise.operators.feedback import label_lookup, labels_from, retrain_due, updates_from
 
 DAY_LATE, SHORT_LATE = "1 day", "10 minutes"
 LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
@@ -106,10 +106,10 @@ def feedback(requests: DataFrame, comments: DataFrame, versions: DataFrame, fold
     labels_at, updates_at, decisions_at = (f"{folder}/{name}" for name in ("labels", "updates", "decisions"))
 
     def handle(batch: DataFrame, number: int) -> None:
-        valid = batch.filter("is_spam is not null")
-        labels_from(valid, comments).write.mode("overwrite").parquet(f"{labels_at}/batch={number}")
-        known = valid.join(comments.select("comment_id"), "comment_id", "left_semi")
-        updates_from(known).write.mode("overwrite").parquet(f"{updates_at}/batch={number}")
+        found = label_lookup(batch.filter("is_spam is not null"), comments, ["text"]).persist()
+        labels_from(found).write.mode("overwrite").parquet(f"{labels_at}/batch={number}")
+        updates_from(found).write.mode("overwrite").parquet(f"{updates_at}/batch={number}")
+        found.unpersist()
         log = batch.sparkSession.read.parquet(labels_at).filter(F.col("batch") <= number)
         due = retrain_due(log, versions, after=after)
         due.write.mode("overwrite").parquet(f"{decisions_at}/batch={number}")
