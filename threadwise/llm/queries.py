@@ -4,9 +4,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
-from threadwise.llm import mixing, packing, simhash, substring, toxicity
+from threadwise.llm import chat, lm, mixing, orderhash, packing, simhash, substring, tokens, topk, toxicity
 from threadwise.llm.shared import table, text_key, word_count
+from threadwise.session import scratch_dir
+
+
+def op1_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.scored(docs, lm.train(docs))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +24,40 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", text_key(F.col("text")).alias("cluster"), word_count(F.col("text")).alias("length")))
 
 
+def op3_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from the token files."""
+    path = scratch_dir(spark, "tokens")
+    tokens.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_documents(spark, path)
+
+
+def op4_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best partners of each vector whose id is divisible by 100."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+#: The table has no tool messages; each user turn is taken as a call of this tool, the reply after it as its result.
+REPLY = {"reply": {
+    "required": ["prompt", "words"],
+    "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 400},
+                   "words": {"type": "integer", "minimum": 5, "maximum": 64}},
+}}
+
+
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as calls and results: a user turn calls, the assistant's turn after it is the result."""
+    turns = table(spark, sf_dir, "conversations")
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    number = F.when(user, F.col("turn")).when(reply, F.col("turn") - 1)
+    messages = turns.select(
+        "conv_id", "turn", F.when(reply, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(~user, F.col("text")).alias("text"), F.concat(F.lit("call-"), number.cast("string")).alias("call_id"),
+        F.when(user, "reply").alias("tool"),
+        F.when(user, F.to_json(F.struct(word_count(F.col("text")).alias("words"), F.col("text").alias("prompt")))).alias(
+            "arguments"))
+    return chat.linked_messages(messages, REPLY).withColumn("errors", F.array_join("errors", "; "))
+
+
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that repeat an earlier one, with the documents where they stay."""
     return substring.repeated_passages(table(spark, sf_dir, "documents")).drop("thash")
@@ -31,6 +73,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -41,7 +87,8 @@ def op10_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
-        op2_best_fit_packing, op6_paragraph_dedup, op7_source_mixing, op8_simhash_dedup, op10_toxicity_machine,
+        op1_masked_likelihood, op2_best_fit_packing, op3_plane_tokens, op4_uniform_threshold, op5_tool_call_linking,
+        op6_paragraph_dedup, op7_source_mixing, op8_simhash_dedup, op9_order_minhash, op10_toxicity_machine,
     )
 } | {"pipeline": corpus_pipeline.run}
 
