@@ -1,15 +1,10 @@
 """Documents to packed training sequences: five stages, each written as Parquet and read again as the next one's input."""
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import threadwise
 from threadwise.llm import mixing, packing, simhash, substring, toxicity
 from threadwise.llm.shared import stored, table, text_key, word_count
 
-# Python workers need no copy of the package on their path.
-cloudpickle.register_pickle_by_value(threadwise)
-
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
