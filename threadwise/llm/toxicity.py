@@ -26,7 +26,9 @@ class Settings:
     deviations: float = 4.0
     steps: int = 400
     rate: float = 0.1
-    decay: float = 1e-4
+    #: Weight decay of single terms and of the factors: pairs are to explain what single terms cannot.
+    decay: float = 1e-5
+    pair_decay: float = 2e-3
 
 
 @dataclass(frozen=True)
@@ -102,6 +104,7 @@ def fit(rows: list, settings: Settings = Settings()) -> Machine:
     doc, at = doc[order], at[order]
 
     rng, k = np.random.default_rng(7), settings.factors
+    decay = np.array([settings.decay] + [settings.pair_decay] * k)
     theta = np.zeros((len(terms) + 1, 1 + k))
     theta[:-1, 1:] = rng.normal(0, 0.01, (len(terms), k))
     theta[-1, 0] = bias
@@ -116,7 +119,7 @@ def fit(rows: list, settings: Settings = Settings()) -> Machine:
         slope = (sigmoid(z) - y) / len(y)
         grad = np.empty_like(theta)
         grad[:-1] = by_term(np.concatenate(
-            [slope[doc, None], slope[doc, None] * (sums[doc, 1:] - x[:, 1:])], 1)) + settings.decay * theta[:-1]
+            [slope[doc, None], slope[doc, None] * (sums[doc, 1:] - x[:, 1:])], 1)) + decay * theta[:-1]
         grad[-1] = 0
         grad[-1, 0] = slope.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
