@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import at, rows
-from threadwise.operators import feedback, skew, threads
+from threadwise.operators import feedback, threads
 
 REQUESTS = "request_id STRING, comment_id STRING, is_spam BOOLEAN, requested_at TIMESTAMP_NTZ"
 COMMENTS = "comment_id STRING, text STRING, is_spam BOOLEAN, spam_score DOUBLE, updated_at TIMESTAMP_NTZ"
@@ -53,18 +53,10 @@ def test_latest_label(table):
     assert rows(feedback.latest_label(labels), "comment_id", "is_spam") == [("a", False), ("b", True)]
 
 
-def test_skew_join_equals_plain_join(spark):
-    """A third of the rows on one key, NULL keys, keys on one side only; salting forced on."""
-    left = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 0, None)
-                                   .otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"))
-    right = spark.range(30).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("r"))
-    assert [r["k"] for r in skew.hot_keys(left, "k", share=0.1, min_rows=1).collect()] == ["hot"]
-    assert skew.hot_keys(left, "k").count() == 0
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        got = skew.skew_join(left, right, "k", how, ["id"], salts=8, share=0.1, min_rows=1)
-        plain = left.join(right, "k", how)
-        assert set(got.columns) == set(plain.columns)
-        assert rows(got, *plain.columns) == rows(plain), how
+def test_latest_label_breaks_ties_alike_in_any_order(table):
+    labels = [("a", True, at(1), None), ("a", False, at(1), None), ("b", True, at(2), None)]
+    got = [rows(feedback.latest_label(table(LABELS, x)), "comment_id", "is_spam") for x in (labels, labels[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 2
 
 
 def test_thread_join(table):

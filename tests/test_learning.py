@@ -160,17 +160,9 @@ def test_lexicon_sentiment(table):
     assert got[""]["neu"] == 0.0
 
 
-def test_large_lexicon_is_not_broadcast(table, monkeypatch):
-    df = table("comment_id STRING, text STRING", [(str(i), f"very good but bad day {i}") for i in range(20)])
-    lexicon = table("word STRING, valence DOUBLE", LEXICON)
-    small = rows(sentiment.lexicon_sentiment(df, lexicon))
-    monkeypatch.setattr(sentiment, "BROADCAST_WORDS", 1)
-    assert rows(sentiment.lexicon_sentiment(df, lexicon)) == small
-
-
 def test_label_lexicon(table):
     df = table("comment_id STRING, text STRING, good BOOLEAN", [(str(i), "fine words", i < 3) for i in range(4)])
-    got = rows(sentiment.label_lexicon(df, "good", min_documents=4))
+    got = rows(sentiment.label_lexicon(df, "good"))
     assert got == [("fine", 2.0), ("words", 2.0)]
 
 

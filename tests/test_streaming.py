@@ -25,7 +25,14 @@ def read(spark, stream):
 
 def test_ingest_drops_copies_across_batches(spark, landed):
     stream = landed(COMMENTS, [("a", "v", at(1), None), ("a", "v", at(1), None)], [("a", "v", at(1), None), ("b", "v", at(1, 5), None)])
-    assert rows(read(spark, jobs.ingest(stream)), "comment_id") == [("a",), ("b",)]
+    stored = jobs.ingest(stream, scratch_dir(spark, "ingest"))
+    assert rows(spark.read.parquet(stored), "comment_id") == [("a",), ("b",)]
+
+
+def test_ingest_keeps_ids_that_arrive_late(spark, landed):
+    files = [[(f"{day}-{i % 10}", "v", at(day, i), None) for i in range(20)] for day in (20, 21, 5)]
+    stored = jobs.ingest(landed(COMMENTS, *files), scratch_dir(spark, "ingest"))
+    assert rows(spark.read.parquet(stored), "comment_id") == sorted((f"{d}-{i}",) for d in (20, 21, 5) for i in range(10))
 
 
 def test_trends_emit_closed_days_only(spark, landed):

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadwise import constants as C
 from threadwise.operators.merge import apply_updates, first_per_key
-from threadwise.operators.skew import skew_join
 
 NOT_FOUND = "comment not found"
 NOT_BOOLEAN = "label is not boolean"
@@ -24,13 +23,13 @@ class Marked:
 def label_lookup(requests: DataFrame, comments: DataFrame, columns: list[str]) -> DataFrame:
     """Requests with the stored columns of their comments."""
     stored = comments.select("comment_id", *columns)
-    return skew_join(requests, stored, "comment_id", "inner", ["request_id", "requested_at"])
+    return requests.join(stored, "comment_id")
 
 
 def missing_ids(requests: DataFrame, comments: DataFrame) -> DataFrame:
     """Requested comments that are not stored."""
     asked = requests.select("request_id", "comment_id").distinct()
-    return skew_join(asked, comments.select("comment_id"), "comment_id", "left_anti", ["request_id"])
+    return asked.join(comments.select("comment_id"), "comment_id", "left_anti")
 
 
 def latest_label(labels: DataFrame, order: list[Column] | None = None) -> DataFrame:
@@ -42,7 +41,7 @@ def request_outcomes(requests: DataFrame, comments: DataFrame) -> DataFrame:
     known = comments.select("comment_id", F.lit(True).alias("__known"))
     error = F.when(F.col("is_spam").isNull(), NOT_BOOLEAN).when(F.col("__known").isNull(), NOT_FOUND)
     return (
-        skew_join(requests, known, "comment_id", "left", ["request_id", "requested_at"])
+        requests.join(known, "comment_id", "left")
         .withColumn("error", error)
         .withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("error"))
         .drop("__known")
@@ -81,7 +80,7 @@ def mark_spam_bulk(requests: DataFrame, comments: DataFrame, confidence: float =
     """
     asked = requests.groupBy("request_id", "is_spam", "comment_id").agg(F.max("requested_at").alias("requested_at"))
     known = comments.select("comment_id", F.lit(True).alias("__known"))
-    checked = skew_join(asked, known, "comment_id", "left", ["request_id", "is_spam"])
+    checked = asked.join(known, "comment_id", "left")
     sets = checked.groupBy("request_id", "is_spam").agg(
         F.count("*").alias("total"), F.count_if(F.col("__known").isNull()).alias("missing")
     )

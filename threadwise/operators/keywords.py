@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadwise import constants as C
 from threadwise.functions.labels import keyword_weight
 from threadwise.functions.text import long_tokens, tokens
+from threadwise.operators.joins import null_safe_join
 from threadwise.operators.ordering import top_per_group
 
 
@@ -32,14 +33,18 @@ def insight_word_counts(comments: DataFrame) -> DataFrame:
     return word_counts(comments, long_tokens)
 
 
+def insight_words(text: Column, stop_words: list[str] = C.STOP_WORDS) -> Column:
+    """Number of the counted words of a text, without bringing them together."""
+    return F.size(F.filter(long_tokens(F.lower(text)), lambda t: ~t.isin(stop_words)))
+
+
 def keywords_insight(comments: DataFrame, k: int = C.TOP_KEYWORDS) -> DataFrame:
     """Top words of at least three characters, with the kept words of the video and their mean per comment."""
-    counts = insight_word_counts(comments)
-    words = counts.groupBy("video_id").agg(F.sum("n").alias("total_word_count"))
-    rows = comments.groupBy("video_id").agg(F.count("*").alias("__comments"))
+    totals = comments.groupBy("video_id").agg(
+        F.sum(insight_words(F.col("text"))).alias("total_word_count"), F.count("*").alias("__comments"))
     per_comment = F.round(F.col("total_word_count") / F.col("__comments"), 2)
     return (
-        _top(counts, k).join(words, "video_id").join(rows, "video_id")
+        null_safe_join(_top(insight_word_counts(comments), k), totals, ["video_id"], "inner")
         .withColumn("avg_words_per_comment", per_comment).drop("__comments")
     )
 

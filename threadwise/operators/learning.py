@@ -24,8 +24,8 @@ from threadwise.functions.text import spam_verdict
 from threadwise.operators.filters import since_days
 
 UNTRAINED, NO_DATA, TRAINED = "untrained", "no_data", "trained"
-# Depth is limited because trees are kept in memory of every task that scores.
-FOREST_DEPTH = 10
+# Spark's largest depth: trees grow until their leaves are pure.
+FOREST_DEPTH = 30
 # Statistics of more tree nodes per pass mean fewer passes over the labels.
 FOREST_MEMORY_MB = 1024
 TOXICITY_TERMS = 1 << 16

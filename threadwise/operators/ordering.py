@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadwise import constants as C
 from threadwise.functions.times import hours_between
+from threadwise.operators.joins import null_safe_join
+from threadwise.session import checkpointed
 
 SLICE = ["video_id", "__slice"]
 PART = [*SLICE, "__part"]
@@ -39,18 +41,18 @@ def _hour_slice(time: str) -> Column:
 def _split_hot_slices(rows: DataFrame, time: str, tie: str, tie_down: bool = False) -> DataFrame:
     """Add the part of each row in its slice: 0, or for a hot slice the number of cut points up to the row.
 
-    Cut points are rows of the slice chosen by a hash of the tie column, so every evaluation finds the same ones
-    and even rows of one single time are split. Hot slices hold more than HOT_SLICE_SHARE of all rows each, so the
+    Cut points are different (time, tie) values of the slice chosen by their hash, so every evaluation finds the same
+    ones, even rows of one single time are split, and copies of a row make one point. Hot slices hold more than HOT_SLICE_SHARE of all rows each, so the
     broadcast tables are bounded by 1 / HOT_SLICE_SHARE slices with about SLICE_CUTS points.
     """
-    sizes = rows.groupBy(*SLICE).agg(F.count("*").alias("__size"))
+    sizes = checkpointed(rows.groupBy(*SLICE).agg(F.count("*").alias("__size")))
     total = sizes.agg(F.sum("__size")).scalar()
     hot = sizes.filter((F.col("__size") >= HOT_SLICE_ROWS) & (F.col("__size") > total * F.lit(HOT_SLICE_SHARE)))
     point = F.struct(F.col(time).alias("time"), F.col(tie).alias("tie"))
-    chosen = F.pmod(F.xxhash64(tie), F.col("__size")) < SLICE_CUTS
+    chosen = F.pmod(F.xxhash64(time, tie), F.col("__size")) < SLICE_CUTS
     cuts = (
-        rows.select(*SLICE, time, tie).join(F.broadcast(hot), SLICE).filter(chosen)
-        .groupBy(*SLICE).agg(F.collect_list(point).alias("__cuts"))
+        null_safe_join(rows.select(*SLICE, time, tie), F.broadcast(hot), SLICE, "inner").filter(chosen)
+        .select(*SLICE, time, tie).distinct().groupBy(*SLICE).agg(F.collect_list(point).alias("__cuts"))
     )
 
     def up_to_row(cut: Column) -> Column:
@@ -58,7 +60,7 @@ def _split_hot_slices(rows: DataFrame, time: str, tie: str, tie_down: bool = Fal
         return F.coalesce(cut["time"] < F.col(time), F.lit(False)) | (cut["time"].eqNullSafe(F.col(time)) & tied)
 
     part = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", up_to_row)))
-    return rows.join(F.broadcast(cuts), SLICE, "left").withColumn("__part", part).drop("__cuts")
+    return null_safe_join(rows, F.broadcast(cuts), SLICE, "left").withColumn("__part", part).drop("__cuts")
 
 
 def _sliced(df: DataFrame, time: str, tie: str, tie_down: bool = False) -> DataFrame:
@@ -76,7 +78,7 @@ def _sliced(df: DataFrame, time: str, tie: str, tie_down: bool = False) -> DataF
         "__place": F.row_number().over(in_part),
         "__lag": F.lag(time).over(in_part),
     })
-    return placed.join(offsets, PART)
+    return null_safe_join(placed, offsets, PART, "inner")
 
 
 def row_number_per_video(df: DataFrame, name: str, time: str = "timestamp", tie: str = "comment_id",
@@ -101,9 +103,11 @@ def comments_page(comments: DataFrame, page: int = 1, per_page: int = C.PAGE_SIZ
     totals = comments.groupBy("video_id").agg(F.count("*").alias("total"))
     if page * per_page <= GROUP_LIMIT:
         order = [F.desc("timestamp"), F.col("comment_id")]
-        numbered = top_per_group(comments, ["video_id"], order, page * per_page, "__n").join(totals, "video_id")
+        numbered = top_per_group(comments, ["video_id"], order, page * per_page, "__n")
+        numbered = null_safe_join(numbered, totals, ["video_id"], "inner")
     else:
-        oldest_first = row_number_per_video(comments, "__n", tie_down=True).join(totals, "video_id")
+        oldest_first = null_safe_join(
+            row_number_per_video(comments, "__n", tie_down=True), totals, ["video_id"], "inner")
         numbered = oldest_first.withColumn("__n", F.col("total") - F.col("__n") + 1)
     return (
         numbered.filter((F.col("__n") > (page - 1) * per_page) & (F.col("__n") <= page * per_page))

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from threadwise.operators.skew import skew_join
 from threadwise.schemas import COMMENTS_NOT_NULL
 
 
@@ -10,7 +9,7 @@ def orphan_rows(df: DataFrame, foreign_key: str, parents: DataFrame, key: str, r
     """Rows whose non-NULL foreign key has no parent row."""
     keys = parents.select(F.col(key).alias(foreign_key)).distinct()
     referring = df.filter(F.col(foreign_key).isNotNull()).select(row_id, foreign_key)
-    return skew_join(referring, keys, foreign_key, "left_anti", [row_id])
+    return referring.join(keys, foreign_key, "left_anti").select(row_id, foreign_key)
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,6 @@ The lexicon is a table (word, valence). Idioms and multi-word special cases are
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadwise.functions import patterns as P
-from threadwise.operators.skew import skew_join
 
 # Words that strengthen or weaken the next sentiment word.
 BOOSTERS = [
@@ -37,8 +36,6 @@ BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 EXCLAMATION, MAX_EXCLAMATIONS, QUESTION, MANY_QUESTIONS = 0.292, 4, 0.18, 0.96
 NORMAL = 15.0
 
-BROADCAST_WORDS = 200_000
-
 
 def _words(text: Column) -> Column:
     """Words without edge punctuation; two-character remains (emoticons) keep theirs."""
@@ -99,14 +96,6 @@ def _in_context(df: DataFrame, known: Column) -> DataFrame:
     return valued
 
 
-def _with_valence(placed: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
-    """Words with their valence: by broadcast after counting the lexicon, or with frequent words spread."""
-    rows = lexicon.limit(BROADCAST_WORDS + 1).count()
-    if rows <= BROADCAST_WORDS:
-        return placed.join(F.broadcast(lexicon), "word", "left")
-    return skew_join(placed, lexicon, "word", "left", [key, "w"])
-
-
 def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comment_id", text: str = "text") -> DataFrame:
     """Rows (key, neg, neu, pos, compound).
 
@@ -135,7 +124,7 @@ def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comme
     ).withColumn("word", F.col("w.word"))
     known = lexicon.filter(F.col("word").isin(MODIFIERS)).agg(F.collect_set("word")).scalar()
     own = lexicon.filter(~F.col("word").isin(BOOSTERS + DAMPENERS)).select("word", "valence")
-    valued = _in_context(_with_valence(placed, own, key), known)
+    valued = _in_context(placed.join(own, "word", "left"), known)
     place, but = F.col("w.place"), F.col("but")
     factor = F.when((but > 0) & (place < but), BEFORE_BUT).when((but > 0) & (place > but), AFTER_BUT).otherwise(1.0)
     value = F.coalesce(F.col("value") * factor, F.lit(0.0))
@@ -164,12 +153,10 @@ def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comme
     )
 
 
-def label_lexicon(documents: DataFrame, positive: str, key: str = "comment_id", text: str = "text",
-                  min_documents: int = 5, words: int = 7500) -> DataFrame:
-    """A lexicon learnt from labelled documents: valence in [-4, 4] by the balance of good and bad documents."""
+def label_lexicon(documents: DataFrame, positive: str, text: str = "text") -> DataFrame:
+    """A lexicon of every word of the labelled documents: valence in [-4, 4] by the balance of good and bad ones."""
     distinct = F.array_distinct(F.transform(_words(F.col(text)), F.lower))
     seen = documents.select(F.explode(distinct).alias("word"), positive)
     counts = seen.groupBy("word").agg(F.count_if(positive).alias("good"), F.count_if(~F.col(positive)).alias("bad"))
     total = F.col("good") + F.col("bad")
-    frequent = counts.filter(total >= min_documents).orderBy(total.desc(), "word").limit(words)
-    return frequent.select("word", F.round((F.col("good") - F.col("bad")) * 4 / total, 3).alias("valence"))
+    return counts.select("word", F.round((F.col("good") - F.col("bad")) * 4 / total, 3).alias("valence"))

@@ -84,9 +84,9 @@ def _score_stats() -> dict[str, Column]:
     }
 
 
-def author_stats(comments: DataFrame) -> DataFrame:
-    """Partial statistics per (video, author)."""
-    counts = {"comments": F.count("*"), "responded": F.count_if("responded")}
+def author_stats(comments: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Partial statistics per (video, author), with `more` sums."""
+    counts = {"comments": F.count("*"), "responded": F.count_if("responded"), **(more or {})}
     return comments.groupBy("video_id", "author").agg(*_named({**counts, **_score_stats()}))
 
 

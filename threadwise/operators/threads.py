@@ -2,13 +2,11 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from threadwise.operators.skew import skew_join
-
 
 def thread_join(comments: DataFrame) -> DataFrame:
     """Each reply with its parent's author and text, the replies found and the number the parent declares.
 
-    Replies are counted per thread before the join; a thread with very many replies is spread by skew_join.
+    Replies are counted per thread before the join.
     """
     replies = comments.filter("parent_id is not null")
     found = replies.groupBy("parent_id").agg(F.count("*").alias("replies_found"))
@@ -16,6 +14,6 @@ def thread_join(comments: DataFrame) -> DataFrame:
         F.col("comment_id").alias("parent_id"), F.col("author").alias("parent_author"),
         F.col("text").alias("parent_text"), F.col("reply_count").alias("replies_declared"),
     ).join(found, "parent_id")
-    return skew_join(
-        replies.select("comment_id", "video_id", "parent_id", "author", "text"), parents, "parent_id", "left", ["comment_id"]
+    return replies.select("comment_id", "video_id", "parent_id", "author", "text").join(
+        parents, "parent_id", "left"
     ).withColumn("complete", F.col("replies_found") == F.col("replies_declared"))

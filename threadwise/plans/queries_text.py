@@ -155,7 +155,7 @@ lexicon_all as (
   select word, round((good - bad) * 4 / cast(good + bad as double), 3) as valence from (
     select word, count(case when not is_spam then 1 end) as good, count(case when is_spam then 1 end) as bad
     from (select unnest(list_distinct([lower(w) for w in ws])) as word, is_spam from word_lists where is_spam is not null)
-    group by word having count(*) >= 5 order by count(*) desc, word limit 7500)),
+    group by word)),
 own as (select * from lexicon_all where word not in ({sql_list(sentiment.BOOSTERS + sentiment.DAMPENERS)})),
 described as (
   select *, len(ws) as n, list_position([lower(w) for w in ws], 'but') as but,
@@ -203,7 +203,7 @@ SENTIMENT_SQL = SENTIMENT_SQL.replace("chr(33), chr(32)[1:0]", "'!', ''").replac
 
 
 def _label_lexicon(q):
-    """A small lexicon learnt from the labels, stored because the job reads it several times."""
+    """A lexicon learnt from the labels, stored because the job reads it several times."""
     judged = q("comments_doc").filter("is_spam is not null").withColumn("good", ~F.col("is_spam"))
     return checkpointed(sentiment.label_lexicon(judged, "good"))
 

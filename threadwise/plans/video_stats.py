@@ -7,22 +7,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadwise.operators import keywords as K
 from threadwise.operators import statistics as S
 from threadwise.operators.filters import sample_comments
+from threadwise.operators.joins import null_safe_join
 
 
-def _scalars(authors: DataFrame, hours: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
+def _scalars(authors: DataFrame, hours: DataFrame, by: list[str]) -> DataFrame:
     """One row per `by` out of the partial statistics."""
     merged = S.merge_author_stats(authors, by)
-    columns = {**S.engagement_columns(), **S.emotion_columns()}
+    columns = {**S.engagement_columns(), **S.emotion_columns(), "total_word_count": F.col("words")}
     base = merged.select(*by, *[c.alias(n) for n, c in columns.items()])
     times = S.merge_hour_stats(hours, by)
-    totals = words.groupBy(*by).agg(F.sum("n").alias("total_word_count"))
     if by:
-        joined = base.join(times, by, "left").join(totals, by, "left")
+        joined = null_safe_join(base, times, by, "left")
     else:
-        # Both have exactly one row.
-        one = F.lit(1).alias("__one")
-        joined = base.select("*", one).join(times.select("*", one), "__one", "left")
-        joined = joined.join(totals.select("*", one), "__one", "left").drop("__one")
+        one = times.select(F.struct(*times.columns)).scalar()
+        joined = base.withColumns({c: one[c] for c in times.columns})
     words_per_comment = F.try_divide(F.col("total_word_count"), F.col("total_comments"))
     return joined.withColumns({
         "total_word_count": F.coalesce("total_word_count", F.lit(0)),
@@ -35,11 +33,12 @@ def comment_stats(comments: DataFrame, overall: bool = True) -> DataFrame:
 
     The overall row is merged from the per-video partial rows; no comment is counted twice.
     """
-    authors, hours, words = S.author_stats(comments), S.hour_stats(comments), K.insight_word_counts(comments)
-    per_video = _scalars(authors, hours, words, ["video_id"])
+    words = comments.withColumn("__words", K.insight_words(F.col("text")))
+    authors, hours = S.author_stats(words, {"words": F.sum("__words")}), S.hour_stats(comments)
+    per_video = _scalars(authors, hours, ["video_id"])
     if not overall:
         return per_video
-    total = _scalars(authors, hours, words, []).withColumn("video_id", F.lit(None).cast("string"))
+    total = _scalars(authors, hours, []).withColumn("video_id", F.lit(None).cast("string"))
     return per_video.unionByName(total)
 
 
@@ -63,7 +62,7 @@ def comment_stats_document(comments: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("timestamp", "comment_id", F.struct(*samples).alias("row")))).alias("__s")
         ).select("video_id", F.transform("__s", lambda x: x["row"]).alias("sample_comments")),
     ]
-    return reduce(lambda doc, part: doc.join(part, "video_id", "left"), parts, comment_stats(comments, overall=False))
+    return reduce(lambda doc, part: null_safe_join(doc, part, ["video_id"], "left"), parts, comment_stats(comments, overall=False))
 
 
 def analysis_summary(comments: DataFrame) -> DataFrame:
@@ -72,8 +71,8 @@ def analysis_summary(comments: DataFrame) -> DataFrame:
     actions = S.counts_map(S.mod_action_counts(comments), "mod_action", "mod_actions")
     words = _ranked_array(K.keywords_summary(comments), "keyword_rank", ["keyword", "n"], "__words")
     keywords = F.map_from_entries("__words")
-    joined = S.emotion_bands(comments).join(classes, "video_id", "left").join(actions, "video_id", "left")
-    return joined.join(words, "video_id", "left").select(
+    parts = [classes, actions, words]
+    return reduce(lambda a, b: null_safe_join(a, b, ["video_id"], "left"), parts, S.emotion_bands(comments)).select(
         "video_id", "positive", "neutral", "negative",
         F.coalesce(F.to_json("classifications"), F.lit("{}")).alias("classifications"),
         F.coalesce(F.to_json("mod_actions"), F.lit("{}")).alias("mod_actions"),

@@ -40,6 +40,6 @@ THREADS_DOCUMENT = (
     f"replies: STRUCT<comments: ARRAY<STRUCT<id: STRING, snippet: {SNIPPET_DDL}>>>>>"
 )
 VIDEO_DOCUMENT = (
-    "request STRUCT<videoId: STRING>, items ARRAY<STRUCT<snippet: STRUCT<title: STRING, channelTitle: STRING, "
+    "request STRUCT<videoId: STRING>, items ARRAY<STRUCT<id: STRING, snippet: STRUCT<title: STRING, channelTitle: STRING, "
     "thumbnails: STRUCT<default: STRUCT<url: STRING>>>>>"
 )

@@ -48,10 +48,12 @@ def ingest_comments(documents: DataFrame, load_time: Column, json: str = "json")
 
 
 def ingest_videos(documents: DataFrame, json: str = "json") -> DataFrame:
-    """Video rows of video documents; a document without items, or an item without snippet, gives no row."""
+    """A row for each item of the video documents, under the item's id (the requested one where it has none); a
+    document without items, or an item without snippet, gives no row."""
     parsed = documents.select(F.from_json(F.col(json), VIDEO_DOCUMENT).alias("d"))
-    first = parsed.select(F.col("d.request.videoId").alias("video_id"), F.get("d.items", F.lit(0))["snippet"].alias("s"))
-    return first.filter("s is not null").select(
+    items = parsed.select(F.col("d.request.videoId").alias("asked"), F.explode("d.items").alias("i"))
+    found = items.select(F.coalesce("i.id", "asked").alias("video_id"), F.col("i.snippet").alias("s"))
+    return found.filter("s is not null").select(
         "video_id",
         F.coalesce("s.title", F.lit(C.UNKNOWN_TITLE)).alias("title"),
         F.coalesce("s.channelTitle", F.lit(C.UNKNOWN_CHANNEL)).alias("channel_title"),

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadwise import constants as C
+from threadwise.operators.joins import null_safe_join
 from threadwise.operators.merge import apply_updates
 from threadwise.operators.ordering import top_per_group
 from threadwise.session import scratch_dir
@@ -13,16 +14,6 @@ def scan_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a table comes in few splits, as one file of long texts with one row group does.
-
-    A split without the start of a row group is empty, so a handful of splits per core may still be one full
-    one. A table of many files has far more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
-
-
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -39,7 +30,7 @@ def update_stored(spark: SparkSession, path: str, schema: str, updates: DataFram
     """
     stored = scan_table(spark, path, schema)
     touched = stored.join(updates.select(key), key, "left_semi").select(by).distinct()
-    changed = apply_updates(stored.join(touched, by, "left_semi"), updates, key)
+    changed = apply_updates(null_safe_join(stored, touched, [by], "left_semi"), updates, key)
     staged = scratch_dir(spark, "update")
     changed.write.mode("overwrite").parquet(staged)
     replace_partitions(scan_table(spark, staged, schema), path, by)

@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from threadwise import constants as C
 from threadwise.operators.feedback import label_lookup, labels_from, retrain_due, updates_from
+from threadwise.operators.merge import new_rows
 
 DAY_LATE, SHORT_LATE = "1 day", "10 minutes"
 LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
@@ -53,17 +55,23 @@ def _finish(query: StreamingQuery, out: str) -> str:
     return out
 
 
-def ingest(comments: DataFrame, late: str = DAY_LATE, salts: int = 8) -> DataFrame:
-    """First row of each comment id; copies within the watermark are dropped.
+def ingest(comments: DataFrame, folder: str) -> str:
+    """Store the first row of each comment id, whatever its time; returns the folder of the stored rows.
 
-    A comment may arrive in very many copies, so they are first dropped per id and group of input partitions
-    (`salts` groups; 0 leaves this step out), and only the few left meet under their id.
+    Each micro-batch appends the ids that no earlier batch has stored: a late file of an old video is kept. Copies
+    in a batch are cut to one per task before they meet. A repeated batch reads the batches before it only and
+    overwrites itself.
     """
-    marked = event_time(comments).withWatermark("timestamp", late)
-    if salts:
-        salted = marked.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        marked = salted.dropDuplicatesWithinWatermark(["comment_id", "__salt"]).drop("__salt")
-    return marked.dropDuplicatesWithinWatermark(["comment_id"])
+    stored = StructType([f for f in comments.schema.fields] + [StructField("batch", LongType())])
+
+    def write(batch: DataFrame, path: str) -> None:
+        out, number = path.rsplit("/batch=", 1)
+        before = batch.sparkSession.read.schema(stored).parquet(out) if int(
+            number) else batch.sparkSession.createDataFrame([], stored)
+        known = before.filter(F.col("batch") < int(number))
+        new_rows(known.drop("batch"), batch, "comment_id", [F.col("timestamp")]).write.mode("overwrite").parquet(path)
+
+    return run_batches(comments, folder, write)
 
 
 def daily_trends(comments: DataFrame, late: str = DAY_LATE) -> DataFrame:
