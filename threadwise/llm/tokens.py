@@ -1,5 +1,6 @@
 """Token ids in bit-plane files: fixed-size blocks of ids, transposed, compressed plane by plane, with a chunk index."""
 
+import json
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -41,40 +42,64 @@ def ids_of(planes: list[bytes], n: int, layout: str) -> np.ndarray:
     return np.ascontiguousarray(np.stack(rows, 1)).reshape(-1).view("<u4")
 
 
+def byte_letters() -> list[str]:
+    """The letter that a byte-level model has for each byte: printable bytes stand for themselves, others move up."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(moved)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so a chunk between blanks is
-    encoded once and remembered; plain Latin words are looked up in lower case without their stop."""
+    """Ids of whole texts.
+
+    A tokenizer that lowers its words, drops white space and marks word ends never joins across white space: each
+    chunk between blanks is encoded once and remembered, and a plain Latin word, with or without a stop after it,
+    goes straight to the library's word model, without the steps that leave it unchanged. Any other tokenizer gets
+    the text as it is.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        plan = json.loads(self.tokenizer.to_str())
+        split = str(plan["pre_tokenizer"])
+        self.by_word = "'Lowercase'" in str(plan["normalizer"]) and "'Removed'" in split and "ByteLevel" in split and bool(
+            plan["model"].get("end_of_word_suffix"))
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
         stop = chunk[-1] if chunk[-1] in ".," else ""
         word = chunk[:-1] if stop else chunk
-        if word.isalpha() and max(word) < "Ā":
-            return word.lower(), stop
-        return chunk, ""
+        if not (word.isalpha() and (word.isascii() or max(word) < "Ā")):
+            return self._whole(chunk)
+        known, low = self.known, word.lower()
+        for part in (low, stop):
+            if part not in known:
+                known[part] = self._word(part)
+        return known[low] + known[stop]
 
     def encode(self, text: str | None) -> bytes:
-        chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if not self.by_word:
+            return self._whole(text or "")
         known = self.known
-        missing = {c: self._parts(c) for c in set(chunks).difference(known)}
-        if missing:
-            parts = {p for both in missing.values() for p in both}.difference(known)
-            if parts:
-                self._encode(list(parts))
-            for chunk, (word, stop) in missing.items():
-                known[chunk] = known[word] + known[stop]
-        out = b"".join([known[c] for c in chunks])
+        chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        found = list(map(known.get, chunks))
+        if None in found:
+            for at, ids in enumerate(found):
+                if ids is None:
+                    chunk = chunks[at]
+                    found[at] = known.get(chunk) or known.setdefault(chunk, self._chunk(chunk))
         if len(known) > REMEMBERED:
             self.known = {"": b""}
-        return out
+        return b"".join(found)
 
 
 def encoded_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
