@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -29,45 +30,51 @@ def tuned_bands(hashes: int = HASHES, similarity: float = SIMILARITY, recall: fl
     return hashes // rows, rows
 
 
-def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Hash of each word; its last bit tells whether the word ends a sentence, the bits before it come of the hash."""
-    codes = []
-    for w in words:
-        code = known.get(w)
-        if code is None:
-            if len(known) > 300_000:
-                known.clear()
-            code = known[w] = xxhash.xxh64_intdigest(w) & ~1 | (w[-1] in b".!?")
-        codes.append(code)
-    return np.array(codes, np.uint64)
+class Codes(dict):
+    """Hash of each word; its last bit tells whether the word ends a sentence."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word) & ~1 | (word[-1] in b".!?")
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    values = values * np.uint64(0x9E3779B97F4A7C15)
+    return values ^ (values >> np.uint64(29))
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
-    """Hash of each run of SHINGLE words; fewer words give one shingle of all."""
-    width = min(SHINGLE, len(codes))
-    out = np.zeros(max(0, len(codes) - width + 1), np.uint64)
-    for i in range(width):
-        out = (out ^ codes[i:len(codes) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+    """Hash of each run of SHINGLE words, also those that cross a line."""
+    out = np.zeros(max(0, len(codes) - SHINGLE + 1), np.uint64)
+    for i in range(SHINGLE):
+        out = mixed(out ^ codes[i:len(codes) - SHINGLE + 1 + i])
     return out
 
 
-def sentence_ends(codes: np.ndarray) -> np.ndarray:
-    """Ends (exclusive) of the sentences of a paragraph."""
-    ends = np.flatnonzero(codes & np.uint64(1)) + 1
-    if not len(ends) or ends[-1] != len(codes):
-        ends = np.append(ends, len(codes))
-    starts = np.concatenate(([0], ends[:-1]))
-    if (ends - starts).max(initial=0) <= LONG_SENTENCE:
-        return ends
-    cuts = np.flatnonzero((codes >> np.uint64(7)) & np.uint64(15) == 0) + 1
-    long_ = np.repeat(ends - starts > LONG_SENTENCE, ends - starts)
-    return np.union1d(ends, cuts[long_[cuts - 1]])
+def sentences(codes: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the sentences: cut at stops and line ends, and long ones at words chosen by their hash."""
+    cut = (codes & np.uint64(1)).astype(bool)
+    cut[line_ends - 1] = True
+    ends = np.flatnonzero(cut) + 1
+    sizes = np.diff(ends, prepend=0)
+    if sizes.max(initial=0) > LONG_SENTENCE:
+        cut |= np.repeat(sizes > LONG_SENTENCE, sizes) & ((codes >> np.uint64(7)) & np.uint64(15) == 0)
+        ends = np.flatnonzero(cut) + 1
+    return np.concatenate(([0], ends[:-1])), ends
+
 
+def lines_of(text: str | None) -> list[bytes]:
+    """The lines of a text, A-Z in lower case."""
+    return (text or "").encode().lower().split(b"\n")
 
-def paragraphs(text: str | None) -> list[list[bytes]]:
-    """Words of each line, A-Z in lower case."""
-    return [line.split() for line in (text or "").encode().lower().split(b"\n")]
+
+def paragraph_key(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line.strip(), 1)
 
 
 class Signer:
@@ -90,63 +97,103 @@ class Signer:
         return out.view(np.int64)
 
 
+UNITS = pa.schema([("id", pa.int64()), ("thash", pa.int64()), ("start", pa.int32()), ("words", pa.int32()),
+                   ("kind", pa.int32()), ("unit", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
 def units(docs: DataFrame, signer: Signer) -> DataFrame:
-    """Paragraphs and sentences of the texts: (id, thash, start, words, kind, unit, bands).
+    """Paragraphs (kind 1) and sentences (kind 0) of the texts: (id, thash, start, words, kind, unit, bands).
 
-    start counts the words of the text before the unit. unit is the hash of its words. bands is null for sentences.
+    start counts the words of the text before the unit. unit is the hash of the paragraph, or of the sentence's words.
+    bands is empty for sentences.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                yield of(batch.iloc[at:at + 256], known)
-
-    def of(batch: pd.DataFrame, known: dict[bytes, int]) -> pd.DataFrame:
-        rows, sets = [], []
-        for id_, thash, text in zip(batch["id"].tolist(), batch["thash"].tolist(), batch["text"]):
-            start = 0
-            for words in paragraphs(text):
-                n = len(words)
-                if n >= SENTENCE_WORDS:
-                    codes = word_codes(words, known)
-                    raw = codes.tobytes()
-                    if n >= PARAGRAPH_WORDS:
-                        sets.append(shingles(codes))
-                        rows.append((id_, thash, start, n, 1, xxhash.xxh64_intdigest(raw, 1)))
-                    before = 0
-                    for end in sentence_ends(codes).tolist():
-                        if end - before >= SENTENCE_WORDS:
-                            rows.append((id_, thash, start + before, end - before, 0,
-                                         xxhash.xxh64_intdigest(raw[8 * before:8 * end], 2)))
-                        before = end
-                start += n
-        out = pd.DataFrame(rows, columns=["id", "thash", "start", "words", "kind", "unit"])
-        out["unit"] = np.array(out["unit"].tolist(), np.uint64).view(np.int64)
-        out["id"] = out["id"].astype("Int64")
-        out["bands"] = None
-        if sets:
-            starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-            keys = iter(signer.keys(np.concatenate(sets), starts))
-            out["bands"] = [next(keys) if k else None for k in out["kind"]]
-        return out
-
-    return docs.mapInPandas(
+            for at in range(0, len(batch), 512):
+                yield from of(batch.slice(at, 512), codes)
+
+    def of(batch: pa.RecordBatch, known: Codes) -> Iterator[pa.RecordBatch]:
+        ids, thash = batch.column("id"), batch.column("thash")
+        words, doc, start, size, key = [], [], [], [], []
+        for number, text in enumerate(batch.column("text").to_pylist()):
+            before = 0
+            for line in lines_of(text):
+                found = line.split()
+                if len(found) >= SENTENCE_WORDS:
+                    words += found
+                    doc.append(number)
+                    start.append(before)
+                    size.append(len(found))
+                    key.append(paragraph_key(line) if len(found) >= PARAGRAPH_WORDS else 0)
+                before += len(found)
+        if not words:
+            return
+        codes, doc, start, size = known.of(words), np.array(doc), np.array(start), np.array(size)
+        line_end = np.cumsum(size)
+        line_start = line_end - size
+
+        begin, end = sentences(codes, line_end)
+        place = np.arange(len(codes)) - np.repeat(begin, end - begin)
+        hashed = mixed(np.add.reduceat(mixed(codes + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin))
+        line = np.searchsorted(line_end, begin, "right")
+        long_ = end - begin >= SENTENCE_WORDS
+        begin, end, hashed, line = begin[long_], end[long_], hashed[long_], line[long_]
+
+        whole = np.flatnonzero(size >= PARAGRAPH_WORDS)
+        own = np.zeros(len(codes), bool)
+        for a, b in zip(line_start[whole].tolist(), line_end[whole].tolist()):
+            own[a:b - SHINGLE + 1] = True
+        counts = size[whole] - SHINGLE + 1
+        values = shingles(codes)[own[:len(codes) - SHINGLE + 1]]
+        keys = signer.keys(values, np.cumsum(counts) - counts) if len(whole) else np.zeros((0, signer.bands), np.int64)
+
+        owner = np.concatenate((doc[whole], doc[line]))
+        offsets = np.concatenate((np.arange(len(whole) + 1) * signer.bands, np.full(len(line), keys.size)))
+        unit = np.concatenate((np.array(key, np.uint64)[whole], hashed)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([
+            ids.take(pa.array(owner)), thash.take(pa.array(owner)),
+            pa.array(np.concatenate((start[whole], start[line] + begin - line_start[line])), pa.int32()),
+            pa.array(np.concatenate((size[whole], end - begin)), pa.int32()),
+            pa.array(np.repeat([1, 0], [len(whole), len(line)]), pa.int32()), pa.array(unit),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))], schema=UNITS)
+
+    return docs.mapInArrow(
         run, "id long, thash long, start int, words int, kind int, unit long, bands array<long>")
 
 
-def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """(unit, shingles) of every paragraph: its different shingles' hashes, sorted, as bytes."""
+#: Bits of the mask that keeps unwanted paragraphs from being cut into shingles: 8 MB, whatever the input.
+MASK_BITS = 1 << 26
+
+
+def wanted_mask(unit: DataFrame) -> np.ndarray:
+    """Bytes of a bitmap with the bits of the units set; a bit may stand for several, so it only sorts out."""
+    bit = F.pmod(F.col("unit"), F.lit(MASK_BITS)) + 1
+    maps = unit.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    mask = np.zeros(MASK_BITS // 8, np.uint8)
+    for row in maps.collect():  # at most MASK_BITS / 32768 rows of 4 KB
+        at = (row["bucket"] - 1) * 4096
+        mask[at:at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return mask
+
+
+def paragraph_sets(docs: DataFrame, mask: np.ndarray) -> DataFrame:
+    """(unit, shingles) of the paragraphs that the mask lets through: their different shingles' hashes, sorted, as bytes."""
+    sent = docs.sparkSession.sparkContext.broadcast(mask)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
+        known, bits = Codes(), sent.value
         for batch in batches:
             found: dict[int, bytes] = {}
             for text in batch["text"]:
-                for words in paragraphs(text):
-                    if len(words) >= PARAGRAPH_WORDS:
-                        codes = word_codes(words, known)
-                        unit = xxhash.xxh64_intdigest(codes.tobytes(), 1)
-                        if unit not in found:
-                            found[unit] = np.unique(shingles(codes)).tobytes()
+                for line in lines_of(text):
+                    key = paragraph_key(line)
+                    at = key % MASK_BITS
+                    if bits[at >> 3] >> (at & 7) & 1 and key not in found:
+                        words = line.split()
+                        if len(words) >= PARAGRAPH_WORDS:
+                            found[key] = np.unique(shingles(known.of(words))).tobytes()
             yield pd.DataFrame({
                 "unit": np.array(list(found), np.uint64).view(np.int64), "shingles": list(found.values())})
 
@@ -154,43 +201,57 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
 
 
 def similar_links(similarity: float):
-    """Links joining the similar paragraphs of each group, verified by the exact Jaccard similarity of their shingles."""
+    """Links joining the similar paragraphs of each group, verified by the exact Jaccard similarity of their shingles.
+
+    A pair is compared in the first of the bands that it shares only.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for rows in batches:
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
             group = rows["group"].to_numpy()
-            new = np.flatnonzero(group[1:] != group[:-1]) + 1
-            ends = new.tolist()
-            for s, e in zip([0, *ends[:-1]] if ends else [], ends):
-                yield links(rows.iloc[s:e])
-            held = rows.iloc[ends[-1] if ends else 0:]
+            ends = (np.flatnonzero(group[1:] != group[:-1]) + 1).tolist()
+            last = ends[-1] if ends else 0
+            if last:
+                yield links(rows.iloc[:last], ends)
+            held = rows.iloc[last:]
         if held is not None and len(held):
-            yield links(held)
+            yield links(held, [len(held)])
+
+    def links(rows: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
+        unit, block, band = rows["unit"].tolist(), rows["block"].tolist(), rows["band"].iloc[:].tolist()
+        sets, bands = rows["shingles"].tolist(), np.stack(rows["bands"].tolist())
+        found, start = [], 0
+        for end in ends:
+            found += forest(start, end, unit, block, band[start], sets, bands)
+            start = end
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        unit = rows["unit"].tolist()
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        block = rows["block"].tolist()
-        parent, found = list(range(len(unit))), []
-        crossing = len(set(block)) > 1  # pairs inside a block belong to the block's own cell
+    def forest(start, end, unit, block, band, sets, bands) -> list[tuple[int, int]]:
+        values = [np.frombuffer(s, np.uint64) for s in sets[start:end]]
+        sizes = np.array([len(v) for v in values])
+        crossing = len(set(block[start:end])) > 1  # pairs inside a block belong to the block's own cell
+        inside = np.array(block[start:end])
+        parent, found = list(range(end - start)), []
 
         def top(i: int) -> int:
             while parent[i] != i:
                 parent[i] = i = parent[parent[i]]
             return i
 
-        for i in range(len(unit)):
-            for j in range(i):
-                x, y = sets[i], sets[j]
-                small, large = sorted((len(x), len(y)))
-                if small < similarity * large or crossing and block[i] == block[j] or top(i) == top(j):
+        for i in range(1, end - start):
+            same = bands[start:start + i] == bands[start + i]
+            shared = bands[start + i][same.argmax(1)] == band
+            near = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])
+            open_ = shared & near & (inside[:i] != inside[i]) if crossing else shared & near
+            for j in np.flatnonzero(open_).tolist():
+                if top(i) == top(j):
                     continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= similarity * (small + large - common):
+                common = len(np.intersect1d(values[i], values[j], assume_unique=True))
+                if common >= similarity * (len(values[i]) + len(values[j]) - common):
                     parent[top(i)] = top(j)
-                    found.append((unit[i], unit[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                    found.append((unit[start + i], unit[start + j]))
+        return found
 
     return run
 
@@ -201,19 +262,22 @@ def paragraph_links(found: DataFrame, docs: DataFrame, similarity: float, block:
     Every two members of a band are compared. A band of over `block` paragraphs is laid out as a grid of blocks, a
     task for each two of them; nothing is left out, and only a spanning forest of each comparison goes on.
     """
-    index = found.where("kind = 1").groupBy("unit").agg(F.min("bands").alias("bands")).select(
-        "unit", F.explode("bands").alias("band"))
-    index = stored(index, "bands")
-    sizes = index.groupBy("band").count().where("count > 1").withColumn(
+    # Equal paragraphs have equal bands.
+    index = found.where("kind = 1").groupBy("unit").agg(F.min("bands").alias("bands"))
+    index = stored(index, "signed")
+    entries = index.select("unit", F.explode("bands").alias("band"))
+    sizes = entries.groupBy("band").count().where("count > 1").withColumn(
         "blocks", F.ceil(F.col("count") / block).cast("int"))
-    members = index.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    members = entries.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
     cells = members.select("unit", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = stored(cells.select(
-        "unit", F.col("own").alias("block"),
+        "unit", "band", F.col("own").alias("block"),
         F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("group")), "cells")
-    wanted = paragraph_sets(docs).join(cells.select("unit").distinct(), "unit", "left_semi").dropDuplicates(["unit"])
+    wanted = cells.select("unit").distinct().join(index, "unit")
+    sets = paragraph_sets(docs, wanted_mask(wanted)).join(wanted, "unit").groupBy("unit", "bands").agg(
+        F.min("shingles").alias("shingles"))
     return (
-        cells.join(wanted, "unit").repartition("group").sortWithinPartitions("group", "unit")
+        cells.join(sets, "unit").repartition("group").sortWithinPartitions("group", "unit")
         .mapInPandas(similar_links(similarity), "a long, b long"))
 
 
