@@ -51,5 +51,20 @@ def test_prompt_call_and_apply(table):
     moderated = M.apply_moderation(comments, batches, decisions)
     assert moderated.count() == 12
     assert rows(moderated.filter("classification is not null"), "comment_id", "classification", "mod_action", "reason") == [("11", "spam", "remove", "ad")]
-    default = M.parse_moderation(M.call_scorer(prompts))
-    assert default.count() == 12
+
+
+def test_a_failing_batch_costs_itself_only(table):
+    prompts = table("video_id STRING, batch_no BIGINT, batch_rows BIGINT, prompt STRING",
+                    [("v", i, 1, "bad" if i == 2 else "Comment 1: x") for i in range(1, 5)])
+
+    good = block(1, "- Classification: a", "- Action: b", "- Reason: c")
+
+    def maker():
+        def reply(prompts):
+            return prompts.map(lambda p: good if p != "bad" else 1 / 0)
+        return reply
+
+    replies = M.call_scorer(prompts, maker)
+    assert rows(M.parse_moderation(replies), "batch_no") == [(1,), (3,), (4,)]
+    assert rows(M.call_outcomes(replies)) == [(3, 1)]
+    assert replies.filter("error is not null").first()["error"].startswith("ZeroDivisionError")

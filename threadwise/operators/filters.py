@@ -38,8 +38,13 @@ def with_split_classification(df: DataFrame) -> DataFrame:
 
 def faceted_search(df: DataFrame, content: str | None = None, sentiment: str | None = None,
                    query: str | None = None) -> DataFrame:
-    """Rows that meet all given facets: class, sentiment, text fragment in any case."""
-    found = with_split_classification(df)
+    """Rows that meet all given facets: class, sentiment, text fragment in any case.
+
+    The facets are the stored columns, so that the scan can skip by them; a table without them has its combined
+    class split.
+    """
+    stored = {"content_class", "sentiment"} <= set(df.columns)
+    found = df if stored else with_split_classification(df)
     if content:
         found = found.filter(F.col("content_class") == content)
     if sentiment:

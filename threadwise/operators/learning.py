@@ -197,13 +197,23 @@ ScorerMaker = Callable[[], Callable[[pd.Series], pd.Series]]
 
 
 def apply_scorer(df: DataFrame, maker: ScorerMaker, text: str = "text", name: str = "toxicity_scores") -> DataFrame:
-    """Add a map of label scores from a user scorer, batch by batch."""
+    """Add a map of label scores from a user scorer, batch by batch; a text whose scoring fails has no map."""
 
     @F.pandas_udf(SCORES)
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = maker()
+
+        def one(text: str) -> dict | None:
+            try:
+                return scorer(pd.Series([text])).iloc[0]
+            except Exception:  # whatever the user's model raises costs this text only
+                return None
+
         for part in parts:
-            yield scorer(part)
+            try:
+                yield scorer(part)
+            except Exception:
+                yield part.map(one)
 
     return df.withColumn(name, score(F.col(text)))
 

@@ -32,27 +32,35 @@ def moderation_prompts(batches: DataFrame) -> DataFrame:
     return batches.groupBy(*BATCH).agg(F.count("*").alias("batch_rows"), prompt.alias("prompt"))
 
 
-def default_reply_maker() -> Callable[[pd.Series], pd.Series]:
-    """Deterministic stand-in for a model: allows every comment of the prompt."""
-    answer = "Comment {}:\n- Classification: neutral\n- Action: allow\n- Reason: no rule matched"
+def call_scorer(prompts: DataFrame, maker: ReplyMaker, prompt: str = "prompt", tasks: int | None = None) -> DataFrame:
+    """Replace the prompt column by the reply of a user function, with the error of a batch that failed.
 
-    def reply(prompts: pd.Series) -> pd.Series:
-        counts = prompts.str.count(r"(?m)^Comment \d+: ")
-        return counts.map(lambda n: "\n".join(answer.format(i + 1) for i in range(n)))
-
-    return reply
-
-
-def call_scorer(prompts: DataFrame, maker: ReplyMaker = default_reply_maker, prompt: str = "prompt") -> DataFrame:
-    """Replace the prompt column by the reply of a user function, partition by partition."""
+    Calls are slow, so the prompts are dealt out evenly over `tasks` (by default the shuffle partitions). A prompt
+    whose call raises has no reply and the others go on.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reply = maker()
+
+        def answer(text: str) -> tuple[str | None, str | None]:
+            try:
+                return reply(pd.Series([text])).iloc[0], None
+            except Exception as error:  # whatever the user's model raises ends its batch only
+                return None, f"{type(error).__name__}: {error}"
+
         for part in parts:
-            yield part.assign(reply=reply(part[prompt])).drop(columns=prompt)
+            found = [answer(text) for text in part[prompt]]
+            yield part.assign(reply=[r for r, _ in found], error=[e for _, e in found]).drop(columns=prompt)
 
     fields = [f for f in prompts.schema.fields if f.name != prompt]
-    return prompts.mapInPandas(run, T.StructType([*fields, T.StructField("reply", T.StringType())]))
+    added = [T.StructField(name, T.StringType()) for name in ("reply", "error")]
+    spread = prompts.repartition(tasks or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInPandas(run, T.StructType([*fields, *added]))
+
+
+def call_outcomes(replies: DataFrame) -> DataFrame:
+    """Batches answered and failed."""
+    return replies.agg(F.count_if(F.col("error").isNull()).alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
 def parse_moderation(replies: DataFrame) -> DataFrame:

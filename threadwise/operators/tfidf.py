@@ -12,7 +12,7 @@ def terms(text: Column, stop_words: list[str]) -> Column:
     return F.filter(found, lambda t: ~t.isin(stop_words))
 
 
-def vocabulary(documents: DataFrame, text: str = "text", stop_words: list[str] = C.STOP_WORDS,
+def vocabulary(documents: DataFrame, text: str = "text", stop_words: list[str] = C.ENGLISH_STOP_WORDS,
                max_terms: int = C.MAX_TERMS, min_df: int = C.MIN_DOC_FREQ) -> DataFrame:
     """The most frequent terms found in at least min_df documents: never more than max_terms rows.
 
@@ -29,18 +29,18 @@ def vocabulary(documents: DataFrame, text: str = "text", stop_words: list[str] =
     return counts.filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_terms).drop("total")
 
 
-def tfidf(documents: DataFrame, key: str, text: str = "text", stop_words: list[str] = C.STOP_WORDS,
+def tfidf(documents: DataFrame, key: str, text: str = "text", stop_words: list[str] = C.ENGLISH_STOP_WORDS,
           max_terms: int = C.MAX_TERMS, min_df: int = C.MIN_DOC_FREQ) -> DataFrame:
     """Smoothed, L2-normalised TF-IDF weights over the top terms.
 
-    The vocabulary is bounded by max_terms and broadcast. Only its terms are shuffled, once, to their document,
-    where they are counted and the norm is taken.
+    The vocabulary is bounded by max_terms and broadcast. Its terms are counted per document before they are shuffled;
+    one row for each term of a document meets the others for the norm.
     """
     known = vocabulary(documents, text, stop_words, max_terms, min_df)
     documents_total = documents.agg(F.count("*")).scalar()
     idf = F.log((documents_total + 1) / (F.col("df") + 1)) + 1
     found = documents.select(key, F.explode(terms(F.col(text), stop_words)).alias("term"))
-    hits = found.join(F.broadcast(known), "term").repartition(key)
+    hits = found.join(F.broadcast(known), "term")
     weighted = hits.groupBy(key, "term", "df").agg(F.count("*").alias("tf")).withColumn("__w", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", "tf", (F.col("__w") / norm).alias("weight"))

@@ -8,7 +8,7 @@ from threadwise import constants as C
 from threadwise.operators import feedback, learning
 from threadwise.operators.tfidf import tfidf as tfidf_weights
 from threadwise.plans.catalog import query
-from threadwise.plans.oracle_text import STOP_SQL
+from threadwise.plans.oracle_text import sql_list
 from threadwise.plans.views import Tables
 from threadwise.session import scratch_dir
 from threadwise.sources.tables import append_rows, scan_table
@@ -35,7 +35,7 @@ def _model(q: Tables):
 @query(["comments_doc"], rf"""
 with terms as (
   select comment_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'),
-                            lambda w: length(w) > 1 and w not in ({STOP_SQL}))) as term from comments_doc),
+                            lambda w: length(w) > 1 and w not in ({sql_list(C.ENGLISH_STOP_WORDS)}))) as term from comments_doc),
 tf as (select comment_id, term, count(*) as tf from terms group by all),
 vocabulary as (
   select term, count(*) as df, sum(tf) as total from tf group by term having count(*) >= 2

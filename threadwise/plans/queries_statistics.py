@@ -1,6 +1,8 @@
 """Queries: filters, joins, aggregates, windows and top-k (sections 2.2 to 2.7 of the survey)."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from threadwise.functions.text import INDICATORS, spam_indicators
 from threadwise.operators import feedback, filters, keywords, ordering, quality, statistics, threads
@@ -442,9 +444,19 @@ def orphan_rows(q):
     )
 
 
-@query(["spam_training"], "select comment_id, count(*) as n from spam_training group by comment_id having count(*) > 1")
+@query(["spam_training", "comments_ev", "videos"], """
+select 'spam_training' as table_name, comment_id as key, count(*) as n from spam_training group by comment_id having count(*) > 1
+union all select 'comments', comment_id, count(*) from (select comment_id from comments_ev union all
+  select comment_id from comments_ev where video_id = 'v3') group by comment_id having count(*) > 1
+union all select 'videos', video_id, count(*) from videos group by video_id having count(*) > 1""")
 def duplicate_keys(q):
-    return quality.duplicate_keys(q("spam_training"), "comment_id")
+    """Keys of the declared tables that come twice; the comments of one video are loaded twice here."""
+    comments = q("comments_ev").select("comment_id", "video_id")
+    twice = comments.unionByName(comments.filter("video_id = 'v3'"))
+    checks = {"spam_training": (q("spam_training"), "comment_id"), "comments": (twice, "comment_id"), "videos": (q("videos"), "video_id")}
+    found = [quality.duplicate_keys(df, key).select(F.lit(name).alias("table_name"), F.col(key).alias("key"), "n")
+             for name, (df, key) in checks.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(["threads"], """
@@ -452,6 +464,7 @@ select 'video_id' as column_name, count(*) - count(video_id) as nulls from threa
 union all select 'comment_id', count(*) - count(comment_id) from threads
 union all select 'author', count(*) - count(author) from threads
 union all select 'text', count(*) - count(text) from threads
-union all select 'parent_id', count(*) - count(parent_id) from threads""")
+union all select 'timestamp', count(*) - count(published_at) from threads""")
 def null_violations(q):
-    return quality.null_violations(q("threads"), ["video_id", "comment_id", "author", "text", "parent_id"])
+    """NULLs in the columns that a comment table declares NOT NULL."""
+    return quality.null_violations(q("threads").withColumn("timestamp", F.col("published_at")))

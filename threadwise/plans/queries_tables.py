@@ -59,6 +59,21 @@ def scan_comments(q):
     return q("comments_ev").drop("text", "reason", "updated_at")
 
 
+SINCE = "2024-01-20 12:00:00"
+
+
+@query(["comments_ev"], f"""
+select comment_id, video_id, author, text, timestamp, likes, spam_score, is_spam from comments_ev
+where timestamp >= timestamp '{SINCE}'""")
+def scan_stored_days(q):
+    """Comments written under one folder per day; the scan skips the folders before the time."""
+    folder = scratch_dir(q.spark, "days")
+    tables.store_by_day(q("comments_ev"), folder)
+    since = F.lit(SINCE).cast("timestamp_ntz")
+    return tables.scan_since(q.spark, folder, COMMENTS, since).select(
+        "comment_id", "video_id", "author", "text", "timestamp", "likes", "spam_score", "is_spam")
+
+
 THREAD_ROWS = """
 select comment_id, video_id, parent_id, coalesce(author, 'Unknown') as author, text, likes,
        strptime(published_at, '%Y-%m-%dT%H:%M:%SZ') as timestamp, reply_count from threads"""

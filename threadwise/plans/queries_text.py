@@ -112,11 +112,13 @@ def _scored(q):
 
 ANALYZED_SQL = f"""
 verdicts as (
-  select comment_id, compound, greatest(toxic, insult, threat) as toxicity_score, {_named(VERDICT_SQL)}
+  select comment_id, compound, insult as insult_score, {FEATURES_SQL['word_count']} as feature_words,
+         {FEATURES_SQL['url_count']} as feature_urls, greatest(toxic, insult, threat) as toxicity_score, {_named(VERDICT_SQL)}
   from (select comment_id, text from comments_doc where classification is null or spam_score is null)
   join model_scores using (comment_id)),
 analyzed as (
-  select comment_id, toxicity_score, spam_score, is_spam, confidence, compound as emotional_score,
+  select comment_id, toxicity_score, spam_score, is_spam, confidence, compound as emotional_score, insult_score,
+         feature_words, feature_urls,
          {LABEL_SQL.format(c='compound')} as sentiment, {CLASS_SQL.format(s='spam_score', t='toxicity_score')} as content_class
   from verdicts)"""
 
@@ -126,8 +128,10 @@ with {ANALYZED_SQL}
 select *, content_class || ':' || sentiment as classification, false as is_error from analyzed""")
 def analyze_comments(q):
     results = analyze.analyze_queue(_scored(q))
-    return results.select("comment_id", "toxicity_score", "spam_score", "is_spam", "confidence", "emotional_score",
-                          "sentiment", "content_class", "classification", "is_error")
+    return results.select(
+        "comment_id", "toxicity_score", "spam_score", "is_spam", "confidence", "emotional_score", "sentiment",
+        "content_class", "classification", "is_error", F.col("toxicity_scores")["insult"].alias("insult_score"),
+        F.col("spam_features.word_count").alias("feature_words"), F.col("spam_features.url_count").alias("feature_urls"))
 
 
 @query(["comments_doc", "model_scores"], f"""
@@ -286,14 +290,48 @@ def summary_prompts(q):
     return video_stats.summary_prompts(video_stats.comment_stats_document(q("comments_doc")))
 
 
-@query(["comments_doc"], """
+INSULTS = ["idiot", "moron", "stupid", "scum", "trash", "loser"]
+
+
+def rule_reply_maker():
+    """Replies by rule: insults are removed, license lines flagged. A prompt about none of its comments is refused."""
+    import re
+
+    def decide(text):
+        low = text.lower()
+        found = [w for w in INSULTS if w in low]
+        if found:
+            return "offensive", "remove", f"insult: {found[0]}"
+        return ("spam", "flag", "license line") if "license" in low else ("neutral", "allow", "no rule matched")
+
+    def reply(prompts):
+        def answer(prompt):
+            head = prompt[:prompt.rindex("\n\nClassify every comment")]
+            texts = re.split(r"(?m)^Comment \d+: ", head)[1:]
+            if not any(ch.isalpha() for t in texts for ch in t):
+                raise ValueError("nothing to judge")
+            blocks = ["Comment {}:\n- Classification: {}\n- Action: {}\n- Reason: {}".format(n, *decide(t))
+                      for n, t in enumerate(texts, 1)]
+            return "\n".join(blocks)
+        return prompts.map(answer)
+
+    return reply
+
+
+FIRST_INSULT = "case " + " ".join(f"when contains(lower(text), '{w}') then '{w}'" for w in INSULTS) + " end"
+
+
+@query(["comments_doc"], f"""
 with numbered as (
-  select video_id, row_number() over (partition by video_id order by timestamp, comment_id) as r
-  from comments_doc where classification is null)
+  select video_id, text, row_number() over (partition by video_id order by timestamp, comment_id) as r
+  from comments_doc where classification is null),
+judged as (select *, {FIRST_INSULT} as insult, contains(lower(text), 'license') as licensed from numbered)
 select video_id, cast(ceil(r / 10.0) as bigint) as batch_no, (r - 1) % 10 + 1 as comment_no,
-       'neutral' as classification, 'allow' as mod_action, 'no rule matched' as reason
-from numbered""")
+       case when insult is not null then 'offensive' when licensed then 'spam' else 'neutral' end as classification,
+       case when insult is not null then 'remove' when licensed then 'flag' else 'allow' end as mod_action,
+       case when insult is not null then 'insult: ' || insult when licensed then 'license line' else 'no rule matched' end as reason
+from judged""")
 def call_scorer(q):
-    """The whole round: prompts, the default reply function, parsed decisions."""
+    """The whole round: prompts, replies by rule, parsed decisions."""
     prompts = moderation.moderation_prompts(_queue_batches(q))
-    return moderation.parse_moderation(moderation.call_scorer(prompts))
+    return moderation.parse_moderation(moderation.call_scorer(prompts, rule_reply_maker).drop("error"))
