@@ -92,4 +92,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_uniform_threshold": """
+with v as (select vec_id, [cast(floor(1024 * cast(x as double)) as double) for x in embedding] as e from embeddings),
+pairs as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 10""",
+    "op5_tool_call_linking": r"""
+with t as (
+  select *, case role when 'user' then turn when 'assistant' then turn - 1 end as number,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from conversations),
+l as (
+  select t.*, 'call-' || number as call_id,
+         exists (select 1 from t c where c.conv_id = t.conv_id and c.role = 'user' and c.turn = t.number) as has_call,
+         exists (select 1 from t r where r.conv_id = t.conv_id and r.role = 'assistant' and r.number = t.number) as has_result
+  from t)
+select conv_id, turn, case role when 'assistant' then 'tool' else role end as role, call_id,
+       case when role = 'user' and has_result then 'answered' when role = 'user' then 'unanswered'
+            when role = 'assistant' and has_call then 'linked' when role = 'assistant' then 'orphan' else 'plain' end as link,
+       turn as "at", 0 as step,
+       case when role = 'user' then concat_ws('; ',
+         case when length(text) < 1 then 'minLength of prompt' end, case when length(text) > 400 then 'maxLength of prompt' end,
+         case when words < 5 then 'minimum of words' end, case when words > 64 then 'maximum of words' end) end as errors,
+       cast(case when role = 'user' then to_json({'arguments': cast(to_json({'prompt': text, 'words': words}) as varchar),
+                                                  'call_id': call_id, 'name': 'reply', 'role': role})
+                 when role = 'assistant' then to_json({'call_id': call_id, 'content': text, 'role': 'tool'})
+                 else to_json({'content': text, 'role': role}) end as varchar) as json
+from l""",
+}
