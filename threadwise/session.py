@@ -25,7 +25,7 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder named by spark.checkpoint.dir.
+    """A new folder below the shared folder named by spark.checkpoint.dir, removed when the application ends.
 
     Only a local session may go without the setting; a cluster needs storage every executor sees.
     """
@@ -33,9 +33,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        return tempfile.mkdtemp(prefix=f"threadwise-{name}-")
-    token = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{root.rstrip('/')}/threadwise-{name}-{token}"
+        root = tempfile.gettempdir()
+    jvm = spark.sparkContext._jvm
+    own = f"{root.rstrip('/')}/threadwise-{spark.sparkContext.applicationId}"
+    folder = jvm.org.apache.hadoop.fs.Path(own)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{own}/{name}-{jvm.java.util.UUID.randomUUID().toString()}"
 
 
 def checkpointed(df):
