@@ -1,7 +1,7 @@
 """Token ids in bit-plane files: fixed-size blocks of ids, transposed, compressed plane by plane, with a chunk index."""
 
-import json
 from collections.abc import Iterator
+from struct import pack
 from zlib import crc32
 
 import numpy as np
@@ -16,8 +16,8 @@ END_ID = 1
 #: Ids of a block.
 BLOCK = 1 << 16
 LEVEL = 1
-#: Chunks of text between blanks whose ids a task remembers.
-REMEMBERED = 300_000
+#: Chunks of text between blanks and words whose ids a task remembers: about 150 MB.
+REMEMBERED = 800_000
 POLYNOMIAL = 0xEDB88320
 
 FILE_SCHEMA = (
@@ -60,17 +60,17 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        plan = json.loads(self.tokenizer.to_str())
-        split = str(plan["pre_tokenizer"])
-        self.by_word = "'Lowercase'" in str(plan["normalizer"]) and "'Removed'" in split and "ByteLevel" in split and bool(
-            plan["model"].get("end_of_word_suffix"))
         self.model = self.tokenizer.model
+        steps = [repr(self.tokenizer.normalizer), repr(self.tokenizer.pre_tokenizer)]
+        self.by_word = "Lowercase" in steps[0] and "Removed" in steps[1] and "ByteLevel" in steps[1] and bool(
+            getattr(self.model, "end_of_word_suffix", None))
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {"": b""}
 
     def _word(self, word: str) -> bytes:
         letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        found = self.model.tokenize(letters)
+        return pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -93,10 +93,9 @@ class Encoder:
         chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         found = list(map(known.get, chunks))
         if None in found:
-            for at, ids in enumerate(found):
-                if ids is None:
-                    chunk = chunks[at]
-                    found[at] = known.get(chunk) or known.setdefault(chunk, self._chunk(chunk))
+            for at in [i for i, ids in enumerate(found) if ids is None]:
+                chunk = chunks[at]
+                found[at] = known.get(chunk) or known.setdefault(chunk, self._chunk(chunk))
         if len(known) > REMEMBERED:
             self.known = {"": b""}
         return b"".join(found)
