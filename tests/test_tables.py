@@ -128,15 +128,16 @@ def test_checkpoint_is_reliable(spark, table):
     assert spark.sparkContext.getCheckpointDir()
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
     def session(shared):
         conf = SimpleNamespace(get=lambda key, default: shared)
-        context = SimpleNamespace(master="yarn", _jvm=spark.sparkContext._jvm)
+        own = spark.sparkContext
+        context = SimpleNamespace(master="yarn", _jvm=own._jvm, _jsc=own._jsc, applicationId=own.applicationId)
         return SimpleNamespace(conf=conf, sparkContext=context)
 
     with pytest.raises(ValueError):
         scratch_dir(session(None), "x")
-    assert scratch_dir(session("hdfs://shared/"), "x").startswith("hdfs://shared/threadwise-x-")
+    assert scratch_dir(session(f"file://{tmp_path}/"), "x").startswith(f"file://{tmp_path}/threadwise-{spark.sparkContext.applicationId}/x-")
 
 
 def test_quality(table):

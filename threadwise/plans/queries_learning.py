@@ -150,7 +150,7 @@ union all
 select 'spam', 'v' || cast(epoch(max(labeled_at)) as bigint),
        '{"total_samples":' || count(*) || ',"spam_samples":' || count(case when is_spam then 1 end)
        || ',"ham_samples":' || count(case when not is_spam then 1 end) || '}',
-       '{"depth": 10, "seed": 42, "trees": 100}', timestamp '2024-02-01 00:00:00' from spam_training""")
+       '{"depth": 30, "seed": 42, "trees": 100}', timestamp '2024-02-01 00:00:00' from spam_training""")
 def register_version(q):
     """The registry after a training run has appended its version and its metrics."""
     from threadwise.functions.times import seconds_between
