@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from threadwise.llm.shared import stored
+from threadwise.llm.shared import in_small_batches, stored
 
 
 @dataclass(frozen=True)
@@ -220,7 +220,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), text_col: str = "tex
                     weight[at:at + CHUNK].tobytes()], "value": [value[at:at + CHUNK].tobytes()]})
 
     schema = "model long, name string, part int, weight binary, value binary"
-    texts = docs.select(F.col(text_col).alias("text"), F.spark_partition_id().alias("task"))
+    texts = in_small_batches(docs).select(F.col(text_col).alias("text"), F.spark_partition_id().alias("task"))
     models = _averaged(stored(texts.mapInPandas(run, schema), "models"), settings.fan_in)
     net = Network.new(settings)
     parts = sorted(models.collect(), key=lambda r: r["part"])  # one network

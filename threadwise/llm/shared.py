@@ -8,6 +8,22 @@ from threadwise.session import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes and rows of texts that go to a Python worker at once, at most.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+ARROW = "spark.sql.execution.arrow"
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """The rows, in a session whose Arrow batches are bounded for texts: a worker and the JVM beside it hold a few
+    megabytes of them at a time. A lower setting of the user's stays."""
+    conf = docs.sparkSession.conf
+    for key, most in ((f"{ARROW}.maxRecordsPerBatch", BATCH_ROWS), (f"{ARROW}.maxBytesPerBatch", BATCH_BYTES)):
+        held = conf.get(key).rstrip("b")  # as set, or Spark's default in bytes
+        if not held.isdigit() or not 0 < int(held) <= most:
+            conf.set(key, str(most))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

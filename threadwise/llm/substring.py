@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from threadwise.llm.components import connected_components
-from threadwise.llm.shared import fresh, stored, text_key, with_row_key
+from threadwise.llm.shared import fresh, in_small_batches, stored, text_key, with_row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -158,7 +158,7 @@ def units(docs: DataFrame, signer: Signer) -> DataFrame:
             pa.array(np.repeat([1, 0], [len(whole), len(line)]), pa.int32()), pa.array(unit),
             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))], schema=UNITS)
 
-    return docs.mapInArrow(
+    return in_small_batches(docs).mapInArrow(
         run, "id long, thash long, start int, words int, kind int, unit long, bands array<long>")
 
 

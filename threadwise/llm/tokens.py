@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from threadwise.llm.shared import text_key
+from threadwise.llm.shared import in_small_batches, text_key
 
 END_ID = 1
 #: Ids of a block.
@@ -141,7 +141,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         if parts:
             yield close(shard)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        text_key(F.col(text_col)).alias("key"))
     ranged = rows.repartitionByRange("id", "key").sortWithinPartitions("id", "key")
     return ranged.select(F.spark_partition_id().alias("shard"), "id", "text").mapInPandas(run, FILE_SCHEMA)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from threadwise.llm.shared import fresh, stored
+from threadwise.llm.shared import fresh, in_small_batches, stored
 
 TERM = re.compile(r"[^\W_]+")
 
@@ -141,7 +141,7 @@ def scored(docs: DataFrame, machine: Machine, score_col: str = "score") -> DataF
         for batch in texts:
             yield pd.Series([machine.score(t) for t in batch], dtype=float)
 
-    return docs.withColumn(score_col, F.pandas_udf(run, "double")(F.col("text")))
+    return in_small_batches(docs).withColumn(score_col, F.pandas_udf(run, "double")(F.col("text")))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
