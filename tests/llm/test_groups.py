@@ -186,3 +186,45 @@ def test_near_equal_paragraphs_and_repeated_rows(spark):
     got = substring.repeated_passages(df).collect()
     assert [(r["doc_id"], r["n_words"], r["kept_doc_ids"]) for r in got] == [(1, 100, [0])]
     assert sorted(str(r["doc_id"]) for r in substring.without_repeats(df).collect()) == ["0", "2", "9", "None"]
+
+
+@pytest.mark.parametrize("layout", ["middle of a sentence", "short sentences", "no stops", "short lines"])
+def test_passages_are_found_in_full_length_whatever_their_layout(spark, layout):
+    rng = random.Random(9)
+    words = [prose(rng, 20) for _ in range(3)]
+    if layout == "short sentences":
+        words = [" ".join(w + "." * (i % 5 == 4) for i, w in enumerate(part.split())) for part in words]
+    passage = " ".join(words)
+    other = passage
+    if layout == "short lines":
+        other = "\n".join(" ".join(passage.split()[i:i + 6]) for i in range(0, 60, 6))
+    stop = "." if layout == "middle of a sentence" else ""
+    hosts = [prose(rng, 300).replace(" ", "_", 1) for _ in range(4)]
+    texts = [f"{hosts[0]} {passage} {hosts[1]}{stop}", f"{hosts[2]} {other} {hosts[3]}{stop}"]
+    texts += [passage + " " + prose(rng, 30), prose(rng, 200)]
+    df = docs_of(spark, texts, [4, 5, None, 6])
+    got = {r["doc_id"]: r for r in substring.repeated_passages(df).collect()}
+    assert set(got) == {5, None}
+    assert (got[5]["start_word"], got[5]["n_words"], got[5]["kept_doc_ids"]) == (299, 60, [4])
+    assert (got[None]["start_word"], got[None]["n_words"], got[None]["kept_doc_ids"]) == (0, 60, [4])
+    kept = {r["doc_id"]: r["text"] for r in substring.without_repeats(df).collect()}
+    assert kept[4] == texts[0] and kept[5].split() == f"{hosts[2]} {hosts[3]}{stop}".split() and kept[6] == texts[3]
+
+
+def test_chosen_windows_are_common_to_every_run_of_fifty_words():
+    rng = np.random.default_rng(10)
+    for _ in range(50):
+        run, sides = rng.integers(0, 1 << 62, 50, np.uint64), rng.integers(0, 1 << 62, (4, 40), np.uint64)
+        found = []
+        for a, b in (sides[:2], sides[2:]):
+            text = np.concatenate((a, run, b))
+            at, hashed = substring.chosen_windows(text, np.zeros(len(text), int))
+            found.append({(s - 40, h) for s, h in zip(at.tolist(), hashed.tolist()) if 40 <= s <= 70})
+        assert found[0] & found[1]
+    at, _ = substring.chosen_windows(np.tile(run, 2), np.repeat([0, 1], 50))
+    assert at.tolist() == [at[0], at[0] + 50]
+
+
+def test_text_that_repeats_itself_keeps_its_first_window(spark):
+    got = substring.repeated_passages(docs_of(spark, ["a " * 100, None])).collect()
+    assert [(r["doc_id"], r["start_word"], r["n_words"], r["kept_doc_ids"]) for r in got] == [(0, 20, 80, [0])]

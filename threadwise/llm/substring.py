@@ -1,4 +1,4 @@
-"""Removal of repeated passages: paragraphs joined by MinHash bands, sentences by their words."""
+"""Removal of repeated passages: paragraphs joined by MinHash bands, sentences and chosen windows by their words."""
 
 from collections.abc import Iterator
 
@@ -19,6 +19,10 @@ HASHES, RECALL = 30, 0.999
 PARAGRAPH_WORDS, SENTENCE_WORDS, PASSAGE_WORDS = 20, 8, 20
 #: A longer sentence is cut at words chosen by their hash, so that copies are cut alike.
 LONG_SENTENCE = 48
+#: Words of a window, and how many neighbouring windows there are for each one that is chosen: a run of
+#: WINDOW_WORDS + CHOICE - 1 words holds a chosen one, the same wherever the run stands. The run goes on for less than
+#: CHOICE words beyond its outer ones.
+WINDOW_WORDS, CHOICE = 20, 31
 #: Paragraphs that a task compares at once; a larger group is compared block by block.
 BLOCK = 512
 PRIME = np.uint64((1 << 61) - 1)
@@ -68,6 +72,35 @@ def sentences(codes: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(([0], ends[:-1])), ends
 
 
+def sliding(least_or_most, values: np.ndarray, n: int) -> np.ndarray:
+    """The least or most of each n neighbours."""
+    held = 1
+    while held < n:
+        step = min(held, n - held)
+        values = least_or_most(values[:-step], values[step:])
+        held += step
+    return values
+
+
+def chosen_windows(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows that have the least hash of CHOICE neighbours (winnowing), whatever the lines.
+
+    text is the number of each word's text; no window and no neighbours cross texts.
+    """
+    most = WINDOW_WORDS + CHOICE - 1
+    if len(codes) < most:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    parts, n = shingles(codes), len(codes) - WINDOW_WORDS + 1
+    hashed = np.zeros(n, np.uint64)
+    for i in range(0, WINDOW_WORDS, SHINGLE):
+        hashed = mixed(hashed ^ parts[i:i + n])
+    least = sliding(np.minimum, hashed, CHOICE)
+    least[text[:len(least)] != text[most - 1:]] = 0
+    edge = np.zeros(CHOICE - 1, np.uint64)
+    at = np.flatnonzero(sliding(np.maximum, np.concatenate((edge, least, edge)), CHOICE) == hashed)
+    return at, hashed[at]
+
+
 def lines_of(text: str | None) -> list[bytes]:
     """The lines of a text, A-Z in lower case."""
     return (text or "").encode().lower().split(b"\n")
@@ -102,10 +135,10 @@ UNITS = pa.schema([("id", pa.int64()), ("thash", pa.int64()), ("start", pa.int32
 
 
 def units(docs: DataFrame, signer: Signer) -> DataFrame:
-    """Paragraphs (kind 1) and sentences (kind 0) of the texts: (id, thash, start, words, kind, unit, bands).
+    """Paragraphs (kind 1), sentences (kind 0) and windows (kind 2) of the texts: (id, thash, start, words, kind, unit, bands).
 
-    start counts the words of the text before the unit. unit is the hash of the paragraph, or of the sentence's words.
-    bands is empty for sentences.
+    start counts the words of the text before the unit. unit is the hash of the paragraph, or of the words of the
+    sentence or window. bands is filled for paragraphs only.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
@@ -120,7 +153,7 @@ def units(docs: DataFrame, signer: Signer) -> DataFrame:
             before = 0
             for line in lines_of(text):
                 found = line.split()
-                if len(found) >= SENTENCE_WORDS:
+                if found:
                     words += found
                     doc.append(number)
                     start.append(before)
@@ -148,14 +181,21 @@ def units(docs: DataFrame, signer: Signer) -> DataFrame:
         values = shingles(codes)[own[:len(codes) - SHINGLE + 1]]
         keys = signer.keys(values, np.cumsum(counts) - counts) if len(whole) else np.zeros((0, signer.bands), np.int64)
 
-        owner = np.concatenate((doc[whole], doc[line]))
-        offsets = np.concatenate((np.arange(len(whole) + 1) * signer.bands, np.full(len(line), keys.size)))
-        unit = np.concatenate((np.array(key, np.uint64)[whole], hashed)).view(np.int64)
+        text = np.repeat(doc, size)
+        window, content = chosen_windows(codes, text)
+        window_line = np.searchsorted(line_end, window, "right")
+
+        owner = np.concatenate((doc[whole], doc[line], text[window]))
+        exact = len(line) + len(window)
+        offsets = np.concatenate((np.arange(len(whole) + 1) * signer.bands, np.full(exact, keys.size)))
+        unit = np.concatenate((np.array(key, np.uint64)[whole], hashed, content)).view(np.int64)
+        begin, line = np.concatenate((begin, window)), np.concatenate((line, window_line))
+        sizes = np.concatenate((size[whole], end - begin[:len(end)], np.full(len(window), WINDOW_WORDS)))
         yield pa.RecordBatch.from_arrays([
             ids.take(pa.array(owner)), thash.take(pa.array(owner)),
             pa.array(np.concatenate((start[whole], start[line] + begin - line_start[line])), pa.int32()),
-            pa.array(np.concatenate((size[whole], end - begin)), pa.int32()),
-            pa.array(np.repeat([1, 0], [len(whole), len(line)]), pa.int32()), pa.array(unit),
+            pa.array(sizes, pa.int32()),
+            pa.array(np.repeat([1, 0, 2], [len(whole), len(end), len(window)]), pa.int32()), pa.array(unit),
             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))], schema=UNITS)
 
     return in_small_batches(docs).mapInArrow(
@@ -178,6 +218,18 @@ def wanted_mask(unit: DataFrame) -> np.ndarray:
     return mask
 
 
+def masked(members: DataFrame, mask: np.ndarray) -> DataFrame:
+    """The rows whose unit the mask lets through."""
+    sent = members.sparkSession.sparkContext.broadcast(mask)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for unit in batches:
+            at = unit.to_numpy() & (MASK_BITS - 1)
+            yield pd.Series(sent.value[at >> 3] >> (at & 7) & 1 == 1)
+
+    return members.where(F.pandas_udf(run, "boolean")("unit"))
+
+
 def paragraph_sets(docs: DataFrame, mask: np.ndarray) -> DataFrame:
     """(unit, shingles) of the paragraphs that the mask lets through: their different shingles' hashes, sorted, as bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(mask)
@@ -281,15 +333,77 @@ def paragraph_links(found: DataFrame, docs: DataFrame, similarity: float, block:
         .mapInPandas(similar_links(similarity), "a long, b long"))
 
 
+#: Key of a document without nulls, and that of the document where a repeat stays.
+KEY = ["none", "key", "thash"]
+HEAD_KEY = [f"head_{k}" for k in KEY]
+
+
+def own_key(id_col: str, thash: str, prefix: str = "") -> list:
+    return [F.col(id_col).isNull().alias(prefix + "none"), F.coalesce(F.col(id_col), F.lit(0)).alias(prefix + "key"),
+            F.col(thash).alias(prefix + "thash")]
+
+
+def surroundings(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """The places (KEY, start, end) with hashes of the CHOICE - 1 words before, nearest first, and of those after."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes()
+        for batch in batches:
+            out = []
+            for none, key, thash, text, spans in batch.itertuples(index=False):
+                words = text.encode().lower().split()
+                for s in spans:
+                    start, end = s["start"], s["end"]
+                    before, after = words[max(0, start - CHOICE + 1):start][::-1], words[end:end + CHOICE - 1]
+                    out.append((none, key, thash, start, end, *(
+                        (codes.of(w) >> np.uint64(33)).astype(np.int32) for w in (before, after))))
+            yield pd.DataFrame(out, columns=[*KEY, "start", "end", "before", "after"])
+
+    texts = in_small_batches(docs).select(*own_key("id", "thash"), "text")
+    wanted = places.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = texts.join(wanted, KEY).select(*KEY, "text", "spans").mapInPandas(
+        run, "none boolean, key long, thash long, start int, end int, before array<int>, after array<int>")
+    return found.dropDuplicates([*KEY, "start", "end"])  # of equal rows
+
+
+def extended(repeats: DataFrame, docs: DataFrame) -> DataFrame:
+    """(KEY, start, end, HEAD_KEY) of the repeats in their full length: as far as the words before and after them are
+    those at the first place, too. Repeats of one place that overlap are one. Where a text repeats itself at a distance of
+    less than a window (`a a a`), its first window stays."""
+    line = W.partitionBy(*KEY, *HEAD_KEY, "shift").orderBy("start", "end")
+    reach = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
+    parts = repeats.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    parts = parts.withColumn("part", F.sum("new").over(line)).groupBy(*KEY, *HEAD_KEY, "shift", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"))
+    parts = stored(parts.drop("part").withColumns({
+        "head_start": F.col("start") + F.col("shift"), "head_end": F.col("end") + F.col("shift")}), "parts")
+    place = [*KEY, "start", "end"]
+    first = parts.select(*[F.col(f"head_{c}").alias(c) for c in place])
+    around = stored(surroundings(parts.select(*place).unionByName(first).distinct(), docs), "surroundings")
+
+    def agreeing(side: str):
+        same = F.zip_with(side, f"head_{side}", lambda a, b: a.eqNullSafe(b))
+        other = F.array_position(same, False)
+        return F.when(other == 0, F.size(same)).otherwise(other - 1).cast("int")
+
+    both = parts.join(around, place).join(around.toDF(*[f"head_{c}" for c in around.columns]), [f"head_{c}" for c in place])
+    both = both.withColumns({"start": F.col("start") - agreeing("before"), "end": F.col("end") + agreeing("after")})
+    itself = (F.col("none") == F.col("head_none")) & (F.col("key") == F.col("head_key")) & (F.col("thash") == F.col("head_thash"))
+    return both.withColumn("start", F.when(
+        itself, F.greatest(F.col("start"), F.col("start") + F.col("shift") + WINDOW_WORDS)).otherwise(F.col("start"))
+    ).where("start < end").select(*KEY, "start", "end", *HEAD_KEY)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                       hashes: int = HASHES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Passages that repeat an earlier one: (doc_id, thash, start_word, n_words, kept_doc_ids), one row each.
 
     A paragraph is a line of the text. Paragraphs of at least 20 words that share a MinHash band and whose five-word
     shingles reach the Jaccard similarity form a cluster, by components; sentences of at least 8 words form one with
-    their equals, so that a passage inside a paragraph is found too. The first member of a cluster in the order of
-    (doc_id, text key, position) stays. The others are repeats; neighbouring repeats at most four words apart make up
-    a passage, and passages of at least 20 words are returned. kept_doc_ids lists the documents whose text stays for
+    their equals, and so do windows of 20 words chosen by their content, line ends ignored: any 50 words that stand at
+    two places have a chosen window in common. The first member of a cluster in the order of (doc_id, text key,
+    position) stays. The others are repeats; those of sentences and windows are extended word by word as far as the
+    text agrees with that at the first member. Neighbouring repeats at most four words apart make up a passage, and
+    passages of at least 20 words are returned. kept_doc_ids lists the documents whose text stays for
     it, null ids last in order and left out of the list. Null and empty texts have no passage. Repeated equal rows (id
     and text) count as one document. An empty table gives an empty table.
     """
@@ -298,23 +412,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = stored(units(rows, Signer(hashes, similarity, recall)), "units")
     roots = connected_components(paragraph_links(found, rows, similarity, block)).toDF("unit", "root")
     first = F.struct(F.col("id").isNull().alias("last"), "id", "thash", "start")
-    member = found.select("id", "thash", "start", "words", "unit", first.alias("place"))
+    member = found.select("id", "thash", "start", "words", "kind", "unit", first.alias("place"))
     # Classes by words first: copies combine before the shuffle.
     classes = member.groupBy("unit").agg(F.min("place").alias("first"), F.max("place").alias("final"))
     classes = classes.join(roots, "unit", "left").withColumn("class", F.coalesce("root", "unit"))
+    # A unit at one place with no link has no repeat: every linked unit is among the roots' nodes.
+    classes = stored(classes.where("root is not null or first <> final"), "classes")
     heads = classes.groupBy("class").agg(F.min("first").alias("head"), F.max("final").alias("final")).where("head <> final")
     heads = stored(classes.join(heads.select("class", "head"), "class").select("unit", "head"), "heads")
-    repeats = member.join(heads, "unit").where("place <> head").select(
-        "id", "thash", "start", (F.col("start") + F.col("words")).alias("end"), F.col("head.id").alias("kept")).distinct()
-    own = W.partitionBy("id", "thash").orderBy("start", "end", "kept")
+    repeats = masked(member, wanted_mask(heads)).join(heads, "unit").where("place <> head").select(
+        *own_key("id", "thash"), "start", (F.col("start") + F.col("words")).alias("end"),
+        *own_key("head.id", "head.thash", "head_"), (F.col("head.start") - F.col("start")).alias("shift"),
+        (F.col("kind") != 1).alias("exact")).distinct()
+    repeats = stored(repeats, "repeats")
+    spans = repeats.where("not exact").select(*KEY, "start", "end", *HEAD_KEY).unionByName(
+        extended(repeats.where("exact"), rows))
+    spans = spans.select(*KEY, "start", "end", F.when(~F.col("head_none"), F.col("head_key")).alias("kept")).distinct()
+    own = W.partitionBy(*KEY).orderBy("start", "end", "kept")
     reach = F.max("end").over(own.rowsBetween(W.unboundedPreceding, -1))
-    runs = repeats.withColumn("new", F.coalesce(F.col("start") > reach + 4, F.lit(True)).cast("int"))
+    runs = spans.withColumn("new", F.coalesce(F.col("start") > reach + 4, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(own))
     return (
-        runs.groupBy("id", "thash", "run")
+        runs.groupBy(*KEY, "run")
         .agg(F.min("start").alias("start_word"), F.max("end").alias("end"), F.sort_array(F.collect_set("kept")).alias("kept_doc_ids"))
         .withColumn("n_words", F.col("end") - F.col("start_word")).where(F.col("n_words") >= PASSAGE_WORDS)
-        .select(F.col("id").alias("doc_id"), "thash", "start_word", "n_words", "kept_doc_ids"))
+        .select(F.when(~F.col("none"), F.col("key")).alias("doc_id"), "thash", "start_word", "n_words", "kept_doc_ids"))
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
