@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from threadwise.llm import chat, lm, mixing, orderhash, packing, simhash, substring, tokens, topk, toxicity
+from threadwise.llm import (
+    chat, lm, mixing, orderhash, packing, repetition, simhash, substring, tokens, topk, toxicity,
+)
 from threadwise.llm.shared import table, text_key, word_count
 from threadwise.session import scratch_dir
 
@@ -85,14 +87,52 @@ def op10_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measured(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_masked_likelihood, op2_best_fit_packing, op3_plane_tokens, op4_uniform_threshold, op5_tool_call_linking,
         op6_paragraph_dedup, op7_source_mixing, op8_simhash_dedup, op9_order_minhash, op10_toxicity_machine,
+        op11_repetition_coverage,
     )
 } | {"pipeline": corpus_pipeline.run}
 
+#: Percent limits of the repetition rules by n-gram length, as in repetition.Rules.
+_GRAMS = repetition.Rules().ngrams
+
 ORACLES: dict[str, str] = {
+    "op11_repetition_coverage": r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (
+  select r, unnest(words) as word, unnest(range(len(words))) as i, len(words) as n
+  from (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d)),
+counts as (select r, count(*) as n_words, sum(length(word)) as word_chars from w group by r),
+lines as (
+  select r, line, i from (select r, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from d)
+  where regexp_matches(line, '[^\x20\x09-\x0D]')),
+told as (select *, row_number() over (partition by r, line order by i) > 1 as again from lines),
+line_counts as (
+  select r, count(*) filter (again) as n_dup_lines, sum(length(line)) as line_chars,
+         coalesce(sum(length(line)) filter (again), 0) as dup_line_chars from told group by r),
+""" + ",\n".join(f"""
+g{k} as (select r, i, {" || ' ' || ".join(["word", *[f"lead(word, {j}) over v" for j in range(1, k)]])} as g from w window v as (partition by r order by i)),
+s{k} as (select r, i, row_number() over (partition by r, g order by i) as copy, count(*) over (partition by r, g) as copies from g{k} where g is not null),
+m{k} as (select distinct r, i + j as i from s{k}, (select unnest(range({k})) as j) where {"copies" if k == 3 else "copy"} > 1),
+c{k} as (select r, {"count(*)" if k == 3 else "sum(length(word))"} as n from m{k} join w using (r, i) group by r)""" for k in (3, *_GRAMS)) + """,
+measures as (
+  select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+         coalesce(c3.n, 0) as n_repeat_words, coalesce(line_chars, 0) as line_chars, coalesce(dup_line_chars, 0) as dup_line_chars,
+         """ + ", ".join(f"coalesce(c{k}.n, 0) as covered_{k}" for k in _GRAMS) + """
+  from d left join counts using (r) left join line_counts using (r) """ + " ".join(
+        f"left join c{k} using (r)" for k in (3, *_GRAMS)) + """),
+judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from measures)
+select doc_id, """ + ", ".join(f"cast({c} as bigint) as {c}" for c in repetition.Measurer(repetition.Rules()).names()) + """,
+       base_failed, not base_failed and 100 * dup_line_chars <= 20 * line_chars
+       and """ + " and ".join(f"100 * covered_{k} <= {most} * word_chars" for k, most in _GRAMS.items()) + """ as kept
+from judged""",
     "op4_uniform_threshold": """
 with v as (select vec_id, [cast(floor(1024 * cast(x as double)) as double) for x in embedding] as e from embeddings),
 pairs as (
