@@ -9,6 +9,7 @@ import public_tokenizers
 import corpus_pipeline
 from threadwise.llm import (
     chat, lm, mixing, orderhash, packing, repetition, simhash, substring, tokens, topk, toxicity,
+    vectorcodes, whitening,
 )
 from threadwise.llm.shared import table, text_key, word_count
 from threadwise.session import scratch_dir
@@ -91,18 +92,66 @@ def op11_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measured(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.coded(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_masked_likelihood, op2_best_fit_packing, op3_plane_tokens, op4_uniform_threshold, op5_tool_call_linking,
         op6_paragraph_dedup, op7_source_mixing, op8_simhash_dedup, op9_order_minhash, op10_toxicity_machine,
-        op11_repetition_coverage,
+        op11_repetition_coverage, op12_vector_codes, op13_embedding_whitening,
     )
 } | {"pipeline": corpus_pipeline.run}
 
 #: Percent limits of the repetition rules by n-gram length, as in repetition.Rules.
 _GRAMS = repetition.Rules().ngrams
 
+
+def _vector_codes_sql(parts: int = vectorcodes.PARTS, entries: int = vectorcodes.ENTRIES, rounds: int = vectorcodes.ROUNDS) -> str:
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} as materialized (
+  select r, part, y, k, d from (
+    select p.r, p.part, p.y, b.k,
+           list_sum(list_transform(list_zip(p.y, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d,
+           row_number() over (partition by p.r, p.part order by d, b.k) as n
+    from p join b{n} b on p.part = b.part) where n = 1)""")
+        if n < rounds:
+            steps.append(f"""
+s{n} as materialized (
+  select part, k, list((s - ((s % n) + n) % n) // n order by i) as c from (
+    select part, k, i, sum(x)::bigint as s, count(*) as n from (
+      select part, k, unnest(y) as x, unnest(range(len(y))) as i from a{n}) group by part, k, i) group by part, k),
+b{n + 1} as materialized (select b.part, b.k, coalesce(s.c, b.c) as c from b{n} b left join s{n} s on b.part = s.part and b.k = s.k)""")
+    return f"""
+with v as materialized (
+  select row_number() over () as r, vec_id, label,
+         list_transform(embedding, lambda x: cast(floor({vectorcodes.SCALE} * cast(x as double)) as bigint)) as x
+  from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (
+  select r, part, list_slice(x, part * len(x) // {parts} + 1, (part + 1) * len(x) // {parts}) as y
+  from v, (select unnest(range({parts})) as part)),
+b0 as materialized (
+  select part, k, y as c from p join (select r, row_number() over (order by vec_id) - 1 as k from v) using (r) where k < {entries}),
+{",".join(steps)},
+digest as (
+  select sha256(string_agg(t, ',' order by part, k)) as codebooks_sha256 from (
+    select part, k, list_aggregate(c, 'string_agg', ',') as t from b{rounds})),
+coded as (
+  select vec_id, label, code, error from v join (
+    select r, string_agg(printf('%02x', k::bigint), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by r) using (r))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from coded, digest"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": _vector_codes_sql(),
     "op11_repetition_coverage": r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (

@@ -1,5 +1,7 @@
 """Helpers of the operators in this subpackage."""
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadwise.session import scratch_dir
@@ -28,11 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the stored tables that are still in use.
+STORED_AT: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared scratch folder: computed once, lineage cut, readable from any executor."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    STORED_AT[table] = path
+    return table
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Remove the files of a table made by `stored` that is read no more; any other table stays as it is."""
+    path = STORED_AT.pop(df, None)
+    if path:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def finite_vectors(rows: DataFrame, vector_col: str) -> DataFrame:
+    """The rows with a vector that is neither null nor empty and whose components are all there and finite."""
+    vector = F.col(vector_col).cast("array<double>")
+    return rows.where(vector.isNotNull() & (F.size(vector) > 0) & F.forall(
+        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
 def word_count(text):
