@@ -199,7 +199,10 @@ def first_entries(vectors: DataFrame, id_col: str, vector_col: str, scale: int,
     """The parts of the vectors of the smallest ids, ascending; of an id with several vectors the least, null ids last."""
     rows = finite_vectors(vectors, vector_col).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
-    found = rows.groupBy("id").agg(F.min("vec").alias("vec")).orderBy(F.col("id").asc_nulls_last()).limit(entries).collect()
+    by_id = F.col("id").asc_nulls_last()
+    ids = rows.select("id").distinct().orderBy(by_id).limit(entries)
+    named = rows.join(F.broadcast(ids.withColumnRenamed("id", "first")), F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    found = named.groupBy("id").agg(F.min("vec").alias("vec")).orderBy(by_id).collect()  # one row an entry
     if not found:
         return np.zeros((parts, 0, 0), np.int64)
     if len({len(r["vec"]) for r in found}) > 1 or len(found[0]["vec"]) % parts:
