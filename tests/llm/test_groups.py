@@ -152,7 +152,8 @@ def test_paragraph_links_find_the_similar_paragraphs(spark, block):
             lines.append(" ".join(changed))
     lines += [prose(rng, 40) for _ in range(10)]
     df = docs_of(spark, lines).select(F.col("doc_id").alias("id"), F.lit(1).alias("thash"), "text")
-    found = substring.units(df, substring.Signer(30, 0.8, 0.999))
+    signer = substring.Signer(30, 0.8, 0.999)
+    found = substring.units(df, signer, substring.wanted_mask(substring.repeated_keys(df, signer)))
     unit = {r["id"]: r["unit"] for r in found.where("kind = 1").collect()}
     links = [(r["a"], r["b"]) for r in substring.paragraph_links(found, df, 0.8, block).collect()]
     near = [(unit[a], unit[b]) for a, b in combinations(range(len(lines)), 2) if jaccard(lines[a], lines[b]) >= 0.8]

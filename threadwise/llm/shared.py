@@ -13,6 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes and rows of texts that go to a Python worker at once, at most.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 ARROW = "spark.sql.execution.arrow"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
@@ -36,9 +37,14 @@ STORED_AT: WeakKeyDictionary = WeakKeyDictionary()
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared scratch folder: computed once, lineage cut, readable from any executor."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table holds the rows: the shuffle files behind it are needed no more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
     STORED_AT[table] = path
     return table
 

@@ -1,6 +1,7 @@
 """Removal of repeated passages: paragraphs joined by MinHash bands, sentences and chosen windows by their words."""
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from threadwise.llm.components import connected_components
-from threadwise.llm.shared import fresh, in_small_batches, stored, text_key, with_row_key
+from threadwise.llm.shared import drop_stored, fresh, in_small_batches, stored, text_key, with_row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -127,79 +128,140 @@ class Signer:
             out = (out ^ mins[:, r::self.rows]) * np.uint64(0xC2B2AE3D27D4EB4F)
             out ^= out >> np.uint64(31)
         out = (out ^ np.arange(self.bands, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        return out.view(np.int64)
+        return np.maximum(out, np.uint64(1)).view(np.int64)  # 0 stands for no key
 
 
-UNITS = pa.schema([("id", pa.int64()), ("thash", pa.int64()), ("start", pa.int32()), ("words", pa.int32()),
-                   ("kind", pa.int32()), ("unit", pa.int64()), ("bands", pa.list_(pa.int64()))])
+@dataclass(frozen=True)
+class Units:
+    """Units of some texts as arrays: paragraphs (kind 1) first, then sentences (kind 0) and windows (kind 2).
 
+    start counts the words of the text before the unit. key is the hash of the paragraph, or of the words of the sentence
+    or window. before is the running hash of the text's words up to the unit. bands has a row for each paragraph.
+    """
 
-def units(docs: DataFrame, signer: Signer) -> DataFrame:
-    """Paragraphs (kind 1), sentences (kind 0) and windows (kind 2) of the texts: (id, thash, start, words, kind, unit, bands).
-
-    start counts the words of the text before the unit. unit is the hash of the paragraph, or of the words of the
-    sentence or window. bands is filled for paragraphs only.
+    text: np.ndarray
+    start: np.ndarray
+    words: np.ndarray
+    kind: np.ndarray
+    key: np.ndarray
+    before: np.ndarray
+    bands: np.ndarray
+
+
+#: Odd factor of the running hash of words, and its inverse modulo 2^64.
+FACTOR = 0xD1342543DE82EF95
+BACK = np.uint64(pow(FACTOR, -1, 1 << 64))
+
+
+def units_of(texts: list[str | None], known: Codes, signer: Signer) -> Units | None:
+    words, doc, start, size, key = [], [], [], [], []
+    for number, text in enumerate(texts):
+        before = 0
+        for line in lines_of(text):
+            found = line.split()
+            if found:
+                words += found
+                doc.append(number)
+                start.append(before)
+                size.append(len(found))
+                key.append(paragraph_key(line) if len(found) >= PARAGRAPH_WORDS else 0)
+            before += len(found)
+    if not words:
+        return None
+    codes, doc, start, size = known.of(words), np.array(doc), np.array(start), np.array(size)
+    line_end = np.cumsum(size)
+    line_start = line_end - size
+
+    begin, end = sentences(codes, line_end)
+    place = np.arange(len(codes)) - np.repeat(begin, end - begin)
+    hashed = mixed(np.add.reduceat(mixed(codes + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin))
+    line = np.searchsorted(line_end, begin, "right")
+    long_ = end - begin >= SENTENCE_WORDS
+    begin, end, hashed, line = begin[long_], end[long_], hashed[long_], line[long_]
+
+    whole = np.flatnonzero(size >= PARAGRAPH_WORDS)
+    own = np.zeros(len(codes), bool)
+    for a, b in zip(line_start[whole].tolist(), line_end[whole].tolist()):
+        own[a:b - SHINGLE + 1] = True
+    counts = size[whole] - SHINGLE + 1
+    values = shingles(codes)[own[:len(codes) - SHINGLE + 1]]
+    bands = signer.keys(values, np.cumsum(counts) - counts) if len(whole) else np.zeros((0, signer.bands), np.int64)
+
+    window, content = chosen_windows(codes, np.repeat(doc, size))
+    line = np.concatenate((whole, line, np.searchsorted(line_end, window, "right")))
+    at = np.concatenate((line_start[whole], begin, window))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * np.cumprod(
+        np.concatenate((np.ones(1, np.uint64), np.full(len(codes) - 1, FACTOR, np.uint64))), dtype=np.uint64))))
+    inside = start[line] + at - line_start[line]
+    first = at - inside  # where the unit's text begins
+    return Units(
+        doc[line], inside, np.concatenate((size[whole], end - begin, np.full(len(window), WINDOW_WORDS))),
+        np.repeat([1, 0, 2], [len(whole), len(end), len(window)]),
+        np.concatenate((np.array(key, np.uint64)[whole], hashed, content)).view(np.int64),
+        (sums[at] - sums[first]) * BACK ** first.astype(np.uint64), bands)
+
+
+def same_stretch(start: np.ndarray, before: np.ndarray, head_start: np.ndarray, head_before: np.ndarray) -> np.ndarray:
+    """Whether the words from each place to the next one are those between the heads' places, by their running hashes."""
+    stretch = lambda s, b: (b[1:] - b[:-1]) * BACK ** s[:-1].astype(np.uint64)
+    return stretch(start, before.view(np.uint64)) == stretch(head_start, head_before.view(np.uint64))
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], signer: Signer) -> Iterator[tuple[pa.RecordBatch, Units]]:
+    known = Codes()
+    for batch in batches:
+        for at in range(0, len(batch), 512):
+            part = batch.slice(at, 512)
+            found = units_of(part.column("text").to_pylist(), known, signer)
+            if found:
+                yield part, found
+
+
+def repeated_keys(docs: DataFrame, signer: Signer) -> DataFrame:
+    """(unit) keys of the units at two places or more, and of the bands of two places of different paragraphs or more.
+
+    Only keys and their numbers go into the shuffle, added up in each task first.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                yield from of(batch.slice(at, 512), codes)
-
-    def of(batch: pa.RecordBatch, known: Codes) -> Iterator[pa.RecordBatch]:
-        ids, thash = batch.column("id"), batch.column("thash")
-        words, doc, start, size, key = [], [], [], [], []
-        for number, text in enumerate(batch.column("text").to_pylist()):
-            before = 0
-            for line in lines_of(text):
-                found = line.split()
-                if found:
-                    words += found
-                    doc.append(number)
-                    start.append(before)
-                    size.append(len(found))
-                    key.append(paragraph_key(line) if len(found) >= PARAGRAPH_WORDS else 0)
-                before += len(found)
-        if not words:
-            return
-        codes, doc, start, size = known.of(words), np.array(doc), np.array(start), np.array(size)
-        line_end = np.cumsum(size)
-        line_start = line_end - size
-
-        begin, end = sentences(codes, line_end)
-        place = np.arange(len(codes)) - np.repeat(begin, end - begin)
-        hashed = mixed(np.add.reduceat(mixed(codes + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin))
-        line = np.searchsorted(line_end, begin, "right")
-        long_ = end - begin >= SENTENCE_WORDS
-        begin, end, hashed, line = begin[long_], end[long_], hashed[long_], line[long_]
-
-        whole = np.flatnonzero(size >= PARAGRAPH_WORDS)
-        own = np.zeros(len(codes), bool)
-        for a, b in zip(line_start[whole].tolist(), line_end[whole].tolist()):
-            own[a:b - SHINGLE + 1] = True
-        counts = size[whole] - SHINGLE + 1
-        values = shingles(codes)[own[:len(codes) - SHINGLE + 1]]
-        keys = signer.keys(values, np.cumsum(counts) - counts) if len(whole) else np.zeros((0, signer.bands), np.int64)
-
-        text = np.repeat(doc, size)
-        window, content = chosen_windows(codes, text)
-        window_line = np.searchsorted(line_end, window, "right")
-
-        owner = np.concatenate((doc[whole], doc[line], text[window]))
-        exact = len(line) + len(window)
-        offsets = np.concatenate((np.arange(len(whole) + 1) * signer.bands, np.full(exact, keys.size)))
-        unit = np.concatenate((np.array(key, np.uint64)[whole], hashed, content)).view(np.int64)
-        begin, line = np.concatenate((begin, window)), np.concatenate((line, window_line))
-        sizes = np.concatenate((size[whole], end - begin[:len(end)], np.full(len(window), WINDOW_WORDS)))
-        yield pa.RecordBatch.from_arrays([
-            ids.take(pa.array(owner)), thash.take(pa.array(owner)),
-            pa.array(np.concatenate((start[whole], start[line] + begin - line_start[line])), pa.int32()),
-            pa.array(sizes, pa.int32()),
-            pa.array(np.repeat([1, 0, 2], [len(whole), len(end), len(window)]), pa.int32()), pa.array(unit),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))], schema=UNITS)
-
-    return in_small_batches(docs).mapInArrow(
-        run, "id long, thash long, start int, words int, kind int, unit long, bands array<long>")
+        for _, u in in_slices(batches, signer):
+            _, different = np.unique(u.key[:len(u.bands)], return_index=True)
+            keys, n = np.unique(np.concatenate((u.key, u.bands[different].ravel())), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"unit": keys, "n": n})
+
+    keys = in_small_batches(docs).select("text").mapInArrow(run, "unit long, n long")
+    return keys.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1").select("unit")
+
+
+UNITS = ("id long, thash long, start int, words int, kind int, unit long, before long, bands array<long>")
+
+
+def units(docs: DataFrame, signer: Signer, mask: np.ndarray) -> DataFrame:
+    """(id, thash, start, words, kind, unit, before, bands) of the units whose key the mask lets through, and of the
+    paragraphs with such a band; bands is filled for paragraphs only, with 0 for the others."""
+    sent = docs.sparkSession.sparkContext.broadcast(mask)
+
+    def let_through(keys: np.ndarray) -> np.ndarray:
+        at = keys & (MASK_BITS - 1)
+        return (sent.value[at >> 3] >> (at & 7) & 1).astype(bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, u in in_slices(batches, signer):
+            n = len(u.bands)
+            bands = np.where(let_through(u.bands), u.bands, 0)
+            open_ = let_through(u.key)
+            open_[:n] |= bands.any(1)
+            at = np.flatnonzero(open_)
+            paragraphs = int(open_[:n].sum())
+            offsets = np.minimum(np.arange(len(at) + 1), paragraphs) * signer.bands
+            owner = pa.array(u.text[at])
+            yield pa.RecordBatch.from_arrays([
+                part.column("id").take(owner), part.column("thash").take(owner).cast(pa.int64()), pa.array(u.start[at], pa.int32()),
+                pa.array(u.words[at], pa.int32()), pa.array(u.kind[at], pa.int32()), pa.array(u.key[at]),
+                pa.array(u.before[at].view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[at[:paragraphs]].ravel()))],
+                names=[c.split()[0] for c in UNITS.split(", ")])
+
+    return in_small_batches(docs).mapInArrow(run, UNITS)
 
 
 #: Bits of the mask that keeps unwanted paragraphs from being cut into shingles: 8 MB, whatever the input.
@@ -218,18 +280,6 @@ def wanted_mask(unit: DataFrame) -> np.ndarray:
     return mask
 
 
-def masked(members: DataFrame, mask: np.ndarray) -> DataFrame:
-    """The rows whose unit the mask lets through."""
-    sent = members.sparkSession.sparkContext.broadcast(mask)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for unit in batches:
-            at = unit.to_numpy() & (MASK_BITS - 1)
-            yield pd.Series(sent.value[at >> 3] >> (at & 7) & 1 == 1)
-
-    return members.where(F.pandas_udf(run, "boolean")("unit"))
-
-
 def paragraph_sets(docs: DataFrame, mask: np.ndarray) -> DataFrame:
     """(unit, shingles) of the paragraphs that the mask lets through: their different shingles' hashes, sorted, as bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(mask)
@@ -292,7 +342,7 @@ def similar_links(similarity: float):
             return i
 
         for i in range(1, end - start):
-            same = bands[start:start + i] == bands[start + i]
+            same = (bands[start:start + i] == bands[start + i]) & (bands[start + i] != 0)
             shared = bands[start + i][same.argmax(1)] == band
             near = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])
             open_ = shared & near & (inside[:i] != inside[i]) if crossing else shared & near
@@ -317,7 +367,7 @@ def paragraph_links(found: DataFrame, docs: DataFrame, similarity: float, block:
     # Equal paragraphs have equal bands.
     index = found.where("kind = 1").groupBy("unit").agg(F.min("bands").alias("bands"))
     index = stored(index, "signed")
-    entries = index.select("unit", F.explode("bands").alias("band"))
+    entries = index.select("unit", F.explode("bands").alias("band")).where("band <> 0")
     sizes = entries.groupBy("band").count().where("count > 1").withColumn(
         "blocks", F.ceil(F.col("count") / block).cast("int"))
     members = entries.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
@@ -365,16 +415,54 @@ def surroundings(places: DataFrame, docs: DataFrame) -> DataFrame:
     return found.dropDuplicates([*KEY, "start", "end"])  # of equal rows
 
 
+PARTS = ("none boolean, key long, thash long, head_none boolean, head_key long, head_thash long, shift int, start int, "
+         "end int")
+
+
+def joined_parts(repeats: DataFrame) -> DataFrame:
+    """(KEY, HEAD_KEY, shift, start, end) of the repeats of one text at one distance from one head, joined to runs where
+    the words from one to the next are those at the head, too. A task sorts the places of the texts that it holds."""
+    order = [*KEY, *HEAD_KEY, "shift", "start"]
+    names = [c.split()[0] for c in PARTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            cut = new_parts(rows)
+            last = int(np.flatnonzero(cut)[-1])  # the last run may go on in the next batch
+            yield from runs(rows.slice(0, last), cut[:last])
+            held = rows.slice(last)
+        if held is not None:
+            yield from runs(held, new_parts(held))
+
+    def new_parts(rows: pa.Table) -> np.ndarray:
+        values = {c: rows.column(c).to_numpy() for c in (*order, "before", "head_before")}
+        new = np.ones(len(rows), bool)
+        new[1:] = np.logical_or.reduce([values[c][1:] != values[c][:-1] for c in order[:-1]])
+        new[1:] |= ~same_stretch(values["start"], values["before"], values["start"] + values["shift"], values["head_before"])
+        return new
+
+    def runs(rows: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(rows):
+            at = np.flatnonzero(new)
+            first = rows.take(pa.array(at)).set_column(
+                rows.schema.get_field_index("end"), "end",
+                pa.array(np.maximum.reduceat(rows.column("end").to_numpy(), at), pa.int32()))
+            yield from first.select(names).combine_chunks().to_batches()
+
+    ranged = repeats.repartition(*KEY, *HEAD_KEY).sortWithinPartitions(*order)
+    return ranged.select(*names, "before", "head_before").mapInArrow(run, PARTS)
+
+
 def extended(repeats: DataFrame, docs: DataFrame) -> DataFrame:
-    """(KEY, start, end, HEAD_KEY) of the repeats in their full length: as far as the words before and after them are
-    those at the first place, too. Repeats of one place that overlap are one. Where a text repeats itself at a distance of
+    """(KEY, start, end, HEAD_KEY) of the repeats in their full length: joined where the words between them agree, and as
+    far as the words before and after them are those at the first place, too. Where a text repeats itself at a distance of
     less than a window (`a a a`), its first window stays."""
-    line = W.partitionBy(*KEY, *HEAD_KEY, "shift").orderBy("start", "end")
-    reach = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
-    parts = repeats.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-    parts = parts.withColumn("part", F.sum("new").over(line)).groupBy(*KEY, *HEAD_KEY, "shift", "part").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"))
-    parts = stored(parts.drop("part").withColumns({
+    parts = stored(joined_parts(repeats).withColumns({
         "head_start": F.col("start") + F.col("shift"), "head_end": F.col("end") + F.col("shift")}), "parts")
     place = [*KEY, "start", "end"]
     first = parts.select(*[F.col(f"head_{c}").alias(c) for c in place])
@@ -409,22 +497,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("thash"),
                        F.col(text_col).alias("text"))
-    found = stored(units(rows, Signer(hashes, similarity, recall)), "units")
+    signer = Signer(hashes, similarity, recall)
+    found = stored(units(rows, signer, wanted_mask(repeated_keys(rows, signer))), "units")
     roots = connected_components(paragraph_links(found, rows, similarity, block)).toDF("unit", "root")
-    first = F.struct(F.col("id").isNull().alias("last"), "id", "thash", "start")
-    member = found.select("id", "thash", "start", "words", "kind", "unit", first.alias("place"))
-    # Classes by words first: copies combine before the shuffle.
-    classes = member.groupBy("unit").agg(F.min("place").alias("first"), F.max("place").alias("final"))
-    classes = classes.join(roots, "unit", "left").withColumn("class", F.coalesce("root", "unit"))
-    # A unit at one place with no link has no repeat: every linked unit is among the roots' nodes.
-    classes = stored(classes.where("root is not null or first <> final"), "classes")
-    heads = classes.groupBy("class").agg(F.min("first").alias("head"), F.max("final").alias("final")).where("head <> final")
-    heads = stored(classes.join(heads.select("class", "head"), "class").select("unit", "head"), "heads")
-    repeats = masked(member, wanted_mask(heads)).join(heads, "unit").where("place <> head").select(
-        *own_key("id", "thash"), "start", (F.col("start") + F.col("words")).alias("end"),
-        *own_key("head.id", "head.thash", "head_"), (F.col("head.start") - F.col("start")).alias("shift"),
-        (F.col("kind") != 1).alias("exact")).distinct()
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "thash", "start", "before")
+    member = found.select("id", "thash", "start", "words", "kind", "unit", "before", first.alias("place"))
+    # Classes by words first: copies combine before the shuffle. Two hashes tell whether there is another place.
+    mark = F.xxhash64("id", "thash", "start")
+    classes = member.groupBy("unit").agg(
+        F.min("place").alias("first"), F.min(mark).alias("low"), F.max(mark).alias("high"), F.max("kind").alias("kind"))
+    classes = stored(classes.where("kind = 1 or low <> high"), "classes")
+    linked = classes.where("kind = 1").join(roots, "unit", "left").withColumn("class", F.coalesce("root", "unit"))
+    heads = linked.groupBy("class").agg(F.min("first").alias("head"), F.min("low").alias("l"), F.max("high").alias("h"))
+    heads = linked.join(heads.where("l <> h").select("class", "head"), "class").select("unit", "head")
+    heads = stored(heads.union(classes.where("kind <> 1").select("unit", F.col("first").alias("head"))), "heads")
+    repeats = member.join(heads, "unit").where("place <> head").select(
+        *own_key("id", "thash"), "start", (F.col("start") + F.col("words")).alias("end"), "before",
+        *own_key("head.id", "head.thash", "head_"), F.col("head.before").alias("head_before"),
+        (F.col("head.start") - F.col("start")).alias("shift"), (F.col("kind") != 1).alias("exact"))
     repeats = stored(repeats, "repeats")
+    for table in (found, classes, heads):
+        drop_stored(table)
     spans = repeats.where("not exact").select(*KEY, "start", "end", *HEAD_KEY).unionByName(
         extended(repeats.where("exact"), rows))
     spans = spans.select(*KEY, "start", "end", F.when(~F.col("head_none"), F.col("head_key")).alias("kept")).distinct()
