@@ -90,13 +90,25 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, ends[1:] - ends[0]
 
 
+IS_SPACE, IS_SYMBOL = (np.isin(np.arange(256), list(c)) for c in (SPACES, SYMBOLS))
+
+
+def word_bounds(data: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the texts starts and ends; no word crosses from one text into the next."""
+    first = np.zeros(len(data) + 1, bool)
+    first[0] = True
+    first[text_ends] = True
+    blank = np.concatenate((IS_SPACE[data], [True]))
+    before = np.concatenate(([True], blank[:-1]))
+    return np.flatnonzero(~blank & (before | first)), np.flatnonzero(~before & (blank | first))
+
+
 class Measurer:
     """Counts of whole texts, many at a time, without a loop over texts or words."""
 
     def __init__(self, rules: Rules):
         self.rules = rules
         self.by_byte, self.by_word = Powers(BYTE_FACTOR), Powers(WORD_FACTOR)
-        self.spaces, self.symbols = (np.isin(np.arange(256), list(c)) for c in (SPACES, SYMBOLS))
 
     def names(self) -> list[str]:
         return ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "dup_line_chars",
@@ -106,23 +118,17 @@ class Measurer:
         """The counts, by name, of each text."""
         n, size = len(text_ends), len(data)
         text_starts = np.concatenate(([0], text_ends[:-1])).astype(np.int64)
-        first = np.zeros(size + 1, bool)
-        first[text_starts] = True  # no word or line crosses from one text into the next
-        first[size] = True
         by_bytes = Rolling(BYTE_VALUES[data], self.by_byte)
         chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
         owner = lambda at: np.searchsorted(text_ends, at, "right")  # noqa: E731  empty texts own nothing
 
-        blank = np.concatenate((self.spaces[data], [True]))
-        before = np.concatenate(([True], blank[:-1])) | first
-        starts = np.flatnonzero(~blank & before)
-        ends = np.flatnonzero(np.concatenate(([False], ~blank[:-1])) & (blank | first))
+        starts, ends = word_bounds(data, text_ends)
         doc = owner(starts)
         word_chars = chars[ends] - chars[starts]
         sums = lambda of, values: np.bincount(of, values, n).astype(np.int64)  # noqa: E731  exact below 2^53
         words = np.bincount(doc, minlength=n)
         out = {"n_words": words, "word_chars": sums(doc, word_chars),
-               "n_symbols": np.bincount(owner(np.flatnonzero(self.symbols[data])), minlength=n)}
+               "n_symbols": np.bincount(owner(np.flatnonzero(IS_SYMBOL[data])), minlength=n)}
 
         breaks = np.flatnonzero(data == 10)
         line_starts = np.unique(np.concatenate((text_starts[text_ends > text_starts], breaks + 1)))

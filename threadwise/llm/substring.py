@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from threadwise.llm.components import connected_components
+from threadwise.llm.repetition import BYTE_FACTOR, BYTE_VALUES, Powers, Rolling, text_bytes, word_bounds
 from threadwise.llm.shared import drop_stored, fresh, in_small_batches, stored, text_key, with_row_key
 
 SHINGLE = 5
@@ -36,12 +37,12 @@ def tuned_bands(hashes: int = HASHES, similarity: float = SIMILARITY, recall: fl
 
 
 class Codes(dict):
-    """Hash of each word; its last bit tells whether the word ends a sentence."""
+    """Hash of each word."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word) & ~1 | (word[-1] in b".!?")
+        code = self[word] = xxhash.xxh64_intdigest(word)
         return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -102,15 +103,6 @@ def chosen_windows(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.
     return at, hashed[at]
 
 
-def lines_of(text: str | None) -> list[bytes]:
-    """The lines of a text, A-Z in lower case."""
-    return (text or "").encode().lower().split(b"\n")
-
-
-def paragraph_key(line: bytes) -> int:
-    return xxhash.xxh64_intdigest(line.strip(), 1)
-
-
 class Signer:
     """Band keys of paragraphs."""
 
@@ -136,7 +128,9 @@ class Units:
     """Units of some texts as arrays: paragraphs (kind 1) first, then sentences (kind 0) and windows (kind 2).
 
     start counts the words of the text before the unit. key is the hash of the paragraph, or of the words of the sentence
-    or window. before is the running hash of the text's words up to the unit. bands has a row for each paragraph.
+    or window. before is the running hash of the text's words up to the unit; last and last_before are start and before of
+    the same sentence's or window's place before this one in the same text, last is -1 for the first place and for
+    paragraphs. bands has a row for each paragraph.
     """
 
     text: np.ndarray
@@ -145,6 +139,8 @@ class Units:
     kind: np.ndarray
     key: np.ndarray
     before: np.ndarray
+    last: np.ndarray
+    last_before: np.ndarray
     bands: np.ndarray
 
 
@@ -153,22 +149,45 @@ FACTOR = 0xD1342543DE82EF95
 BACK = np.uint64(pow(FACTOR, -1, 1 << 64))
 
 
-def units_of(texts: list[str | None], known: Codes, signer: Signer) -> Units | None:
-    words, doc, start, size, key = [], [], [], [], []
-    for number, text in enumerate(texts):
-        before = 0
-        for line in lines_of(text):
-            found = line.split()
-            if found:
-                words += found
-                doc.append(number)
-                start.append(before)
-                size.append(len(found))
-                key.append(paragraph_key(line) if len(found) >= PARAGRAPH_WORDS else 0)
-            before += len(found)
-    if not words:
+@dataclass(frozen=True)
+class Words:
+    """Words of some texts, A-Z in lower case, and their lines: codes holds a hash of each word whose last bit tells
+    whether it ends a sentence; text, start (words of the text before it), size and key describe each line with a word."""
+
+    codes: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    key: np.ndarray
+
+
+BY_BYTE = Powers(BYTE_FACTOR)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def words_of(texts: pa.Array) -> Words:
+    data, text_ends = text_bytes(texts)
+    data = LOWER[data]
+    starts, ends = word_bounds(data, text_ends)
+    rolling = Rolling(BYTE_VALUES[data], BY_BYTE)
+    stops = np.isin(data[ends - 1], list(b".!?"))
+    codes = rolling.of(starts, ends) & ~np.uint64(1) | stops.astype(np.uint64)
+    text = np.searchsorted(text_ends, starts, "right")
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    new = np.ones(len(starts), bool)
+    new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(at, append=len(starts))
+    before = np.searchsorted(text, text[at])  # words of the texts before
+    return Words(codes, text[at], at - before, size, rolling.of(starts[at], ends[at + size - 1]))
+
+
+def units_of(texts: pa.Array, signer: Signer) -> Units | None:
+    w = words_of(texts)
+    codes, doc, start, size, key = w.codes, w.text, w.start, w.size, w.key
+    if not len(codes):
         return None
-    codes, doc, start, size = known.of(words), np.array(doc), np.array(start), np.array(size)
     line_end = np.cumsum(size)
     line_start = line_end - size
 
@@ -194,11 +213,15 @@ def units_of(texts: list[str | None], known: Codes, signer: Signer) -> Units | N
         np.concatenate((np.ones(1, np.uint64), np.full(len(codes) - 1, FACTOR, np.uint64))), dtype=np.uint64))))
     inside = start[line] + at - line_start[line]
     first = at - inside  # where the unit's text begins
-    return Units(
-        doc[line], inside, np.concatenate((size[whole], end - begin, np.full(len(window), WINDOW_WORDS))),
-        np.repeat([1, 0, 2], [len(whole), len(end), len(window)]),
-        np.concatenate((np.array(key, np.uint64)[whole], hashed, content)).view(np.int64),
-        (sums[at] - sums[first]) * BACK ** first.astype(np.uint64), bands)
+    kind = np.repeat([1, 0, 2], [len(whole), len(end), len(window)])
+    unit = np.concatenate((key[whole], hashed, content)).view(np.int64)
+    before = ((sums[at] - sums[first]) * BACK ** first.astype(np.uint64)).view(np.int64)
+    last, last_before, own = np.full(len(at), -1), np.zeros(len(at), np.int64), doc[line]
+    order = np.lexsort((at[len(whole):], unit[len(whole):], own[len(whole):])) + len(whole)
+    again = np.flatnonzero((unit[order[1:]] == unit[order[:-1]]) & (own[order[1:]] == own[order[:-1]]))
+    last[order[again + 1]], last_before[order[again + 1]] = inside[order[again]], before[order[again]]
+    return Units(own, inside, np.concatenate((size[whole], end - begin, np.full(len(window), WINDOW_WORDS))),
+                 kind, unit, before, last, last_before, bands)
 
 
 def same_stretch(start: np.ndarray, before: np.ndarray, head_start: np.ndarray, head_before: np.ndarray) -> np.ndarray:
@@ -208,11 +231,10 @@ def same_stretch(start: np.ndarray, before: np.ndarray, head_start: np.ndarray,
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], signer: Signer) -> Iterator[tuple[pa.RecordBatch, Units]]:
-    known = Codes()
     for batch in batches:
         for at in range(0, len(batch), 512):
             part = batch.slice(at, 512)
-            found = units_of(part.column("text").to_pylist(), known, signer)
+            found = units_of(part.column("text"), signer)
             if found:
                 yield part, found
 
@@ -232,11 +254,12 @@ def repeated_keys(docs: DataFrame, signer: Signer) -> DataFrame:
     return keys.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1").select("unit")
 
 
-UNITS = ("id long, thash long, start int, words int, kind int, unit long, before long, bands array<long>")
+UNITS = ("id long, thash long, start int, words int, kind int, unit long, before long, last int, last_before long, "
+         "bands array<long>")
 
 
 def units(docs: DataFrame, signer: Signer, mask: np.ndarray) -> DataFrame:
-    """(id, thash, start, words, kind, unit, before, bands) of the units whose key the mask lets through, and of the
+    """(id, thash, start, words, kind, unit, before, last, last_before, bands) of the units whose key the mask lets through, and of the
     paragraphs with such a band; bands is filled for paragraphs only, with 0 for the others."""
     sent = docs.sparkSession.sparkContext.broadcast(mask)
 
@@ -257,7 +280,7 @@ def units(docs: DataFrame, signer: Signer, mask: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 part.column("id").take(owner), part.column("thash").take(owner).cast(pa.int64()), pa.array(u.start[at], pa.int32()),
                 pa.array(u.words[at], pa.int32()), pa.array(u.kind[at], pa.int32()), pa.array(u.key[at]),
-                pa.array(u.before[at].view(np.int64)),
+                pa.array(u.before[at]), pa.array(u.last[at], pa.int32()), pa.array(u.last_before[at]),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[at[:paragraphs]].ravel()))],
                 names=[c.split()[0] for c in UNITS.split(", ")])
 
@@ -284,22 +307,19 @@ def paragraph_sets(docs: DataFrame, mask: np.ndarray) -> DataFrame:
     """(unit, shingles) of the paragraphs that the mask lets through: their different shingles' hashes, sorted, as bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(mask)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, bits = Codes(), sent.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
-            found: dict[int, bytes] = {}
-            for text in batch["text"]:
-                for line in lines_of(text):
-                    key = paragraph_key(line)
-                    at = key % MASK_BITS
-                    if bits[at >> 3] >> (at & 7) & 1 and key not in found:
-                        words = line.split()
-                        if len(words) >= PARAGRAPH_WORDS:
-                            found[key] = np.unique(shingles(known.of(words))).tobytes()
-            yield pd.DataFrame({
-                "unit": np.array(list(found), np.uint64).view(np.int64), "shingles": list(found.values())})
+            w = words_of(batch.column("text"))
+            at = (w.key & np.uint64(MASK_BITS - 1)).view(np.int64)
+            open_ = (bits[at >> 3] >> (at & 7) & 1).astype(bool) & (w.size >= PARAGRAPH_WORDS)
+            keys, which = np.unique(w.key[open_], return_index=True)
+            ends = np.cumsum(w.size)[open_][which]
+            starts = ends - w.size[open_][which]
+            sets = [np.unique(shingles(w.codes[a:b])).tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_pydict({"unit": keys.view(np.int64), "shingles": pa.array(sets, pa.binary())})
 
-    return docs.select("text").mapInPandas(run, "unit long, shingles binary")
+    return docs.select("text").mapInArrow(run, "unit long, shingles binary")
 
 
 def similar_links(similarity: float):
@@ -415,14 +435,14 @@ def surroundings(places: DataFrame, docs: DataFrame) -> DataFrame:
     return found.dropDuplicates([*KEY, "start", "end"])  # of equal rows
 
 
-PARTS = ("none boolean, key long, thash long, head_none boolean, head_key long, head_thash long, shift int, start int, "
-         "end int")
+PARTS = ("none boolean, key long, thash long, head_none boolean, head_key long, head_thash long, own boolean, shift int, "
+         "start int, end int")
 
 
 def joined_parts(repeats: DataFrame) -> DataFrame:
-    """(KEY, HEAD_KEY, shift, start, end) of the repeats of one text at one distance from one head, joined to runs where
-    the words from one to the next are those at the head, too. A task sorts the places of the texts that it holds."""
-    order = [*KEY, *HEAD_KEY, "shift", "start"]
+    """(KEY, HEAD_KEY, own, shift, start, end) of the repeats of one text at one distance from their pattern, joined to runs
+    where the words from one to the next are those of the pattern, too. A task sorts the places of the texts it holds."""
+    order = [*KEY, *HEAD_KEY, "own", "shift", "start"]
     names = [c.split()[0] for c in PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,10 +460,10 @@ def joined_parts(repeats: DataFrame) -> DataFrame:
             yield from runs(held, new_parts(held))
 
     def new_parts(rows: pa.Table) -> np.ndarray:
-        values = {c: rows.column(c).to_numpy() for c in (*order, "before", "head_before")}
+        values = {c: rows.column(c).to_numpy() for c in (*order, "before", "pattern_before")}
         new = np.ones(len(rows), bool)
         new[1:] = np.logical_or.reduce([values[c][1:] != values[c][:-1] for c in order[:-1]])
-        new[1:] |= ~same_stretch(values["start"], values["before"], values["start"] + values["shift"], values["head_before"])
+        new[1:] |= ~same_stretch(values["start"], values["before"], values["start"] + values["shift"], values["pattern_before"])
         return new
 
     def runs(rows: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -455,27 +475,35 @@ def joined_parts(repeats: DataFrame) -> DataFrame:
             yield from first.select(names).combine_chunks().to_batches()
 
     ranged = repeats.repartition(*KEY, *HEAD_KEY).sortWithinPartitions(*order)
-    return ranged.select(*names, "before", "head_before").mapInArrow(run, PARTS)
+    return ranged.select(*names, "before", "pattern_before").mapInArrow(run, PARTS)
 
 
 def extended(repeats: DataFrame, docs: DataFrame) -> DataFrame:
     """(KEY, start, end, HEAD_KEY) of the repeats in their full length: joined where the words between them agree, and as
-    far as the words before and after them are those at the first place, too. Where a text repeats itself at a distance of
-    less than a window (`a a a`), its first window stays."""
-    parts = stored(joined_parts(repeats).withColumns({
-        "head_start": F.col("start") + F.col("shift"), "head_end": F.col("end") + F.col("shift")}), "parts")
+    far as the words before and after them are those of the pattern, too.
+
+    The pattern is the same text's place before (own), or the head where there is none. Where a text repeats itself at a
+    distance of less than a window (`a a a`), its first window stays.
+    """
+    pattern = [f"pattern_{k}" for k in KEY]
+    parts = joined_parts(repeats).withColumns({
+        p: F.when(F.col("own"), F.col(k)).otherwise(F.col(h)) for p, k, h in zip(pattern, KEY, HEAD_KEY)})
+    parts = stored(parts.withColumns({
+        "pattern_start": F.col("start") + F.col("shift"), "pattern_end": F.col("end") + F.col("shift")}), "parts")
     place = [*KEY, "start", "end"]
-    first = parts.select(*[F.col(f"head_{c}").alias(c) for c in place])
+    other = [f"pattern_{c}" for c in place]
+    first = parts.select(*[F.col(o).alias(c) for o, c in zip(other, place)])
     around = stored(surroundings(parts.select(*place).unionByName(first).distinct(), docs), "surroundings")
 
     def agreeing(side: str):
-        same = F.zip_with(side, f"head_{side}", lambda a, b: a.eqNullSafe(b))
-        other = F.array_position(same, False)
-        return F.when(other == 0, F.size(same)).otherwise(other - 1).cast("int")
+        same = F.zip_with(side, f"pattern_{side}", lambda a, b: a.eqNullSafe(b))
+        apart = F.array_position(same, False)
+        return F.when(apart == 0, F.size(same)).otherwise(apart - 1).cast("int")
 
-    both = parts.join(around, place).join(around.toDF(*[f"head_{c}" for c in around.columns]), [f"head_{c}" for c in place])
+    both = parts.join(around, place).join(around.toDF(*[f"pattern_{c}" for c in around.columns]), other)
     both = both.withColumns({"start": F.col("start") - agreeing("before"), "end": F.col("end") + agreeing("after")})
-    itself = (F.col("none") == F.col("head_none")) & (F.col("key") == F.col("head_key")) & (F.col("thash") == F.col("head_thash"))
+    itself = (F.col("none") == F.col("pattern_none")) & (F.col("key") == F.col("pattern_key")) & (
+        F.col("thash") == F.col("pattern_thash"))
     return both.withColumn("start", F.when(
         itself, F.greatest(F.col("start"), F.col("start") + F.col("shift") + WINDOW_WORDS)).otherwise(F.col("start"))
     ).where("start < end").select(*KEY, "start", "end", *HEAD_KEY)
@@ -501,7 +529,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = stored(units(rows, signer, wanted_mask(repeated_keys(rows, signer))), "units")
     roots = connected_components(paragraph_links(found, rows, similarity, block)).toDF("unit", "root")
     first = F.struct(F.col("id").isNull().alias("last"), "id", "thash", "start", "before")
-    member = found.select("id", "thash", "start", "words", "kind", "unit", "before", first.alias("place"))
+    member = found.select(
+        "id", "thash", "start", "words", "kind", "unit", "before", "last", "last_before", first.alias("place"))
     # Classes by words first: copies combine before the shuffle. Two hashes tell whether there is another place.
     mark = F.xxhash64("id", "thash", "start")
     classes = member.groupBy("unit").agg(
@@ -513,8 +542,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = stored(heads.union(classes.where("kind <> 1").select("unit", F.col("first").alias("head"))), "heads")
     repeats = member.join(heads, "unit").where("place <> head").select(
         *own_key("id", "thash"), "start", (F.col("start") + F.col("words")).alias("end"), "before",
-        *own_key("head.id", "head.thash", "head_"), F.col("head.before").alias("head_before"),
-        (F.col("head.start") - F.col("start")).alias("shift"), (F.col("kind") != 1).alias("exact"))
+        *own_key("head.id", "head.thash", "head_"), (own := F.col("last") >= 0).alias("own"),
+        F.when(own, F.col("last_before")).otherwise(F.col("head.before")).alias("pattern_before"),
+        (F.when(own, F.col("last")).otherwise(F.col("head.start")) - F.col("start")).alias("shift"),
+        (F.col("kind") != 1).alias("exact"))
     repeats = stored(repeats, "repeats")
     for table in (found, classes, heads):
         drop_stored(table)
