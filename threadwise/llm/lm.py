@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from threadwise.llm.shared import in_small_batches, stored
+from threadwise.llm.shared import JOINED_ID, in_small_batches, split_id, stored
 
 
 @dataclass(frozen=True)
@@ -243,8 +243,9 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
                 logp, (_, _, real) = net.forward(ids)
                 sums += np.bincount(owner[real], logp[real], len(batch))
                 words += np.bincount(owner[real], minlength=len(batch))
-            yield pd.DataFrame({"doc_id": batch["id"], "n_words": words, "log_likelihood": sums})
+            yield batch[["none", "key"]].assign(n_words=words, log_likelihood=sums)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, log_likelihood double").withColumn(
-        "mean_log_likelihood", F.try_divide("log_likelihood", "n_words"))
+    rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("text"))
+    found = rows.mapInPandas(run, "none boolean, key long, n_words long, log_likelihood double")
+    return found.select(F.expr(JOINED_ID).alias("doc_id"), "n_words", "log_likelihood", F.try_divide(
+        "log_likelihood", "n_words").alias("mean_log_likelihood"))

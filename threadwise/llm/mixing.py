@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from threadwise.llm.shared import fresh, stored, text_key, with_row_key, word_count
+from threadwise.llm.shared import JOINED_ID, fresh, split_id, stored, text_key, with_row_key, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -86,16 +86,17 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
         F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("thash"),
         F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    order = rows.withColumn("key", F.xxhash64("doc_id", F.lit("mix"))).withColumn("row", F.monotonically_increasing_id())
-    before = running(
-        order.withColumn("none", F.col("source").isNull()), ["none", "source", "key", "thash", "row"], "source", "size")
+    order = rows.select(
+        *split_id(F.col("doc_id")), "thash", "source", "size", F.col("source").isNull().alias("last"),
+        F.xxhash64("doc_id", F.lit("mix")).alias("order"), F.monotonically_increasing_id().alias("row"))
+    before = running(order, ["last", "source", "order", "thash", "row"], "source", "size")
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     at = sources.withColumnRenamed("source", "s")
     return before.join(at, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "thash", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        F.expr(JOINED_ID).alias("doc_id"), "thash", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

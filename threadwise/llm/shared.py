@@ -75,6 +75,16 @@ def text_key(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def split_id(id_col) -> list:
+    """A long id as two columns without nulls, none and key: pandas would make doubles of a long column that holds a
+    null, which keep only 53 bits."""
+    return [id_col.isNull().alias("none"), F.coalesce(id_col.cast("long"), F.lit(0)).alias("key")]
+
+
+#: The id again from the columns of `split_id`, as an SQL expression.
+JOINED_ID = "if(none, null, key)"
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     taken = {c.lower() for c in df.columns}

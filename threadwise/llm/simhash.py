@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from threadwise.llm.components import connected_components
-from threadwise.llm.shared import in_small_batches, stored, text_key, with_row_key
+from threadwise.llm.shared import JOINED_ID, in_small_batches, split_id, stored, text_key, with_row_key
 
 SEED = 42
 #: Members of one index entry that a task compares at once; longer entries are split by further bits.
@@ -47,12 +47,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             fps = [signed(fingerprint(t, shingle)) for t in rows["text"]]
-            yield pd.DataFrame({"id": rows["id"], "thash": rows["thash"], "fp": np.array(fps, np.int64)})
+            yield rows[["none", "key", "thash"]].assign(fp=np.array(fps, np.int64))
 
     narrow = in_small_batches(docs).select(
-        F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("thash"),
-        F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "id long, thash long, fp long")
+        *split_id(F.col(id_col)), text_key(F.col(text_col)).alias("thash"), F.col(text_col).alias("text"))
+    found = narrow.mapInPandas(run, "none boolean, key long, thash long, fp long")
+    return found.select(F.expr(JOINED_ID).alias("id"), "thash", "fp")
 
 
 def byte_sets(chosen: int, differing: int = 3, positions: int = 8) -> list[tuple[int, ...]]:

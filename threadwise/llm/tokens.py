@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from threadwise.llm.shared import in_small_batches, text_key
+from threadwise.llm.shared import JOINED_ID, in_small_batches, split_id, text_key
 
 END_ID = 1
 #: Ids of a block.
@@ -127,8 +127,8 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
         shard = 0
         for batch in batches:
-            for shard, id_, text in zip(batch["shard"].tolist(), batch["id"].astype(object), batch["text"]):
-                id_, data, at = None if pd.isna(id_) else int(id_), encoder.encode(text) + end, 0
+            for shard, none, key, text in zip(*[batch[c].tolist() for c in ("shard", "none", "key", "text")]):
+                id_, data, at = None if none else key, encoder.encode(text) + end, 0
                 while at < len(data):
                     n = min(len(data) - at >> 2, state["room"])
                     parts.append(data[at:at + 4 * n])
@@ -144,7 +144,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        text_key(F.col(text_col)).alias("key"))
     ranged = rows.repartitionByRange("id", "key").sortWithinPartitions("id", "key")
-    return ranged.select(F.spark_partition_id().alias("shard"), "id", "text").mapInPandas(run, FILE_SCHEMA)
+    return ranged.select(F.spark_partition_id().alias("shard"), *split_id(F.col("id")), "text").mapInPandas(run, FILE_SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, block: int = BLOCK, layout: str = "byte",
@@ -203,12 +203,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for record in batch.to_dict("records"):
                 data, at = read_ids(record).tobytes(), 0
-                for row, id_, n in zip(record["doc_row"], record["doc_id"], record["doc_ids"]):
-                    out.append((record["shard"], row, id_, record["first"] + at // 4, n, crc32(data[at:at + 4 * n])))
+                for row, none, key, n in zip(*[record[c] for c in ("doc_row", "none", "key", "doc_ids")]):
+                    out.append((record["shard"], row, none, key, record["first"] + at // 4, n, crc32(data[at:at + 4 * n])))
                     at += 4 * n
-            found = pd.DataFrame(out, columns=["shard", "row", "doc_id", "at", "n", "crc"])
-            found["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in found["doc_id"]], "Int64")
-            yield found
+            yield pd.DataFrame(out, columns=["shard", "row", "none", "key", "at", "n", "crc"])
 
     def join(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in lists:
@@ -217,8 +215,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 dtype="int64")
 
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    pieces = files.mapInPandas(run, "shard int, row long, doc_id long, at long, n long, crc long")
-    docs = pieces.groupBy("shard", "row", "doc_id").agg(
+    named = files.withColumns({"none": F.transform("doc_id", F.isnull), "key": F.transform(
+        "doc_id", lambda x: F.coalesce(x, F.lit(0)))}).drop("doc_id")
+    pieces = named.mapInPandas(run, "shard int, row long, none boolean, key long, at long, n long, crc long")
+    docs = pieces.withColumn("doc_id", F.expr(JOINED_ID)).groupBy("shard", "row", "doc_id").agg(
         F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("parts"))
     # One row per file: bounded by the number of tasks that wrote them.
     shards = files.groupBy("shard").agg(F.max(F.col("first") + F.col("n_ids")).alias("n"))
