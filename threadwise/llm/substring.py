@@ -6,11 +6,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from threadwise.llm.components import connected_components
-from threadwise.llm.repetition import BYTE_FACTOR, BYTE_VALUES, Powers, Rolling, text_bytes, word_bounds
+from threadwise.llm.repetition import (
+    BYTE_FACTOR, BYTE_VALUES, SLICE_BYTES, Powers, Rolling, text_bytes, word_bounds,
+)
 from threadwise.llm.shared import drop_stored, fresh, in_small_batches, stored, text_key, with_row_key
 
 SHINGLE = 5
@@ -231,12 +234,21 @@ def same_stretch(start: np.ndarray, before: np.ndarray, head_start: np.ndarray,
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], signer: Signer) -> Iterator[tuple[pa.RecordBatch, Units]]:
+    for part in small_parts(batches):
+        found = units_of(part.column("text"), signer)
+        if found:
+            yield part, found
+
+
+def small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE_BYTES of text at most, or of one longer text."""
     for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.slice(at, 512)
-            found = units_of(part.column("text"), signer)
-            if found:
-                yield part, found
+        ends = np.cumsum(pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def repeated_keys(docs: DataFrame, signer: Signer) -> DataFrame:
@@ -309,7 +321,7 @@ def paragraph_sets(docs: DataFrame, mask: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for batch in batches:
+        for batch in small_parts(batches):
             w = words_of(batch.column("text"))
             at = (w.key & np.uint64(MASK_BITS - 1)).view(np.int64)
             open_ = (bits[at >> 3] >> (at & 7) & 1).astype(bool) & (w.size >= PARAGRAPH_WORDS)
