@@ -131,8 +131,9 @@ def view_sql(name: str, dialect: str) -> str:
 def oracle_with(names: list[str], body: str) -> str:
     """A query text with the views it uses as common table expressions; body may start with further ones."""
     parts = [f"{name} as ({view_sql(name, 'duckdb')})" for name in names]
-    if body.lstrip().startswith("with "):
-        return "with " + ",\n".join([*parts, body.lstrip()[5:]])
+    for start in ("with recursive ", "with "):
+        if body.lstrip().startswith(start):
+            return start + ",\n".join([*parts, body.lstrip()[len(start):]])
     return "with " + ",\n".join(parts) + "\n" + body if parts else body
 
 

@@ -1,6 +1,8 @@
 """Session settings and the shared scratch folder."""
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +45,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{jvm.java.util.UUID.randomUUID().toString()}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for a while; a stream started inside keeps them."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """The folder, made if it is not there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
+
+
 def checkpointed(df):
     """Cut lineage in reliable storage (never on executor-local disks)."""
     spark = df.sparkSession
