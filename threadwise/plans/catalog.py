@@ -29,12 +29,13 @@ def query(views: list[str] | None = None, oracle: str | None = None):
     return register
 
 
-def _callable(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: entry.run(Tables(spark, sf_dir))
+def _callable(entry: Entry, spread: int | None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: entry.run(Tables(spark, sf_dir, spread))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _callable(entry) for name, entry in REGISTRY.items()}
+def queries(spread: int | None = None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries by name; `spread` deals the rows of the text tables out over so many tasks."""
+    return {name: _callable(entry, spread) for name, entry in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:

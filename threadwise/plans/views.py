@@ -149,18 +149,25 @@ TABLES = {
 }
 
 
+#: Tables with long texts.
+TEXT_TABLES = ("documents",)
+
+
 @dataclass(frozen=True)
 class Tables:
     """The tables of a folder and the views over them."""
 
     spark: SparkSession
     sf_dir: str
+    #: Tasks that the text tables are dealt out over, None as they are stored.
+    spread: int | None = None
 
     def path(self, table: str) -> str:
         return f"{self.sf_dir}/{table}.parquet"
 
     def raw(self, table: str) -> DataFrame:
-        return scan_table(self.spark, self.path(table), TABLES[table])
+        spread = self.spread if table in TEXT_TABLES else None
+        return scan_table(self.spark, self.path(table), TABLES[table], spread)
 
     def stream(self, table: str) -> DataFrame:
         # A glob, because a table may be one file or a folder of files.

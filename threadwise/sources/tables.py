@@ -9,9 +9,14 @@ from threadwise.operators.ordering import top_per_group
 from threadwise.session import scratch_dir
 
 
-def scan_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read a stored table with its declared schema (no inference, columns absent on disk read as NULL)."""
-    return spark.read.schema(schema).parquet(path)
+def scan_table(spark: SparkSession, path: str, schema: str, spread: int | None = None) -> DataFrame:
+    """Read a stored table with its declared schema (no inference, columns absent on disk read as NULL).
+
+    `spread` deals the rows out over so many tasks: for a table whose files have fewer row groups than there are cores,
+    where work on the rows costs more than moving them. A table of many row groups is read in parallel without it.
+    """
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.repartition(spread) if spread else rows
 
 
 def append_rows(df: DataFrame, path: str) -> None:
