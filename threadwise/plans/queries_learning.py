@@ -5,7 +5,7 @@ from functools import cache
 from pyspark.sql import functions as F
 
 from threadwise import constants as C
-from threadwise.operators import feedback, learning
+from threadwise.operators import feedback, learning, multilabel
 from threadwise.operators.tfidf import tfidf as tfidf_weights
 from threadwise.plans.catalog import query
 from threadwise.plans.oracle_text import sql_list
@@ -280,3 +280,16 @@ def score_toxicity(q):
     scored = learning.ToxicityModel.train(judged).score(q("comments_doc").select("comment_id", "text"))
     listed = scored.withColumn("toxicity", learning.score_entries(F.col("toxicity_scores")))
     return toxicity_summary(listed).select("comment_id", "main_category", "toxicity_score")
+
+
+@query()
+def score_labels(q):
+    """Three labels of every whole text by one scorer, fitted in common on the judged texts and run through the scorer
+    hook: toxic, of low quality, and neither."""
+    judged = q.raw("documents").join(q.raw("labels"), "doc_id").select(
+        "text", (F.col("toxic") == 1).alias("toxic"), (F.col("quality") == 0).alias("poor"),
+        ((F.col("toxic") == 0) & (F.col("quality") == 1)).alias("fine"))
+    scorer = multilabel.train_labels(judged, ["toxic", "poor", "fine"])
+    scored = learning.apply_scorer(q("comments_doc").select("comment_id", "text"), scorer.maker())
+    return scored.select("comment_id", F.explode(learning.score_entries(F.col("toxicity_scores"))).alias("e")).select(
+        "comment_id", "e.label", "e.score")
