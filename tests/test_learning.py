@@ -160,6 +160,28 @@ def test_lexicon_sentiment(table):
     assert got[""]["neu"] == 0.0
 
 
+def test_phrases_by_hand(table):
+    """Values worked out from the published rules, 1.9 for good and -2.5 for bad."""
+    again = {  # the published order: boosters and negations from near to far, then phrases, then least
+        "never so good today": 1.9 * 1.25 + 0.293 * 1.25, "never this good": 1.9 * 1.25, "never good": 1.9 * -0.74,
+        "it was never quite this good": (1.9 + 0.293 * 0.95) * 1.25, "without doubt good": 1.9, "without good": 1.9 * -0.74,
+        "without any doubt good": 1.9, "kind of good": 1.9 - 0.293, "a sort of bad": -2.5 - 0.293, "of kind good": 1.9,
+        "least good": 1.9 * -0.74, "at least good": 1.9, "very least good": 1.9 + 0.293 * 0.95, "the least bad": -2.5 * -0.74,
+        "a good egg": -1.0, "good egg": -1.0, "egg good": 1.9, "quite a good egg": -1.0, "to die for good film": 3.0,
+        "film to die for good": 3.0, "good to die": 1.9, "good good egg": 1.9 - 1.0,
+    }
+    lexicon = table("word STRING, valence DOUBLE", LEXICON)
+    phrases = sentiment.Phrases(idioms={**sentiment.IDIOMS, "good egg": -1.0})
+    df = table("comment_id STRING, text STRING", [(t, t) for t in again])
+    got = {r["comment_id"]: r["compound"] for r in sentiment.lexicon_sentiment(df, lexicon, phrases=phrases).collect()}
+    lexical = dict(LEXICON)
+    assert "doubt" not in lexical and "least" not in lexical
+    want = {t: compound(v) for t, v in again.items() if t not in ("good good egg", "to die for good film")}
+    assert {t: got[t] for t in want} == pytest.approx(want, abs=1e-4)
+    with pytest.raises(ValueError):
+        sentiment.Phrases(idioms={"one": 1.0})
+
+
 def test_label_lexicon(table):
     df = table("comment_id STRING, text STRING, good BOOLEAN", [(str(i), "fine words", i < 3) for i in range(4)])
     got = rows(sentiment.label_lexicon(df, "good"))

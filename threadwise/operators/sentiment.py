@@ -1,8 +1,11 @@
 """Lexicon sentiment after Hutto and Gilbert (2014): valences with boosters, negation, capitals, 'but' and marks.
 
-The lexicon is a table (word, valence). Idioms and multi-word special cases are not part of this rule set.
+The lexicon is a table (word, valence). With phrases, idioms, two-word modifiers, "never so" and "least" count as well.
 """
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadwise.functions import patterns as P
@@ -29,6 +32,16 @@ NEGATIONS = [
     "wouldnt", "won't", "wouldn't", "rarely", "seldom", "despite",
 ]
 MODIFIERS = BOOSTERS + DAMPENERS + NEGATIONS
+# Modifiers of two words, and idioms with their valence.
+DAMPENING_PHRASES = ["kind of", "sort of", "just enough"]
+IDIOMS = {
+    "the bomb": 3.0, "bad ass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0,
+    "cut the mustard": 2.0, "hand to mouth": -2.0, "back handed": -2.0, "blow smoke": -2.0, "upper hand": 1.0,
+    "break a leg": 2.0, "cooking with gas": 2.0, "in the black": 2.0, "in the red": -2.0, "on the ball": 2.0,
+    "under the weather": -2.0,
+}
+# Words that turn a negation around, and those that keep "least" from being one.
+EMPHATIC, SURE, NOT_LEAST, EMPHASIS = ["so", "this"], "doubt", ["at", "very"], 1.25
 # Published weights.
 BOOST, CAPITALS, NEGATE = 0.293, 0.733, -0.74
 DISTANCE_FACTORS = [1.0, 0.95, 0.9]
@@ -47,11 +60,28 @@ def _words(text: Column) -> Column:
     return F.transform(parts, clean)
 
 
-def _described_words(text: Column) -> Column:
+@dataclass(frozen=True)
+class Phrases:
+    """Phrases of two or three words in lower case: idioms give their valence to the words in and beside them, dampening
+    ones weaken the next words. They are part of the plan, so their number is that of a list made by hand."""
+
+    idioms: dict[str, float] = field(default_factory=lambda: dict(IDIOMS))
+    dampening: list[str] = field(default_factory=lambda: list(DAMPENING_PHRASES))
+
+    def words(self) -> list[str]:
+        own = {w for phrase in [*self.idioms, *self.dampening] for w in phrase.split(" ")}
+        return sorted(own | {*EMPHATIC, SURE, *NOT_LEAST, "least"})
+
+    def __post_init__(self):
+        if any(len(p.split(" ")) not in (2, 3) for p in [*self.idioms, *self.dampening]):
+            raise ValueError("a phrase has two or three words")
+
+
+def _described_words(text: Column, marked: list[str]) -> Column:
     """Words as (low, caps, modifier); modifier is NULL for most words, which keeps their neighbours small."""
     def describe(word: Column) -> Column:
         low = F.lower(word)
-        return F.struct(low.alias("low"), _is_upper(word).alias("caps"), F.when(low.isin(MODIFIERS), low).alias("modifier"))
+        return F.struct(low.alias("low"), _is_upper(word).alias("caps"), F.when(low.isin(marked), low).alias("modifier"))
 
     return F.transform(_words(text), describe)
 
@@ -74,7 +104,40 @@ def _signed(valence: Column, amount: float) -> Column:
     return F.when(valence > 0, amount).when(valence < 0, -amount).otherwise(0.0)
 
 
-def _in_context(df: DataFrame, known: Column) -> DataFrame:
+def _unless(condition: Column, other: Column) -> Column:
+    """other where the condition holds, with no word for no."""
+    return F.coalesce(condition, F.lit(False)) & other
+
+
+def _turned(distance: int) -> tuple[Column, Column]:
+    """Whether the word before at a distance is a `never` made emphatic by a word behind it, or a `without doubt`."""
+    word = F.col(f"w.before{distance}.modifier")
+    behind = [F.col(f"w.before{d}.modifier") for d in range(1, distance)]
+    some = lambda words: reduce(
+        lambda a, b: a | b, [F.coalesce(b.isin(words), F.lit(False)) for b in behind], F.lit(False))
+    return _unless(word == "never", some(EMPHATIC)), _unless(word == "without", some([SURE]))
+
+
+def _with_phrases(valued: DataFrame, phrases: Phrases) -> DataFrame:
+    """The value after idioms (the longest one, before the word or with it), dampening phrases and `least`."""
+    b1, b2, b3 = (F.col(f"w.before{d}.modifier") for d in (1, 2, 3))
+    a1, a2, own = F.col("w.after1"), F.col("w.after2"), F.col("w.word")
+    joined = lambda *words: reduce(lambda a, b: F.concat(a, F.lit(" "), b), words)  # noqa: E731  null without one of them
+    places = [joined(b2, b1, own), joined(own, a1, a2), joined(b3, b2, b1), joined(b1, own), joined(own, a1),
+              joined(b2, b1), joined(b3, b2)]
+    if phrases.idioms:
+        found = F.coalesce(*[F.when(p.isin(list(phrases.idioms)), p) for p in places])
+        valences = F.create_map(*[F.lit(x) for pair in phrases.idioms.items() for x in pair])
+        valued = valued.withColumn("idiom", F.when(F.col("value").isNotNull(), found)).withColumn(
+            "value", F.when(F.col("idiom").isNotNull(), valences[F.col("idiom")]).otherwise(F.col("value"))).drop("idiom")
+    number = lambda condition: F.coalesce(condition.cast("int"), F.lit(0))
+    weaker = [number(p.isin(phrases.dampening)) for p in (joined(b3, b2, b1), joined(b3, b2), joined(b2, b1))]
+    least = _unless(b1 == "least", ~F.coalesce(b2.isin(NOT_LEAST), F.lit(False)))
+    return valued.withColumn("value", F.col("value") - BOOST * reduce(lambda a, b: a + b, weaker)).withColumn(
+        "value", F.col("value") * F.when(least, NEGATE).otherwise(1.0))
+
+
+def _in_context(df: DataFrame, known: Column, phrases: Phrases | None) -> DataFrame:
     """Add the valence after capitals, then boosters and negations among the three words before, nearest first.
 
     Words outside the lexicon keep NULL, and nothing is computed for them. `known` lists the modifiers that are
@@ -92,17 +155,23 @@ def _in_context(df: DataFrame, known: Column) -> DataFrame:
         boosted = value + F.when(value < 0, -step).otherwise(step)
         applies = value.isNotNull() & low.isNotNull() & ~F.array_contains(known, low)
         changed = F.when(low.isin(NEGATIONS), boosted * NEGATE).otherwise(boosted)
+        if phrases and distance > 1:
+            emphatic, sure = _turned(distance)
+            changed = F.when(emphatic, boosted * EMPHASIS).when(sure, boosted).otherwise(changed)
         valued = valued.withColumn("value", F.when(applies, changed).otherwise(value))
-    return valued
+    return _with_phrases(valued, phrases) if phrases else valued
 
 
-def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comment_id", text: str = "text") -> DataFrame:
+def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comment_id", text: str = "text",
+                      phrases: Phrases | None = None) -> DataFrame:
     """Rows (key, neg, neu, pos, compound).
 
     Each word carries its three predecessors, so the words of a comment need not be brought together in order;
-    they are summed up where they are read, and one partial row per comment is shuffled.
+    they are summed up where they are read, and one partial row per comment is shuffled. With `phrases` a word also
+    carries the two words after it, if they are part of a phrase.
     """
-    listed = comments.select(key, _marks(F.col(text)).alias("marks"), _described_words(F.col(text)).alias("words"))
+    marked = MODIFIERS + (phrases.words() if phrases else [])
+    listed = comments.select(key, _marks(F.col(text)).alias("marks"), _described_words(F.col(text), marked).alias("words"))
     words, count = F.col("words"), F.size("words")
     upper_words = F.size(F.filter(words, lambda w: w["caps"]))
     described = listed.select(
@@ -115,8 +184,9 @@ def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comme
             other = F.get(words, i - distance)
             return F.struct(other["modifier"].alias("modifier"), other["caps"].alias("caps")).alias(f"before{distance}")
 
+        after = [F.get(words, i + d)["modifier"].alias(f"after{d}") for d in (1, 2)] if phrases else []
         return F.struct((i + 1).alias("place"), word["low"].alias("word"), word["caps"].alias("caps"),
-                        before(1), before(2), before(3))
+                        before(1), before(2), before(3), *after)
 
     # The outer form keeps comments without words, and does not copy the whole expression into a filter.
     placed = described.select(
@@ -124,7 +194,7 @@ def lexicon_sentiment(comments: DataFrame, lexicon: DataFrame, key: str = "comme
     ).withColumn("word", F.col("w.word"))
     known = lexicon.filter(F.col("word").isin(MODIFIERS)).agg(F.collect_set("word")).scalar()
     own = lexicon.filter(~F.col("word").isin(BOOSTERS + DAMPENERS)).select("word", "valence")
-    valued = _in_context(placed.join(own, "word", "left"), known)
+    valued = _in_context(placed.join(own, "word", "left"), known, phrases)
     place, but = F.col("w.place"), F.col("but")
     factor = F.when((but > 0) & (place < but), BEFORE_BUT).when((but > 0) & (place > but), AFTER_BUT).otherwise(1.0)
     value = F.coalesce(F.col("value") * factor, F.lit(0.0))

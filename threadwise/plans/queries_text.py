@@ -169,7 +169,8 @@ described as (
   from (select *, length(text) - length(replace(text, '?', '')) as qs from word_lists)),
 placed as (
   select comment_id, marks, but, ups > 0 and ups < n as mixed, i as place, ws[i] as w, lower(ws[i]) as word,
-         case when i > 1 then ws[i-1] end as b1, case when i > 2 then ws[i-2] end as b2, case when i > 3 then ws[i-3] end as b3
+         case when i > 1 then ws[i-1] end as b1, case when i > 2 then ws[i-2] end as b2, case when i > 3 then ws[i-3] end as b3,
+         lower(ws[i+1]) as a1, lower(ws[i+2]) as a2
   from (select *, unnest(range(1, n + 1)) as i from described)),
 v0 as (
   select p.*, valence + case when w = upper(w) and w <> lower(w) and mixed then sign(valence) * cast(0.733 as double) else 0 end as v
@@ -202,8 +203,36 @@ v{n} as (
   from (select *, coalesce({amount}, 0) as step from v{n - 1})),"""
 
 
-SENTIMENT_SQL = SENTIMENT_SQL.replace("chr(33), chr(32)[1:0]", "'!', ''").replace(
-    "{steps}", "".join(_step(n, f) for n, f in ((1, 1.0), (2, 0.95), (3, 0.9))))
+SENTIMENT_SQL = SENTIMENT_SQL.replace("chr(33), chr(32)[1:0]", "'!', ''")
+STEPS_SQL = "".join(_step(n, f) for n, f in ((1, 1.0), (2, 0.95), (3, 0.9)))
+
+#: Phrases of the invented texts beside published ones, with made-up valences.
+SOME_PHRASES = sentiment.Phrases({"to die for": 3.0, "of the": 2.0, "the and": -1.5, "the the the": 0.5, "is the": 0.0},
+                                 ["kind of", "and the", "in the"])
+PHRASE_VALUES_SQL = "(values ('to die for', 3.0), ('of the', 2.0), ('the and', -1.5), ('the the the', 0.5), ('is the', 0.0))"
+
+
+def _phrase_steps() -> str:
+    """The steps with emphatic `never` and `without doubt`, then idioms, dampening phrases and `least`."""
+    steps = STEPS_SQL
+    for n, behind in ((2, ["b1"]), (3, ["b1", "b2"])):
+        boosted = "(v + case when v < 0 then -step else step end)"
+        mark = f"when lower(b{n}) in ({sql_list(sentiment.NEGATIONS)})"
+        never = " or ".join(f"lower({b}) in ('so', 'this')" for b in behind)
+        doubt = " or ".join(f"lower({b}) = 'doubt'" for b in behind)
+        steps = steps.replace(mark, f"when lower(b{n}) = 'never' and ({never}) then {boosted} * cast(1.25 as double) "
+                                    f"when lower(b{n}) = 'without' and ({doubt}) then {boosted} {mark}")
+    places = ["b2 || ' ' || b1 || ' ' || word", "word || ' ' || a1 || ' ' || a2", "b3 || ' ' || b2 || ' ' || b1",
+              "b1 || ' ' || word", "word || ' ' || a1", "b2 || ' ' || b1", "b3 || ' ' || b2"]
+    found = ", ".join(f"(select i.valence from idioms i where i.phrase = lower({p}))" for p in places)
+    damped = " + ".join(f"case when lower({p}) in ('kind of', 'and the', 'in the') then 1 else 0 end"
+                        for p in ("b3 || ' ' || b2 || ' ' || b1", "b3 || ' ' || b2", "b2 || ' ' || b1"))
+    return steps + f"""
+idioms as (select column0 as phrase, cast(column1 as double) as valence from (select * from {PHRASE_VALUES_SQL} t(column0, column1))),
+v4 as (
+  select * exclude (v), (case when v is not null then coalesce({found}, v) end - ({damped}) * cast(0.293 as double))
+         * case when lower(b1) = 'least' and coalesce(lower(b2) not in ('at', 'very'), true) then cast(-0.74 as double) else 1 end as v
+  from v3),"""
 
 
 def _label_lexicon(q):
@@ -212,17 +241,25 @@ def _label_lexicon(q):
     return checkpointed(sentiment.label_lexicon(judged, "good"))
 
 
-@query(["comments_doc"], f"""
-with {SENTIMENT_SQL}
+SCORES_SQL = """
 select c.comment_id, coalesce(round(down / nullif(up + down + flat, 0), 3), 0) as neg,
        coalesce(round(flat / nullif(up + down + flat, 0), 3), 0) as neu,
        coalesce(round(up / nullif(up + down + flat, 0), 3), 0) as pos,
        coalesce(round(total / sqrt(total * total + 15), 4), 0) as compound
-from comments_doc c left join stressed s on c.comment_id = s.comment_id""")
+from comments_doc c left join stressed s on c.comment_id = s.comment_id"""
+
+
+@query(["comments_doc"], f"with {SENTIMENT_SQL.replace('{steps}', STEPS_SQL)}{SCORES_SQL}")
 def lexicon_sentiment(q):
     return sentiment.lexicon_sentiment(q("comments_doc"), _label_lexicon(q))
 
 
+@query(["comments_doc"], f"with {SENTIMENT_SQL.replace('{steps}', _phrase_steps()).replace('end, 0) as v from v3)', 'end, 0) as v from v4)')}{SCORES_SQL}")
+def phrase_sentiment(q):
+    """Sentiment with phrases: idioms, two-word dampeners, emphatic negations and `least`."""
+    return sentiment.lexicon_sentiment(q("comments_doc"), _label_lexicon(q), phrases=SOME_PHRASES)
+
+
 # ---- moderation by a text model
 
 
