@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadwise.functions.text import INDICATORS, spam_indicators
 from threadwise.operators import feedback, filters, keywords, ordering, quality, statistics, threads
-from threadwise.plans import video_stats
+from threadwise.plans import states, video_stats
 from threadwise.plans.catalog import query
 from threadwise.plans.oracle_text import INDICATORS_SQL, LONG_WORDS_SQL, STATS_SQL, STOP_SQL, WORDS_SQL
+from threadwise.session import scratch_dir
+from threadwise.sources import pages
 
 # ---- filters and listings
 
@@ -371,6 +373,58 @@ def comments_page(q):
     return ordering.comments_page(listed, page=2)
 
 
+@query(["comments_ev"], """
+with numbered as (
+  select comment_id, video_id, author, timestamp, row_number() over (order by timestamp desc, comment_id) as r,
+         count(*) over () as total
+  from comments_ev where video_id = 'v3')
+select comment_id, video_id, author, timestamp, total, cast(ceil(total / 14.0) as bigint) - 1 as page,
+       cast(14 as bigint) as per_page, cast(ceil(total / 7.0 / 2) as bigint) as total_pages
+from numbered where r > (cast(ceil(total / 14.0) as bigint) - 2) * 14 and r <= (cast(ceil(total / 14.0) as bigint) - 1) * 14""")
+def deep_page(q):
+    """The last page but one of a video, out of the hours that the page directory names."""
+    folder, schema = scratch_dir(q.spark, "pages"), "comment_id STRING, video_id STRING, author STRING, timestamp TIMESTAMP_NTZ"
+    pages.store_with_directory(q("comments_ev").select("comment_id", "video_id", "author", "timestamp"), folder)
+    last = pages.stored_page(q.spark, folder, schema, "v3", per_page=14).first()["total_pages"]
+    return pages.stored_page(q.spark, folder, schema, "v3", last - 1, per_page=14)
+
+
+def _states(q):
+    """States of all comments, the last days added after the others."""
+    folder, comments = scratch_dir(q.spark, "states"), q("comments_ev")
+    late = F.to_date("timestamp") >= F.lit("2024-01-20").cast("date")
+    states.store_states(comments.filter(~late), folder)
+    states.store_states(comments.filter(late), folder)
+    return folder
+
+
+STATES_SQL = f"""
+select video_id, count(*) as total, count(classification) as judged, count(case when is_spam then 1 end) as spam_flagged,
+       {", ".join(f"count(case when content_class = '{c}' then 1 end) as class_{c}" for c in states.CLASSES)},
+       count(emotional_score) as scored, count(case when responded then 1 end) as responded,
+       cast(sum(likes) as bigint) as likes, min(timestamp) as first_at, max(timestamp) as last_at,
+       count(distinct author) as distinct_authors, round(cast(sum(cast(emotional_score as decimal(18,9))) as double) / count(emotional_score), 6) as avg_emotion
+from comments_ev"""
+
+
+@query(["comments_ev"], f"{STATES_SQL} group by video_id")
+def incremental_statistics(q):
+    """Statistics merged from daily states, authors counted."""
+    return states.merged(q.spark, _states(q), exact=True).withColumn("avg_emotion", F.round("avg_emotion", 6))
+
+
+@query(["comments_ev"], """
+select video_id, count(*) as total, true as near from comments_ev where timestamp >= timestamp '2024-01-10 00:00:00' group by video_id""")
+def author_sketches(q):
+    """Authors of the days from a date on by merged sketches: within six standard errors and a half of one of the exact number."""
+    folder = _states(q)
+    near, exact = (states.merged(q.spark, folder, e, since="2024-01-10") for e in (False, True))
+    both = near.select("video_id", "total", "distinct_authors").join(
+        exact.select("video_id", F.col("distinct_authors").alias("counted")), "video_id")
+    error = F.abs(F.col("distinct_authors") - F.col("counted"))
+    return both.select("video_id", "total", (error <= 0.1 * F.col("counted") + 0.5).alias("near"))
+
+
 @query(["comments_doc"], f"""
 with kept as (select unnest({LONG_WORDS_SQL}) as keyword from comments_doc)
 select keyword, count(*) as n from kept group by keyword order by n desc, keyword limit 10""")

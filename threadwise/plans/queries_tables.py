@@ -10,7 +10,7 @@ from threadwise.plans.oracle_text import LONG_WORDS_SQL, STATS_SQL, STOP_SQL
 from threadwise.plans.report import report_long
 from threadwise.schemas import COMMENTS
 from threadwise.session import scratch_dir
-from threadwise.sources import api, tables
+from threadwise.sources import api, buckets, tables
 
 LOAD_TIME = "2024-02-01 00:00:00"
 REPLY_PAGE = 100
@@ -191,6 +191,44 @@ def stored_updates(q):
     return tables.scan_table(q.spark, folder, schema)
 
 
+STORED = "comment_id STRING, video_id STRING, is_spam BOOLEAN"
+
+
+def _bucketed(q):
+    folder = scratch_dir(q.spark, "store")
+    buckets.create_store(q("comments_ev").select("comment_id", "video_id", "is_spam"), folder, "comment_id", 16)
+    return folder
+
+
+@query(["comments_ev", "label_requests"], f"""
+with {UPDATES}
+select c.comment_id, c.video_id, coalesce(l.is_spam, c.is_spam) as is_spam
+from comments_ev c left join last_label l on c.comment_id = l.comment_id""")
+def bucket_updates(q):
+    """Updates in a bucketed store: the buckets of updated keys are joined without a shuffle of the stored rows."""
+    folder = _bucketed(q)
+    updates = feedback.updates_from(q("label_requests").filter("is_spam is not null"))
+    buckets.change_store(q.spark, folder, STORED, updates.select("comment_id", "is_spam"), "comment_id", [], most=100)
+    return buckets.read_store(q.spark, folder, STORED)
+
+
+@query(["comments_ev"], """
+select comment_id, case when cast(comment_id as bigint) % 5 = 0 then 'moved' else video_id end as video_id,
+       case when cast(comment_id as bigint) % 5 <> 0 then is_spam end as is_spam from comments_ev
+union all
+select '-' || comment_id, 'new', true from comments_ev where cast(comment_id as bigint) % 7 = 0""")
+def bucket_upserts(q):
+    """Whole rows replaced or added in a bucketed store; each version stays readable."""
+    folder = _bucketed(q)
+    number = F.col("comment_id").cast("long")
+    moved = q("comments_ev").filter(number % 5 == 0).select(
+        "comment_id", F.lit("moved").alias("video_id"), F.lit(None).cast("boolean").alias("is_spam"))
+    new = q("comments_ev").filter(number % 7 == 0).select(
+        F.concat(F.lit("-"), "comment_id").alias("comment_id"), F.lit("new").alias("video_id"), F.lit(True).alias("is_spam"))
+    buckets.change_store(q.spark, folder, STORED, moved.unionByName(new), "comment_id", [], insert=True)
+    return buckets.read_store(q.spark, folder, STORED)
+
+
 def _lines(number: int, section: str, scalars: list[str], first_line: int = 0) -> str:
     return " union all ".join(
         f"select video_id, cast({number} as bigint) as section_no, '{section}' as section, "
