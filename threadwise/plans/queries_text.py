@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from threadwise.functions import labels, text
-from threadwise.operators import moderation, ordering, sentiment
+from threadwise.operators import ledger, moderation, ordering, sentiment
 from threadwise.operators.filters import unclassified
 from threadwise.plans import analyze, video_stats
 from threadwise.plans.catalog import query
-from threadwise.session import checkpointed
+from threadwise.session import checkpointed, scratch_dir
 from threadwise.plans.oracle_text import FEATURES_SQL, INDICATORS_SQL, RATIO_SQL, SPACE, VERDICT_SQL, WHITELIST_SQL, sql_list
 
 
@@ -358,7 +358,7 @@ def rule_reply_maker():
 FIRST_INSULT = "case " + " ".join(f"when contains(lower(text), '{w}') then '{w}'" for w in INSULTS) + " end"
 
 
-@query(["comments_doc"], f"""
+ROUND_SQL = f"""
 with numbered as (
   select video_id, text, row_number() over (partition by video_id order by timestamp, comment_id) as r
   from comments_doc where classification is null),
@@ -367,8 +367,39 @@ select video_id, cast(ceil(r / 10.0) as bigint) as batch_no, (r - 1) % 10 + 1 as
        case when insult is not null then 'offensive' when licensed then 'spam' else 'neutral' end as classification,
        case when insult is not null then 'remove' when licensed then 'flag' else 'allow' end as mod_action,
        case when insult is not null then 'insult: ' || insult when licensed then 'license line' else 'no rule matched' end as reason
-from judged""")
+from judged"""
+
+
+@query(["comments_doc"], ROUND_SQL)
 def call_scorer(q):
     """The whole round: prompts, replies by rule, parsed decisions."""
     prompts = moderation.moderation_prompts(_queue_batches(q))
     return moderation.parse_moderation(moderation.call_scorer(prompts, rule_reply_maker).drop("error"))
+
+
+def never_reply_maker():
+    raise AssertionError("every reply is in the ledger")
+
+
+@query(["comments_doc"], ROUND_SQL)
+def recorded_replies(q):
+    """The whole round a second time: every reply comes out of the ledger, and the model is not even made."""
+    prompts, folder = moderation.moderation_prompts(_queue_batches(q)), scratch_dir(q.spark, "ledger")
+    ledger.call_recorded(prompts, rule_reply_maker, folder).write.format("noop").mode("overwrite").save()
+    replies = ledger.call_recorded(prompts, never_reply_maker, folder)
+    return moderation.parse_moderation(replies.drop("error"))
+
+
+@query(["comments_doc", "model_scores"], """
+select comment_id as key, cast(3 as bigint) as attempts, 'no scores' as last_error
+from comments_doc where (classification is null or spam_score is null) and cast(comment_id as bigint) % 10 = 0""")
+def dead_letters(q):
+    """Comments that no run could analyse, after three runs in which ever more scores came: a tenth has none at all."""
+    comments, path, number = q("comments_doc"), scratch_dir(q.spark, "failures"), F.col("comment_id").cast("long")
+    scores = _toxicity(q).select("comment_id", "p", "toxicity", "compound")
+    for run in range(3):
+        come = scores.filter((number % 10 != 0) & (number % 10 <= 3 * run + 3))
+        queue = ledger.still_waiting(comments, ledger.failures(q.spark, path), "comment_id")
+        results = analyze.analyze_queue(queue.join(come, "comment_id", "left"))
+        ledger.record_failures(results.filter("is_error").withColumn("error", F.lit("no scores")), path, "comment_id", "error", run)
+    return ledger.dead_letters(ledger.failures(q.spark, path))
