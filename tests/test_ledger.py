@@ -58,9 +58,11 @@ def test_a_task_that_is_tried_again_calls_only_for_what_is_missing(spark, table,
     folder, log = places
     df = prompts_of(table, [f"p{i}" for i in range(12)])
 
-    # The job dies in the middle of its tasks, after some replies are there.
+    # The job dies in the middle of its task, after some replies are there.
+    make = counting(log)
+
     def dying():
-        reply, done = counting(log)(), []
+        reply, done = make(), []
 
         def one(texts):
             if len(done) == 5:
