@@ -77,6 +77,8 @@ def test_scores_and_status(table):
     by_video = {r["video_id"]: r for r in L.spam_metrics(df, versions, ["video_id"]).collect()}
     assert (by_video["v"]["model_status"], by_video["v"]["train_accuracy"]) == ("trained", 0.6)
     assert (by_video["w"]["model_status"], by_video["w"]["train_accuracy"]) == ("no_data", None)
+    lost = df.withColumn("prediction", F.lit(None).cast("boolean"))
+    assert L.spam_metrics(lost, versions).select("model_status", "train_accuracy").first() == ("error", None)
     assert L.spam_metrics(df, versions.filter("false")).first()["model_status"] == "untrained"
     empty = L.classification_scores(df.filter("false")).first()
     assert empty["accuracy"] is None and empty["f1"] == 0.0

@@ -1,50 +1,57 @@
 import random
 import re
-import string
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from threadwise import constants as C
 from threadwise.functions import text as X
 
-SPAM = "FREE IPHONE! Click here to claim your prize! www.scam.com"
-EDGE_TEXTS = [
-    "", "   ", SPAM, "Great video!", "Great video! " + "x" * 140, "Know something", "wow!!!!", "a@b.c", "@b.c", "a@@b.c", "a@b.",
-    "$5 www.x.com free call bitcoin!!!!", "Ünï ÇÖDE Ⅷ ²³ ①٣", "tab\tline\nsep nbsp em\x1cfs", " edge ", "limited time act now",
-    "really? yes? no? why?", "PRICE €5 email me", "don't miss http://a http://b www.", "a.b@c\nd.e",
-]
-
-
-def random_texts(count: int) -> list[str]:
-    rng = random.Random(7)
-    alphabet = string.ascii_letters + string.digits + string.punctuation + " \t\n  éÉßΣ²Ⅷ١ 中@.!?"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(count)]
-    return texts + [" ".join(rng.choice(C.SPAM_WORDS + ["plain", "Words"]) for _ in range(rng.randrange(12))) for _ in range(count)]
-
-
-def brute_features(text: str) -> dict:
-    words, n = text.lower().split(), max(len(text), 1)
-    hits = [w for w in words if w in C.SPAM_WORDS]
-    found = [e for e in C.SPAM_WORDS if e in text.lower()]
-    return {
-        "length": len(text), "word_count": len(words), "avg_word_length": len("".join(words)) / max(len(words), 1),
-        "capitals_ratio": len([c for c in text if c.isupper()]) / n, "digits_ratio": len([c for c in text if c.isdigit()]) / n,
-        "punctuation_ratio": len([c for c in text if c in string.punctuation]) / n,
-        "exclamation_count": text.count("!"), "question_count": text.count("?"),
-        "url_count": len([w for w in words if "http" in w or "www." in w]),
-        "has_email": int(bool(re.search(r"[^@]+@[^@]+\.[^@]+", text))),
-        "spam_word_ratio": min((len(hits) + len(found)) / (len(words) + 1), 1.0),
-    }
-
-
-def test_text_features_match_brute_force(spark):
-    texts = EDGE_TEXTS + random_texts(150)
-    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
-    for row in X.text_features(df).collect():
-        want = brute_features(row["text"])
-        assert {k: row[k] for k in want} == pytest.approx(want, abs=1e-12), row["text"]
+NAMES = ["length", "word_count", "avg_word_length", "capitals_ratio", "digits_ratio", "punctuation_ratio",
+         "exclamation_count", "question_count", "url_count", "has_email", "spam_word_ratio"]
+#: Features worked out by hand, in the order of NAMES.
+BY_HAND = {
+    "": (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    "   ": (3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    "Hi THERE": (8, 2, 7 / 2, 6 / 8, 0, 0, 0, 0, 0, 0, 0),
+    "so far, so fun?!": (16, 4, 13 / 4, 0, 0, 3 / 16, 1, 1, 0, 0, 0),
+    "look at www.site.org or http://b": (32, 5, 28 / 5, 0, 0, 5 / 32, 0, 0, 2, 0, 0),
+    "mail me x@y.z": (13, 3, 11 / 3, 0, 0, 2 / 13, 0, 0, 0, 1, 0),
+    "x@y": (3, 1, 3, 0, 0, 1 / 3, 0, 0, 0, 0, 0),
+    "@y.z": (4, 1, 4, 0, 0, 2 / 4, 0, 0, 0, 0, 0),
+    "x@y\nz.": (6, 2, 5 / 2, 0, 0, 2 / 6, 0, 0, 0, 0, 0),
+    "x@y\nz.w": (7, 2, 6 / 2, 0, 0, 2 / 7, 0, 0, 0, 1, 0),
+    # Upper case and digits beyond ASCII, a numeral among them.
+    "ÄÖ ①² Ⅷ": (7, 3, 5 / 3, 3 / 7, 2 / 7, 0, 0, 0, 0, 0, 0),
+    # Each word of the lexicon counts once as a word and once as a part of the text, hidden parts too.
+    "win cash 50": (11, 3, 3, 0, 2 / 11, 0, 0, 0, 0, 0, 1),
+    "know something": (14, 2, 13 / 2, 0, 0, 0, 0, 0, 0, 0, 2 / 3),
+    "tab\there\nnow": (12, 3, 10 / 3, 0, 0, 0, 0, 0, 0, 0, 2 / 4),
+}
+
+
+def test_text_features_by_hand(spark):
+    df = spark.createDataFrame([(t,) for t in BY_HAND], "text STRING")
+    got = {r["text"]: tuple(r[n] for n in NAMES) for r in X.text_features(df).collect()}
+    for text, want in BY_HAND.items():
+        assert got[text] == pytest.approx(want, abs=1e-12), text
+
+
+def test_character_shares_are_those_the_text_is_made_of(spark):
+    """Texts put together from known numbers of characters of each kind."""
+    rng, made = random.Random(7), []
+    kinds = ["ABÉßΣ".replace("ß", "Ü"), "07²١", ".,;#@", "!", "?", "abéß中", " \t\n"]
+    for i in range(60):
+        numbers = [rng.randrange(9) for _ in kinds]
+        letters = [rng.choice(kind) for kind, n in zip(kinds, numbers) for _ in range(n)]
+        rng.shuffle(letters)
+        made.append((i, "".join(letters), *numbers))
+    df = spark.createDataFrame(made, "id INT, text STRING, a INT, b INT, c INT, d INT, e INT, f INT, g INT")
+    for r in X.text_features(df).collect():
+        size = max(1, sum(r[c] for c in "abcdefg"))
+        want = (r["a"] / size, r["b"] / size, (r["c"] + r["d"] + r["e"]) / size, r["d"], r["e"])
+        got = tuple(r[n] for n in NAMES[3:8])
+        assert got == pytest.approx(want, abs=1e-12), r["text"]
 
 
 def test_unicode_classes_cover_every_character(spark):
@@ -73,7 +80,8 @@ def test_spam_word_ratio_counts_words_and_substrings(spark):
 
 
 def test_indicators(spark):
-    df = spark.createDataFrame([(t,) for t in EDGE_TEXTS], "text STRING")
+    texts = ["$5 www.x.com free call bitcoin!!!!", "really? yes? no? why?", "PRICE €5 email me", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING")
     got = {r["text"]: tuple(r[c] for c in X.INDICATORS[:6]) for r in X.spam_indicators(df).collect()}
     assert got["$5 www.x.com free call bitcoin!!!!"] == (1, 1, 1, 1, 1, 1)
     assert got["really? yes? no? why?"] == (0, 0, 0, 0, 0, 1)

@@ -81,3 +81,23 @@ TOP_FEATURES_MODEL, TOP_FEATURES_VIDEO = 5, 10
 UNKNOWN_AUTHOR = "Unknown"
 UNKNOWN_TITLE = "Unknown Title"
 UNKNOWN_CHANNEL = "Unknown Channel"
+
+# Output format of the reports. Sections in order with their scalar columns (those without any are filled
+# by lists), what an empty section says, and the lines of a sample comment with their columns.
+REPORT_SECTIONS = {
+    "Overview": ["total_comments", "unique_authors"],
+    "Classification Breakdown": [],
+    "Moderation Actions": [],
+    "Engagement Metrics": ["total_comments", "responded_comments", "response_rate", "unique_authors"],
+    "Time Analysis": ["first_comment", "last_comment", "avg_hours_between", "most_active_hour"],
+    "Top Commenters": [],
+    "Keyword Analysis": ["total_word_count", "avg_words_per_comment"],
+    "Emotional Analysis": ["avg_emotional_score", "max_emotional_score", "min_emotional_score",
+                           "positive", "neutral", "negative"],
+}
+REPORT_NO_DATA = "No data available"
+REPORT_TITLE, REPORT_TIME, REPORT_SAMPLES = "# Comment Analysis Summary", "Generated on: ", "## Sample Comments"
+SAMPLE_LINES = {
+    "author": "- Author: ", "classification": "  Classification: ", "mod_action": "  Action: ",
+    "emotional_score": "  Emotional Score: ", "text": "  Text: ",
+}

@@ -23,7 +23,7 @@ from threadwise.functions.labels import SCORES
 from threadwise.functions.text import spam_verdict
 from threadwise.operators.filters import since_days
 
-UNTRAINED, NO_DATA, TRAINED = "untrained", "no_data", "trained"
+UNTRAINED, NO_DATA, TRAINED, ERROR = "untrained", "no_data", "trained", "error"
 # Spark's largest depth: trees grow until their leaves are pure.
 FOREST_DEPTH = 30
 # Statistics of more tree nodes per pass mean fewer passes over the labels.
@@ -128,19 +128,21 @@ def classification_scores(predictions: DataFrame, label: str = "is_spam", predic
 def spam_metrics(predictions: DataFrame, versions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Model status, training accuracy and sample counts, over all labels or per `by`.
 
-    The status is untrained without a registered spam model, no_data without labels, else trained.
+    The status is untrained without a registered spam model, no_data without labels, error where there are labels but the
+    registered model gave no prediction for any of them (its folder is damaged or gone), else trained.
     """
     models = versions.filter("model_type = 'spam'").agg(F.count("*")).scalar()
     y = F.col("is_spam")
     counts = predictions.groupBy(*(by or [])).agg(
         F.count(y).alias("total_samples"), F.count_if(y).alias("spam_samples"), F.count_if(~y).alias("ham_samples"),
-        F.count_if(y == F.col("prediction")).alias("__right"),
+        F.count_if(y == F.col("prediction")).alias("__right"), F.count("prediction").alias("__predicted"),
     )
-    status = F.when(models == 0, UNTRAINED).when(F.col("total_samples") == 0, NO_DATA).otherwise(TRAINED)
+    status = F.when(models == 0, UNTRAINED).when(F.col("total_samples") == 0, NO_DATA).when(
+        F.col("__predicted") == 0, ERROR).otherwise(TRAINED)
     right = F.try_divide(F.col("__right"), F.col("total_samples"))
     return counts.withColumn("model_status", status).withColumn(
         "train_accuracy", F.when(F.col("model_status") == TRAINED, right)
-    ).drop("__right")
+    ).drop("__right", "__predicted")
 
 
 def with_split(labels: DataFrame, key: str = "comment_id", share: float = 0.2) -> DataFrame:

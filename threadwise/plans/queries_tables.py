@@ -7,7 +7,7 @@ from threadwise.operators import feedback, merge
 from threadwise.plans import video_stats
 from threadwise.plans.catalog import query
 from threadwise.plans.oracle_text import LONG_WORDS_SQL, STATS_SQL, STOP_SQL
-from threadwise.plans.report import report_long
+from threadwise.plans.report import report_long, report_text, write_reports
 from threadwise.schemas import COMMENTS
 from threadwise.session import scratch_dir
 from threadwise.sources import api, buckets, tables
@@ -242,7 +242,7 @@ def _listed(number: int, section: str, key: str, value: str, source: str, rank:
             f"cast({value} as varchar) from {source}")
 
 
-@query(["comments_doc"], f"""
+LINES_SQL = f"""
 with {STATS_SQL},
 classes as (
   select video_id, classification, count(*) as n, row_number() over (partition by video_id order by classification) as r
@@ -274,15 +274,46 @@ lines as (
             where video_id in (select video_id from stats where avg_emotional_score is not null)),
 sections as (
   select * from (values (1, 'Overview'), (2, 'Classification Breakdown'), (3, 'Moderation Actions'), (4, 'Engagement Metrics'),
-    (5, 'Time Analysis'), (6, 'Top Commenters'), (7, 'Keyword Analysis'), (8, 'Emotional Analysis')) as t(section_no, section))
+    (5, 'Time Analysis'), (6, 'Top Commenters'), (7, 'Keyword Analysis'), (8, 'Emotional Analysis')) as t(section_no, section))"""
+ALL_LINES_SQL = """
 select * from lines
 union all
 select s.video_id, x.section_no, x.section, 0, null, 'No data available' from stats s, sections x
-where (s.video_id, x.section_no) not in (select video_id, section_no from lines)""")
+where (s.video_id, x.section_no) not in (select video_id, section_no from lines)"""
+
+
+@query(["comments_doc"], f"{LINES_SQL}{ALL_LINES_SQL}")
 def report_long_form(q):
     return report_long(video_stats.comment_stats_document(q("comments_doc")))
 
 
+@query(["comments_doc"], f"""{LINES_SQL},
+every as ({ALL_LINES_SQL}),
+bodies as (
+  select video_id, section_no, '## ' || section || chr(10) || string_agg(
+           case when key is null then value else '- ' || key || ': ' || coalesce(value, 'None') end, chr(10) order by line_no) as body
+  from every group by video_id, section_no, section),
+shown as (
+  select video_id, row_number() over (partition by video_id order by timestamp, comment_id) as r,
+         chr(10) || '- Author: ' || coalesce(author, 'None') || chr(10) || '  Classification: ' || coalesce(classification, 'None')
+         || chr(10) || '  Action: ' || coalesce(mod_action, 'None') || chr(10) || '  Emotional Score: '
+         || coalesce(cast(emotional_score as varchar), 'None') || chr(10) || '  Text: "'
+         || case when length(text) > 100 then substring(text, 1, 100) || '...' else coalesce(text, 'None') end || '"' as sample
+  from comments_doc qualify r <= 5),
+samples as (select video_id, string_agg(sample, chr(10) order by r) as samples from shown group by video_id)
+select video_id, '# Comment Analysis Summary' || chr(10) || 'Generated on: 2024-02-01 00:00:00' || chr(10) || chr(10)
+       || string_agg(body, chr(10) || chr(10) order by section_no) || chr(10) || chr(10) || '## Sample Comments' || chr(10)
+       || any_value(samples) as report
+from bodies join samples using (video_id) group by video_id""")
+def report_markdown(q):
+    """The reports as text, as they are written to their folders and read back."""
+    folder = scratch_dir(q.spark, "reports")
+    document = video_stats.comment_stats_document(q("comments_doc"))
+    write_reports(report_text(document, F.lit(LOAD_TIME)), folder)
+    return q.spark.read.text(folder, wholetext=True).select(
+        "video_id", F.regexp_replace("value", "\n$", "").alias("report"))
+
+
 @query(["comments_doc"], """
 select video_id, comment_id, author, substring(text, 1, 100) as text_head, classification, mod_action,
        (select count(*) from comments_doc) as table_rows

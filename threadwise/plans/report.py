@@ -2,20 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-NO_DATA = "No data available"
-
-# Report sections with their scalar columns; sections without any are filled by lists.
-SECTIONS: dict[str, list[str]] = {
-    "Overview": ["total_comments", "unique_authors"],
-    "Classification Breakdown": [],
-    "Moderation Actions": [],
-    "Engagement Metrics": ["total_comments", "responded_comments", "response_rate", "unique_authors"],
-    "Time Analysis": ["first_comment", "last_comment", "avg_hours_between", "most_active_hour"],
-    "Top Commenters": [],
-    "Keyword Analysis": ["total_word_count", "avg_words_per_comment"],
-    "Emotional Analysis": ["avg_emotional_score", "max_emotional_score", "min_emotional_score",
-                           "positive", "neutral", "negative"],
-}
+from threadwise import constants as C
 
 
 def _line(key: Column, value: Column) -> Column:
@@ -31,7 +18,7 @@ def _map_lines(column: str) -> Column:
 
 
 def _section_lines(name: str) -> Column:
-    scalars = [_line(F.lit(c), F.col(c)) for c in SECTIONS[name]]
+    scalars = [_line(F.lit(c), F.col(c)) for c in C.REPORT_SECTIONS[name]]
     if name == "Classification Breakdown":
         return _map_lines("classification_breakdown")
     if name == "Moderation Actions":
@@ -46,19 +33,21 @@ def _section_lines(name: str) -> Column:
     return F.array(*scalars)
 
 
+def _filled_lines(name: str) -> Column:
+    """The lines of a section, or one that says there are none."""
+    lines = _section_lines(name)
+    return F.when(F.size(lines) > 0, lines).otherwise(F.array(_line(F.lit(None), F.lit(C.REPORT_NO_DATA))))
+
+
 def report_long(document: DataFrame) -> DataFrame:
     """Rows (video_id, section, line_no, key, value) of the statistics documents.
 
     A section without lines gets one row saying so.
     """
-    empty = F.array(_line(F.lit(None), F.lit(NO_DATA)))
-    sections = []
-    for number, name in enumerate(SECTIONS, 1):
-        lines = _section_lines(name)
-        sections.append(F.struct(
-            F.lit(number).alias("section_no"), F.lit(name).alias("section"),
-            F.when(F.size(lines) > 0, lines).otherwise(empty).alias("lines"),
-        ))
+    sections = [
+        F.struct(F.lit(number).alias("section_no"), F.lit(name).alias("section"), _filled_lines(name).alias("lines"))
+        for number, name in enumerate(C.REPORT_SECTIONS, 1)
+    ]
     exploded = document.select("video_id", F.explode(F.array(*sections)).alias("s"))
     return exploded.select(
         "video_id", F.col("s.section_no").cast("bigint").alias("section_no"), "s.section",
@@ -67,34 +56,25 @@ def report_long(document: DataFrame) -> DataFrame:
 
 
 def report_text(document: DataFrame, generated: Column) -> DataFrame:
-    """One markdown report per video. A report is a fixed number of short lists."""
-    long = report_long(document)
-    text = F.when(F.col("key").isNull(), F.col("value")).otherwise(
-        F.concat(F.lit("- "), F.col("key"), F.lit(": "), F.coalesce("value", F.lit("None")))
-    )
-    sections = long.groupBy("video_id", "section_no", "section").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))), lambda x: x["t"]), "\n").alias("body")
-    )
-    block = F.concat(F.lit("## "), F.col("section"), F.lit("\n"), F.col("body"))
-    bodies = sections.groupBy("video_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", block.alias("t")))), lambda x: x["t"]), "\n\n").alias("body")
-    )
-    samples = document.select("video_id", F.array_join(F.transform("sample_comments", _sample_lines), "\n").alias("samples"))
-    head = F.concat(F.lit("# Comment Analysis Summary\nGenerated on: "), generated.cast("string"), F.lit("\n\n"))
-    return bodies.join(samples, "video_id", "left").select(
-        "video_id", F.concat(head, "body", F.lit("\n\n## Sample Comments\n"), F.coalesce("samples", F.lit(""))).alias("report")
-    )
+    """One markdown report per video, built in the row of its document: a fixed number of short lists, no shuffle."""
+    def shown(line: Column) -> Column:
+        pair = F.concat(F.lit("- "), line["key"], F.lit(": "), F.coalesce(line["value"], F.lit("None")))
+        return F.when(line["key"].isNull(), line["value"]).otherwise(pair)
+
+    blocks = [F.concat(F.lit(f"## {name}\n"), F.array_join(F.transform(_filled_lines(name), shown), "\n"))
+              for name in C.REPORT_SECTIONS]
+    samples = F.coalesce(F.array_join(F.transform("sample_comments", _sample_lines), "\n"), F.lit(""))
+    head = F.concat(F.lit(f"{C.REPORT_TITLE}\n{C.REPORT_TIME}"), generated.cast("string"))
+    return document.select("video_id", F.concat_ws(
+        "\n\n", head, *blocks, F.concat(F.lit(f"{C.REPORT_SAMPLES}\n"), samples)).alias("report"))
 
 
 def _sample_lines(sample: Column) -> Column:
-    def shown(name: str) -> Column:
-        return F.coalesce(sample[name].cast("string"), F.lit("None"))
-
-    return F.concat(
-        F.lit("\n- Author: "), shown("author"), F.lit("\n  Classification: "), shown("classification"),
-        F.lit("\n  Action: "), shown("mod_action"), F.lit("\n  Emotional Score: "), shown("emotional_score"),
-        F.lit('\n  Text: "'), shown("text"), F.lit('"'),
-    )
+    def line(name: str) -> Column:
+        value = F.coalesce(sample[name].cast("string"), F.lit("None"))
+        return F.concat(F.lit("\n" + C.SAMPLE_LINES[name]), F.concat(F.lit('"'), value, F.lit('"')) if name == "text" else value)
+
+    return F.concat(*[line(name) for name in C.SAMPLE_LINES])
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Session settings and the shared scratch folder."""
 
+import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,11 +30,11 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder named by spark.checkpoint.dir, removed when the application ends.
 
-    Only a local session may go without the setting; a cluster needs storage every executor sees.
+    Only a session within one process may go without the setting; executors of their own need storage that all see.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.gettempdir()
     jvm = spark.sparkContext._jvm
