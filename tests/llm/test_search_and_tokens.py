@@ -215,3 +215,38 @@ def test_order_hash_equals_brute_force_over_repeats(spark):
         for tuple_, chosen in w.items():
             assert known.setdefault((tuple_, tuple(chosen)), g[tuple_]) == g[tuple_]
     assert len({v for v in known.values()}) == len({c for _, c in known})
+
+
+DEEP = {"required": ["where"], "properties": {
+    "where": {"type": "object", "required": ["city"], "properties": {
+        "city": {"type": "string", "pattern": "^[A-Z]"}, "zone": {"enum": ["a", 2, None]}}},
+    "tags": {"type": "array", "items": {"type": "string", "minLength": 2}},
+    "free": {"type": "object", "additionalProperties": True}}}
+
+
+@pytest.mark.parametrize("arguments,wrong", [
+    ('{"where": {"city": "Rome"}}', []),
+    ('{"where": {"city": "rome", "zone": "b", "more": 1}}', ["pattern of where.city", "enum of where.zone", "unknown argument of where"]),
+    ('{"where": {"zone": 2}}', ["missing where.city"]),
+    ('{"where": {"city": 7}}', ["type of where.city"]),
+    ('{"where": [1]}', ["type of where"]),
+    ('{"where": {"city": "A"}, "tags": ["ab", "cd"], "free": {"x": [1]}}', []),
+    ('{"where": {"city": "A"}, "tags": ["ab", "c"]}', ["items of tags"]),
+    ('{"where": {"city": "A"}, "tags": ["ab", 3], "free": 1}', ["items of tags", "type of free"]),
+    ('{}', ["missing where"]), (None, ["no JSON object"]), ("3", ["no JSON object"]),
+])
+def test_nested_schemas(spark, arguments, wrong):
+    df = spark.createDataFrame([(arguments,)], "a string")
+    assert df.select(chat.argument_errors(F.col("a"), DEEP)).first()[0] == wrong
+
+
+def test_unknown_keywords_of_a_schema_are_refused(spark):
+    for schema in ({"properties": {"a": {"format": "date"}}}, {"oneOf": []}, {"properties": {"a": {"items": {"const": 1}}}}):
+        with pytest.raises(ValueError, match="unknown"):
+            chat.argument_errors(F.col("a"), schema)
+
+
+def test_results_meet_their_calls_in_a_hash_join(spark):
+    df = spark.createDataFrame([(1, 0, "tool", "x", "k", None, None)], MESSAGES)
+    plan = chat.linked_messages(df, {})._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

@@ -166,6 +166,25 @@ def test_packed_keeps_every_word_and_every_rule(spark, group):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+def test_bins_are_the_same_whatever_the_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"s{i % 5}", i, int(rng.integers(1, 60))) for i in range(900)]
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in (1, 4, 50):
+        df = spark.createDataFrame(rows, "doc_id long, source string, cluster long, length long").repartition(partitions)
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            bins = defaultdict(set)
+            for r in packing.packed(df, 60, 200).collect():
+                bins[r["bin_id"]].add((r["doc_id"], r["piece"]))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        found.append(sorted(map(sorted, bins.values())))
+    assert found[0] == found[1] == found[2]
+    # Five groups of about 200: best fit leaves little room in them.
+    assert len(found[0]) <= 1.15 * sum(r[3] for r in rows) / 60
+
+
 # Mixing
 
 def slow_targets(sizes):

@@ -1,5 +1,6 @@
 """Tool-call linking: results joined to their calls, ordered, checked against schemas, written as canonical JSON."""
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,33 +15,61 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def argument_errors(arguments: Column, schema: dict) -> Column:
-    """Array of what is wrong with a call's arguments: the empty array where they keep to the schema.
+#: What a schema may say; anything else is an error of the schema's.
+KEYWORDS = {"type", "minimum", "maximum", "minLength", "maxLength", "enum", "pattern", "items", "properties", "required",
+            "additionalProperties"}
 
-    schema: {"required": [...], "properties": {name: {"type", "minimum", "maximum", "minLength", "maxLength"}}}; other
-    properties are errors unless "additionalProperties" is true. Text that is no JSON object has one error.
-    """
-    parsed = F.try_parse_json(arguments)
-    checks = [F.when(~F.array_contains(F.json_object_keys(arguments), name), F.lit(f"missing {name}"))
-              for name in schema.get("required", [])]
+
+def value_errors(value: Column, rule: dict, name: str) -> list[Column]:
+    """What is wrong with a variant: texts, null where a rule is kept or there is no value."""
+    if unknown := set(rule) - KEYWORDS:
+        raise ValueError(f"schema of {name}: unknown {', '.join(sorted(unknown))}")
+    kind = F.schema_of_variant(value)
+    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    size, wrong = F.char_length(text), {}
+    if "type" in rule:
+        wrong["type"] = ~reduce(lambda x, y: x | y, [kind.startswith(t) for t in TYPES[rule["type"]]])
+    if "enum" in rule:
+        wrong["enum"] = ~F.to_json(value).isin([json.dumps(x, ensure_ascii=False) for x in rule["enum"]])
+    tests = {"minimum": lambda x: number < x, "maximum": lambda x: number > x, "minLength": lambda x: size < x,
+             "maxLength": lambda x: size > x, "pattern": lambda x: kind.startswith("STRING") & ~text.rlike(x)}
+    wrong |= {key: test(rule[key]) for key, test in tests.items() if key in rule}
+    if "items" in rule:
+        each = F.try_variant_get(value, "$", "array<variant>")
+        wrong["items"] = F.exists(each, lambda x: reduce(
+            lambda p, q: p | q, [e.isNotNull() for e in value_errors(x, rule["items"], f"{name}[]")], F.lit(False)))
+    found = [F.when(test, F.lit(f"{key} of {name}")) for key, test in wrong.items()]
+    if {"properties", "required", "additionalProperties"} & set(rule):
+        found += object_errors(value, F.json_object_keys(F.to_json(value)), rule, f"{name}.")
+    return found
+
+
+def object_errors(value: Column, keys: Column, schema: dict, inside: str) -> list[Column]:
+    """What is wrong with the properties of an object variant that has the keys."""
+    found = [F.when(~F.array_contains(keys, name), F.lit(f"missing {inside}{name}")) for name in schema.get("required", [])]
     for name, rule in schema.get("properties", {}).items():
-        path = f"$.{name}"
-        kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
-        value = F.try_variant_get(parsed, path, "double")
-        size = F.char_length(F.try_variant_get(parsed, path, "string"))
-        if "type" in rule:
-            known = reduce(lambda a, b: a | b, [kind.startswith(t) for t in TYPES[rule["type"]]])
-            checks.append(F.when(kind.isNotNull() & ~known, F.lit(f"type of {name}")))
-        checks += [F.when(test, F.lit(f"{key} of {name}")) for key, test in {
-            "minimum": value < rule.get("minimum"), "maximum": value > rule.get("maximum"),
-            "minLength": size < rule.get("minLength"), "maxLength": size > rule.get("maxLength"),
-        }.items() if key in rule]
+        found += value_errors(F.try_variant_get(value, f"$.{name}", "variant"), rule, inside + name)
     if not schema.get("additionalProperties"):
         allowed = F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>")
-        checks.append(F.when(
-            F.size(F.array_except(F.json_object_keys(arguments), allowed)) > 0, F.lit("unknown argument")))
+        more = f" of {inside[:-1]}" if inside else ""
+        found.append(F.when(F.size(F.array_except(keys, allowed)) > 0, F.lit(f"unknown argument{more}")))
+    return found
+
+
+def argument_errors(arguments: Column, schema: dict) -> Column:
+    """Array of what is wrong with a call's arguments: the empty array where they keep to the schema.
+
+    schema: {"required": [...], "properties": {name: rule}}, where a rule may give type, minimum, maximum, minLength,
+    maxLength, enum, pattern (found anywhere), items (a rule for each of an array) and, for an object, required and
+    properties again. Properties not named are errors unless "additionalProperties" is true. Any other keyword raises a
+    ValueError. Text that is no JSON object has one error.
+    """
+    if unknown := set(schema) - {"type", "properties", "required", "additionalProperties"}:
+        raise ValueError(f"schema: unknown {', '.join(sorted(unknown))}")
+    keys = F.json_object_keys(arguments)
+    checks = object_errors(F.try_parse_json(arguments), keys, schema, "")
     found = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    return F.when(F.json_object_keys(arguments).isNull(), F.array(F.lit("no JSON object"))).otherwise(found)
+    return F.when(keys.isNull(), F.array(F.lit("no JSON object"))).otherwise(found)
 
 
 def linked_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -67,7 +96,7 @@ def linked_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         F.min(F.when(is_call, F.struct(F.col("turn").isNull(), "turn"))).alias("call"),
         F.max(F.when(~is_call, F.lit(True))).alias("has_result"))
     ids = ids.select(*key, F.col("call").isNotNull().alias("has_call"), F.col("call.turn").alias("call_turn"), "has_result")
-    joined = rows.join(ids, key, "left")
+    joined = rows.join(ids.hint("shuffle_hash"), key, "left")
     link = (
         F.when(is_call & ~F.col("turn").eqNullSafe(F.col("call_turn")) & F.col("has_call"), "repeated")
         .when(is_call & F.col("has_result"), "answered").when(is_call, "unanswered")

@@ -7,9 +7,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from threadwise.llm.shared import stored
+
 #: Words of a sequence.
 CAPACITY = 2048
-#: Pieces that are packed together at most; their bins are closed with them.
+#: Pieces that are packed together, about; their bins are closed with them.
 GROUP = 4096
 
 
@@ -55,27 +57,26 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
     A document longer than the capacity is cut into pieces of the capacity, each of which fills a bin, and a rest.
     No bin has two pieces of one source or of one cluster; a null source is a source of its own, a null cluster is
     none. Empty documents (length null or under 1) take no place and have no row. Rows are dealt out evenly whatever
-    their keys, so that a source or cluster with most rows spreads; each `group` of pieces is packed on its own,
-    longest first, which bounds the memory of a task. bin_id is unique. Repeated rows are packed as often as they
+    their keys, so that a source or cluster with most rows spreads; about `group` pieces are packed together,
+    longest first, which bounds the memory of a task; the deal depends on the pieces alone. bin_id is unique. Repeated rows are packed as often as they
     come, apart by their cluster.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, number = [], 0
         for batch in batches:
             held.append(batch)
-            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else batch
-            while len(rows) >= group:
+            while sum(map(len, held)) >= 2 * group:  # rows that are equal in all their keys
+                rows = pd.concat(held, ignore_index=True)
                 yield pack(rows.iloc[:group], number)
-                rows, number = rows.iloc[group:], number + 1
-            held = [rows]
-        if held and len(held[0]):
-            yield pack(held[0], number)
+                held, number = [rows.iloc[group:]], number + 1
+        if sum(map(len, held)):
+            yield pack(pd.concat(held, ignore_index=True), number)
 
     def pack(rows: pd.DataFrame, number: int) -> pd.DataFrame:
         rows = rows.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True])
         marks = bitmaps(rows["source"].to_numpy(object), rows["cluster"].to_numpy(np.int64))
         places = best_fit(rows["n_words"].tolist(), marks, capacity)
-        base = int(rows["task"].iloc[0]) * (1 << 33) + number * group
+        base = int(rows["task"].iloc[0]) * (1 << 33) + number * 2 * group
         return rows.assign(
             bin_id=np.array([b for b, _ in places], np.int64) + base, bin_offset=[o for _, o in places])
 
@@ -89,8 +90,10 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
         F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(capacity).cast("long")),
         lambda s: F.struct(s.alias("start"), F.least(F.col("length") - s, F.lit(capacity)).alias("n_words"))
     )).alias("piece", "part")).select("doc_id", "source", "cluster", "piece", "part.*")
-    partitions = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt by a hash of the piece into tasks of about a group each: the bins are the same whatever the partitions are.
+    cut = stored(cut, "pieces")
+    groups = -(-cut.count() // group) or 1
     names = "doc_id long, source string, cluster long, piece int, start long, n_words long"
     return (
-        cut.repartition(partitions).withColumn("task", F.spark_partition_id())
+        cut.repartition(groups, F.xxhash64("doc_id", "cluster", "piece")).withColumn("task", F.spark_partition_id())
         .mapInPandas(run, f"{names}, task int, bin_id long, bin_offset long").drop("task"))
