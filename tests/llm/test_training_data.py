@@ -318,6 +318,8 @@ def test_every_query_covers_its_table(spark, name):
     whole = lambda t, c: {r[0] for r in con.execute(f"select {c} from '{SF}/{t}.parquet'").fetchall()}
     if name.startswith("op4"):
         assert {r["query_id"] for r in df.collect()} == {i for i in whole("embeddings", "vec_id") if i % 100 == 0}
+    elif name.startswith(("op12", "op13")):
+        assert {r["vec_id"] for r in df.collect()} == whole("embeddings", "vec_id")
     elif name.startswith("op5"):
         assert df.count() == con.execute(f"select count(*) from '{SF}/conversations.parquet'").fetchone()[0]
     elif name.startswith("op6") or name == "pipeline":

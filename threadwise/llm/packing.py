@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from threadwise.llm.shared import stored
+from threadwise.llm.shared import JOINED_ID, split_id, stored
 
 #: Words of a sequence.
 CAPACITY = 2048
@@ -73,7 +73,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
             yield pack(pd.concat(held, ignore_index=True), number)
 
     def pack(rows: pd.DataFrame, number: int) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True])
+        rows = rows.sort_values(["n_words", "none", "key", "piece", "cluster"], ascending=[False, True, True, True, True])
         marks = bitmaps(rows["source"].to_numpy(object), rows["cluster"].to_numpy(np.int64))
         places = best_fit(rows["n_words"].tolist(), marks, capacity)
         base = int(rows["task"].iloc[0]) * (1 << 33) + number * 2 * group
@@ -93,7 +93,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
     # Dealt by a hash of the piece into tasks of about a group each: the bins are the same whatever the partitions are.
     cut = stored(cut, "pieces")
     groups = -(-cut.count() // group) or 1
-    names = "doc_id long, source string, cluster long, piece int, start long, n_words long"
-    return (
-        cut.repartition(groups, F.xxhash64("doc_id", "cluster", "piece")).withColumn("task", F.spark_partition_id())
-        .mapInPandas(run, f"{names}, task int, bin_id long, bin_offset long").drop("task"))
+    dealt = cut.repartition(groups, F.xxhash64("doc_id", "cluster", "piece")).select(
+        *split_id(F.col("doc_id")), "source", "cluster", "piece", "start", "n_words", F.spark_partition_id().alias("task"))
+    packed_rows = dealt.mapInPandas(run, "none boolean, key long, source string, cluster long, piece int, start long, "
+                                         "n_words long, task int, bin_id long, bin_offset long")
+    return packed_rows.select(
+        F.expr(JOINED_ID).alias("doc_id"), "source", "cluster", "piece", "start", "n_words", "bin_id", "bin_offset")
