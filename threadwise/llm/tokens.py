@@ -1,7 +1,9 @@
 """Token ids in bit-plane files: fixed-size blocks of ids, transposed, compressed plane by plane, with a chunk index."""
 
+import sys
 from collections.abc import Iterator
 from struct import pack
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -101,6 +103,19 @@ class Encoder:
         return b"".join(found)
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker process: the tasks that follow in it find the chunks that earlier ones have met.
+
+    Functions travel by value and have no module of their own in a worker, so the place is a module made for it.
+    """
+    place = sys.modules.setdefault("threadwise_worker", ModuleType("threadwise_worker"))
+    held = vars(place).setdefault("encoders", {})
+    if path not in held:
+        held.clear()  # one at a time: an encoder remembers much
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def encoded_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                    block: int = BLOCK, layout: str = "byte") -> DataFrame:
     """Blocks of the ids of all documents in ascending id order, END_ID after each document.
@@ -109,7 +124,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     number is its place in the order. doc_row numbers the documents of a shard, so repeated rows stay apart.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         press = zstandard.ZstdCompressor(level=LEVEL)
         end = np.array([END_ID], "<u4").tobytes()
         parts: list[bytes] = []
