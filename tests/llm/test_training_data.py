@@ -249,6 +249,95 @@ def test_pairs_of_terms_are_learned():
     assert machine.factors[a] @ machine.factors[b] > 0.5  # the pair adds what the two terms do not
 
 
+def labelled(rng, n, label, terms=60, extra=6):
+    """Rows of `fit` out of label(insult, group), with n documents of two telling words and some others."""
+    rows = []
+    for _ in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = ["idiot"] * a + ["zebras"] * b + [f"w{x}" for x in rng.integers(0, terms, extra)]
+        rows.append({"toxic": int(label(a, b)),
+                     "found": toxicity.term_buckets(" ".join(words), 1 << 20).astype("<i4").tobytes()})
+    return rows
+
+
+def test_pair_whose_members_are_neutral_alone():
+    machine = toxicity.fit(labelled(np.random.default_rng(11), 1200, lambda a, b: a != b))
+    two = [int(toxicity.term_buckets(t, 1 << 20)[0]) for t in ("idiot", "zebras")]
+    assert set(two) <= set(machine.terms.tolist())
+    alone, both, none = (machine.score(t) for t in ("idiot w1", "idiot zebras w2", "w3 w4"))
+    assert alone > 0.8 and machine.score("zebras w5") > 0.8 and both < 0.2 and none < 0.2
+
+
+@pytest.mark.parametrize("label", [lambda a, b: a != b, lambda a, b: a == b])
+def test_pairs_are_those_of_a_double_loop(label):
+    rows = labelled(np.random.default_rng(13), 300, label, terms=30)
+    found = [set(np.frombuffer(r["found"], "<i4").tolist()) for r in rows]
+    y = [r["toxic"] for r in rows]
+    terms = sorted(set().union(*found))
+    at = np.concatenate([np.searchsorted(terms, sorted(f)) for f in found])
+    doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    p = sum(y) / len(y)
+
+    def off(n, t, share):
+        return (t - n * share) / (n * share * (1 - share) + 1) ** 0.5
+
+    def counts(*of):
+        held = [i for i, f in enumerate(found) if set(of) <= f]
+        return len(held), sum(y[i] for i in held)
+
+    single = {t: counts(t) for t in terms}
+    z = {t: abs(off(*single[t], p)) for t in terms}
+    limit = (16 + 4 * np.log(sum(n > 1 for n, _ in single.values()))) ** 0.5
+    want = set()
+    for i, a in enumerate(terms):
+        for b in terms[i + 1:]:
+            n, t = counts(a, b)
+            stronger = a if z[a] >= z[b] else b
+            share = single[stronger][1] / single[stronger][0]
+            kept = max(z[a], z[b]) >= 4
+            most, least = (share, share) if kept else (max(share, p), min(share, p))
+            if off(n, t, most) >= limit or -off(n, t, least) >= limit:
+                want |= {a, b}
+    for block in (7, 256):
+        got = toxicity.in_pairs(doc, at, np.array(y, float), len(terms), 4.0, block)
+        assert {terms[i] for i in np.flatnonzero(got)} == want and want
+    by_chance = np.random.default_rng(1).permutation(np.array(y, float))
+    assert not toxicity.in_pairs(doc, at, by_chance, len(terms), 4.0).any()
+
+
+def test_machine_against_double_loop_and_its_gradient_against_differences():
+    rng = np.random.default_rng(14)
+    words = ["alpha", "beta", "gamma", "delta"]
+    order = sorted(words, key=lambda w: int(toxicity.term_buckets(w, 1 << 20)[0]))
+    weights, factors = rng.normal(size=4), rng.normal(size=(4, 3))
+    machine = toxicity.Machine(1 << 20, 0.3, np.concatenate([toxicity.term_buckets(w, 1 << 20) for w in order]), weights, factors)
+    for text in ("alpha", "beta delta", "alpha BETA gamma delta alpha other", "", None):
+        here = [order.index(w) for w in dict.fromkeys((text or "").lower().split()) if w in order]
+        z = 0.3 + sum(weights[i] for i in here) + sum(
+            float(np.dot(factors[i], factors[j])) for i in here for j in here if i < j)
+        assert np.isclose(machine.score(text), 1 / (1 + np.exp(-z)))
+
+    theta, doc, at = rng.normal(size=(5, 4)), np.array([0, 0, 1, 1, 1, 3]), np.array([0, 2, 0, 1, 3, 2])
+    y, decay = np.array([1.0, 0, 1, 0]), np.array([0.1, 0.2, 0.2, 0.2])
+
+    def loss(theta):
+        total = 0.0
+        for d, label in enumerate(y):
+            here = at[doc == d]
+            z = theta[-1, 0] + theta[here, 0].sum() + sum(
+                theta[i, 1:] @ theta[j, 1:] for i in here for j in here if i < j)
+            total -= label * np.log(toxicity.sigmoid(z)) + (1 - label) * np.log(1 - toxicity.sigmoid(z))
+        return total / len(y) + 0.5 * (decay * theta[:-1] ** 2).sum()
+
+    grad = toxicity.slopes(theta, doc, at, y, decay)
+    for i, j in np.ndindex(theta.shape):
+        if i == 4 and j:
+            continue
+        step = np.zeros_like(theta)
+        step[i, j] = 1e-5
+        assert np.isclose(grad[i, j], (loss(theta + step) - loss(theta - step)) / 2e-5, atol=1e-6)
+
+
 INSULTS = "moron idiot stupid trash scum pathetic disgusting worthless clown loser".split()
 
 

@@ -22,7 +22,8 @@ class Settings:
     buckets: int = 1 << 20
     #: Columns of the interaction matrix.
     factors: int = 4
-    #: A bucket takes part if its documents hold so many standard deviations more or fewer toxic ones than chance.
+    #: A bucket takes part if its documents hold so many standard deviations more or fewer toxic ones than chance, or
+    #: if those that it shares with another bucket do so beside the share of the stronger of the two.
     deviations: float = 4.0
     steps: int = 400
     rate: float = 0.1
@@ -85,6 +86,87 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, settings: Settings) -> li
     return stored(terms, "labelled").orderBy("id").limit(settings.sample).collect()
 
 
+def shared_counts(left: tuple, right: tuple, y: np.ndarray, shape: tuple, most: int = 1 << 21) -> np.ndarray:
+    """How many documents, and how many toxic ones, hold both a term of the left and one of the right.
+
+    Each side is (document, term) in the order of the documents. Only terms that stand in one document are brought
+    together, about `most` of them at a time.
+    """
+    (doc, a), (right_doc, b) = left, right
+    first = np.searchsorted(right_doc, np.arange(len(y) + 1))
+    room = np.diff(first)[doc]
+    ends = np.cumsum(room)
+    both = np.zeros((2, shape[0] * shape[1]))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(most, ends[-1] if len(ends) else 0, most)), [len(doc)]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        n, at = room[lo:hi], ends[lo:hi] - room[lo:hi]
+        to = np.arange(n.sum()) + np.repeat(first[doc[lo:hi]] - (at - at[0]), n)
+        cell = np.repeat(a[lo:hi], n) * shape[1] + b[to]
+        both[0] += np.bincount(cell, minlength=both.shape[1])
+        both[1] += np.bincount(cell[np.repeat(y[doc[lo:hi]] > 0, n)], minlength=both.shape[1])
+    return both.reshape(2, *shape)
+
+
+def in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: int, deviations: float, block: int = 256) -> np.ndarray:
+    """For each term: is it in a pair that tells of the label what neither of its terms tells?
+
+    The documents of a pair are held against the share of toxic ones among those of its stronger term, the one further
+    from chance. A pair counts if it is further off than a limit which rises with the number of pairs, as there are
+    many pairs: either way beside a term that is kept by itself (a word that takes the harm out of an insult), and
+    beyond chance too for two terms that say little alone. Copies of a document must be left out before, as they would
+    make pairs of any of their words. Terms in too few documents to pass in any pair are left out,
+    and pairs are counted for a block of terms at a time, so memory is bounded.
+    """
+    n, toxic, p = np.bincount(at, minlength=terms), np.bincount(at, y[doc], terms), y.mean()
+    z = np.abs(toxic - n * p) / np.sqrt(n * p * (1 - p) + 1)
+    limit = float(np.sqrt(deviations ** 2 + 4 * np.log(max(2, (n > 1).sum()))))
+    reach = lambda count, q: count * (1 - q) / np.sqrt(count * p * (1 - p) + 1) >= limit
+    strong = np.flatnonzero(z >= deviations)
+    silent = np.flatnonzero((z < deviations) & (reach(toxic, p) | reach(n, 1 - p)))
+    many = np.flatnonzero(n >= limit)
+    found = np.zeros(len(n), bool)
+
+    def side(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = np.full(len(n), -1)
+        column[chosen] = np.arange(len(chosen))
+        here = column[at] >= 0
+        return doc[here], column[at[here]]
+
+    def pairs(left: np.ndarray, right: np.ndarray, either_way: bool) -> None:
+        rights = side(right)
+        for i in range(0, len(left), block):
+            a = left[i:i + block]
+            both, both_toxic = shared_counts(side(a), rights, y, (len(a), len(right)))
+            share = np.where(z[a][:, None] >= z[right], (toxic[a] / n[a])[:, None], toxic[right] / n[right])
+            most, least = (share, share) if either_way else (np.maximum(share, p), np.minimum(share, p))
+            over = (both_toxic - both * most) / np.sqrt(both * most * (1 - most) + 1)
+            under = (both * least - both_toxic) / np.sqrt(both * least * (1 - least) + 1)
+            hit = (np.maximum(over, under) >= limit) & (a[:, None] != right)
+            found[a[hit.any(1)]] = True
+            found[right[hit.any(0)]] = True
+
+    pairs(strong, many, True)
+    pairs(silent, silent, False)
+    return found
+
+
+def slopes(theta: np.ndarray, doc: np.ndarray, at: np.ndarray, y: np.ndarray, decay: np.ndarray) -> np.ndarray:
+    """Gradient of the mean logistic loss plus half the decayed squares; theta has a row (weight, factors) per term
+    and the bias in a last one."""
+    by_doc = lambda x: np.stack([np.bincount(doc, x[:, j], len(y)) for j in range(x.shape[1])], 1)
+    by_term = lambda x: np.stack([np.bincount(at, x[:, j], len(theta) - 1) for j in range(x.shape[1])], 1)
+    x = theta[at]
+    sums = by_doc(x)
+    squares = by_doc(x[:, 1:] ** 2)
+    z = theta[-1, 0] + sums[:, 0] + 0.5 * (sums[:, 1:] ** 2 - squares).sum(1)
+    slope = (sigmoid(z) - y) / len(y)
+    grad = np.zeros_like(theta)
+    grad[:-1] = by_term(np.concatenate(
+        [slope[doc, None], slope[doc, None] * (sums[doc, 1:] - x[:, 1:])], 1)) + decay * theta[:-1]
+    grad[-1, 0] = slope.sum()
+    return grad
+
+
 def fit(rows: list, settings: Settings = Settings()) -> Machine:
     """Machine from (toxic, buckets) rows by full-batch Adam on the logistic loss; with one class only, its bias."""
     y = np.array([r["toxic"] for r in rows], float)
@@ -98,6 +180,10 @@ def fit(rows: list, settings: Settings = Settings()) -> Machine:
     doc = np.repeat(np.arange(len(y)), [len(f) for f in found])
     n, toxic, p = np.bincount(at), np.bincount(at, y[doc]), y.mean()
     keep = np.abs(toxic - n * p) / np.sqrt(n * p * (1 - p) + 1) >= settings.deviations
+    seen: dict = {}
+    once = np.array([seen.setdefault((f.tobytes(), t), i) == i for i, (f, t) in enumerate(zip(found, y))])
+    number = np.cumsum(once) - 1
+    keep |= in_pairs(number[doc[once[doc]]], at[once[doc]], y[once], len(terms), settings.deviations)
     column = np.cumsum(keep) - 1
     doc, at, terms = doc[keep[at]], column[at[keep[at]]], terms[keep].astype(np.int64)
     order = np.lexsort((at, doc))
@@ -109,19 +195,8 @@ def fit(rows: list, settings: Settings = Settings()) -> Machine:
     theta[:-1, 1:] = rng.normal(0, 0.01, (len(terms), k))
     theta[-1, 0] = bias
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    by_doc = lambda x: np.stack([np.bincount(doc, x[:, j], len(y)) for j in range(x.shape[1])], 1)
-    by_term = lambda x: np.stack([np.bincount(at, x[:, j], len(terms)) for j in range(x.shape[1])], 1)
     for step in range(1, settings.steps + 1):
-        x = theta[at]
-        sums = by_doc(x)
-        squares = by_doc(x[:, 1:] ** 2)
-        z = theta[-1, 0] + sums[:, 0] + 0.5 * (sums[:, 1:] ** 2 - squares).sum(1)
-        slope = (sigmoid(z) - y) / len(y)
-        grad = np.empty_like(theta)
-        grad[:-1] = by_term(np.concatenate(
-            [slope[doc, None], slope[doc, None] * (sums[doc, 1:] - x[:, 1:])], 1)) + decay * theta[:-1]
-        grad[-1] = 0
-        grad[-1, 0] = slope.sum()
+        grad = slopes(theta, doc, at, y, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         theta = theta - settings.rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return Machine(settings.buckets, float(theta[-1, 0]), terms, theta[:-1, 0], theta[:-1, 1:])
