@@ -298,8 +298,8 @@ def test_pairs_are_those_of_a_double_loop(label):
             most, least = (share, share) if kept else (max(share, p), min(share, p))
             if off(n, t, most) >= limit or -off(n, t, least) >= limit:
                 want |= {a, b}
-    for block in (7, 256):
-        got = toxicity.in_pairs(doc, at, np.array(y, float), len(terms), 4.0, block)
+    for cells in (7, 1 << 20):
+        got = toxicity.in_pairs(doc, at, np.array(y, float), len(terms), 4.0, cells)
         assert {terms[i] for i in np.flatnonzero(got)} == want and want
     by_chance = np.random.default_rng(1).permutation(np.array(y, float))
     assert not toxicity.in_pairs(doc, at, by_chance, len(terms), 4.0).any()

@@ -86,7 +86,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, settings: Settings) -> li
     return stored(terms, "labelled").orderBy("id").limit(settings.sample).collect()
 
 
-def shared_counts(left: tuple, right: tuple, y: np.ndarray, shape: tuple, most: int = 1 << 21) -> np.ndarray:
+def shared_counts(left: tuple, right: tuple, y: np.ndarray, shape: tuple, most: int = 1 << 20) -> np.ndarray:
     """How many documents, and how many toxic ones, hold both a term of the left and one of the right.
 
     Each side is (document, term) in the order of the documents. Only terms that stand in one document are brought
@@ -107,7 +107,8 @@ def shared_counts(left: tuple, right: tuple, y: np.ndarray, shape: tuple, most:
     return both.reshape(2, *shape)
 
 
-def in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: int, deviations: float, block: int = 256) -> np.ndarray:
+def in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: int, deviations: float,
+             cells: int = 1 << 20) -> np.ndarray:
     """For each term: is it in a pair that tells of the label what neither of its terms tells?
 
     The documents of a pair are held against the share of toxic ones among those of its stronger term, the one further
@@ -115,7 +116,7 @@ def in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: int, deviati
     many pairs: either way beside a term that is kept by itself (a word that takes the harm out of an insult), and
     beyond chance too for two terms that say little alone. Copies of a document must be left out before, as they would
     make pairs of any of their words. Terms in too few documents to pass in any pair are left out,
-    and pairs are counted for a block of terms at a time, so memory is bounded.
+    and `cells` pairs are counted at a time, so memory is bounded.
     """
     n, toxic, p = np.bincount(at, minlength=terms), np.bincount(at, y[doc], terms), y.mean()
     z = np.abs(toxic - n * p) / np.sqrt(n * p * (1 - p) + 1)
@@ -133,7 +134,7 @@ def in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: int, deviati
         return doc[here], column[at[here]]
 
     def pairs(left: np.ndarray, right: np.ndarray, either_way: bool) -> None:
-        rights = side(right)
+        rights, block = side(right), max(1, cells // max(1, len(right)))
         for i in range(0, len(left), block):
             a = left[i:i + block]
             both, both_toxic = shared_counts(side(a), rights, y, (len(a), len(right)))
