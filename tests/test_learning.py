@@ -1,10 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import at, rows
-from threadwise.operators import learning as L
+from threadwise.operators import forest, learning as L
 from threadwise.operators import sentiment
 from threadwise.operators.tfidf import tfidf, vocabulary
 from threadwise.session import scratch_dir
@@ -63,6 +64,61 @@ def test_one_class_only_is_class_one(table):
     assert {r["p"] for r in L.spam_probability(ham, model).collect()} == {0.0}
 
 
+def noisy(spark, n=300):
+    """Labels that follow a few words with some noise, so that trees grow deep."""
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    return spark.createDataFrame([
+        (str(i), " ".join(words[(i * k * k + k) % 20] for k in range(1, 4 + i % 5)), (i * i) % 7 < 3) for i in range(n)], LABELS)
+
+
+def test_the_forest_does_not_depend_on_how_rows_are_dealt(spark):
+    df = noisy(spark)
+    one, other = (L.train_spam(x, trees=5, depth=12) for x in (df.coalesce(1), df.repartition(7)))
+    assert sum(len(t[0]) for t in one.forest.trees()) > 50
+    assert rows(L.spam_probability(df, one)) == rows(L.spam_probability(df, other))
+    assert list(one.forest.importances) == list(other.forest.importances)
+
+
+def test_nodes_of_many_rows_are_split_by_all_tasks(spark, monkeypatch):
+    """The same trees whether a root is grown in one group or its upper nodes are split level by level."""
+    df = noisy(spark).repartition(5)
+    whole = L.train_spam(df, trees=3, depth=12)
+    monkeypatch.setattr(L, "train_forest", lambda *a: forest.train_forest(*a, group_bytes=20 * 21))
+    split = L.train_spam(df, trees=3, depth=12)
+    assert len(whole.forest.rows) == 3 and len(split.forest.rows) > 12
+    assert rows(L.spam_probability(df, whole)) == rows(L.spam_probability(df, split))
+    assert whole.forest.importances == pytest.approx(split.forest.importances)
+    assert [len(t[0]) for t in whole.forest.trees()] == [len(t[0]) for t in split.forest.trees()]
+
+
+def test_best_split_against_all_cuts():
+    rng = np.random.default_rng(3)
+    x, y, drawn = rng.integers(0, 5, (60, 4)).astype(np.uint8), rng.integers(0, 2, 60), rng.integers(0, 3, 60)
+    stats, weights, zero = forest.drawn_stats(y, drawn), np.array([0.7, 1.9]), np.zeros(60, int)
+    taken, columns = np.flatnonzero(drawn), np.arange(4)[None]
+    keys, sums = forest.counted(x, taken, zero[taken], columns, stats)
+    got = forest.best_splits(keys, sums, stats.sum(0)[None], 4, weights, 5)
+
+    def impurity(some):
+        w = (stats[some, :2] * weights).sum(0)
+        return 2 * w[0] * w[1] / w.sum()
+
+    cuts = {}
+    for column in range(4):
+        for cut in range(4):
+            left = x[:, column] <= cut
+            if min(stats[left, :2].sum(), stats[~left, :2].sum()) >= 5:
+                cuts[column, cut] = impurity(np.full(60, True)) - impurity(left) - impurity(~left)
+    assert (got.slot[0], got.bin[0]) == max(cuts, key=cuts.get) and got.gain[0] == pytest.approx(max(cuts.values()))
+
+
+def test_a_forest_without_one_of_its_parts_is_not_loaded(spark, model):
+    folder = scratch_dir(spark, "model")
+    L.save_model(model, f"{folder}/v1")
+    model.forest.parts.limit(1).write.mode("overwrite").parquet(f"{folder}/v1/forest/parts")
+    assert L.load_model([f"{folder}/v1"]) is None
+
+
 PREDICTIONS = "video_id STRING, is_spam BOOLEAN, prediction BOOLEAN"
 
 

@@ -1,4 +1,4 @@
-"""Training, scoring, metrics and registry of the spam model (Spark ML)."""
+"""Training, scoring, metrics and registry of the spam model (Spark ML, with a forest of its own)."""
 
 import json
 from collections.abc import Callable, Iterator
@@ -7,10 +7,10 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover,
-    VectorAssembler,
+    IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer,
+    StopWordsRemover, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -22,12 +22,11 @@ from threadwise.functions import patterns as P
 from threadwise.functions.labels import SCORES
 from threadwise.functions.text import spam_verdict
 from threadwise.operators.filters import since_days
+from threadwise.operators.forest import Binning, Forest, column_edges, train_forest
 
 UNTRAINED, NO_DATA, TRAINED, ERROR = "untrained", "no_data", "trained", "error"
-# Spark's largest depth: trees grow until their leaves are pure.
+# Trees grow until their leaves are pure, or to this depth.
 FOREST_DEPTH = 30
-# Statistics of more tree nodes per pass mean fewer passes over the labels.
-FOREST_MEMORY_MB = 1024
 TOXICITY_TERMS = 1 << 16
 
 
@@ -43,58 +42,67 @@ def _tokenizer(text: str) -> list:
     return [terms, StopWordsRemover(inputCol="__all_terms", outputCol="__terms")]
 
 
+@dataclass(frozen=True)
+class SpamModel:
+    """The columns of a text, then the forest over them."""
+
+    features: PipelineModel
+    forest: Forest
+
+
 def train_spam(labels: DataFrame, text: str = "text", label: str = "is_spam", trees: int = C.FOREST_TREES,
-               depth: int = FOREST_DEPTH, numeric: list[str] | None = None) -> PipelineModel | None:
+               depth: int = FOREST_DEPTH, numeric: list[str] | None = None) -> SpamModel | None:
     """Fit TF-IDF and a balanced random forest on all labels; None without labels.
 
     The vocabulary comes from CountVectorizer; an element-wise product applies ln((1+n)/(1+df)) + 1. `numeric`
     names columns, such as the text features, to be used beside the terms; scored tables need them as well.
+    A row's draws follow from all columns of the labels, so a key among them sets equal texts apart.
     """
     numeric = numeric or []
-    weights = F.broadcast(class_weights(labels, label).select(label, F.col("weight").alias("__weight")))
-    rows = labels.select(text, label, *numeric).join(weights, label).withColumn("__label", F.col(label).cast("double"))
-    tokenized = PipelineModel(_tokenizer(text)).transform(rows).drop("__all_terms")
+    rows = labels.select(text, F.col(label).alias("__label"), *numeric, F.xxhash64(*labels.columns).alias("__seed"))
+    tokenized = PipelineModel(_tokenizer(text)).transform(rows).drop("__all_terms", text)
     tokenized = tokenized.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if tokenized.isEmpty():
+        weights = {r["__label"]: r["weight"] for r in class_weights(tokenized, "__label").collect()}
+        if not weights.keys() & {False, True}:
             return None
+        known = tokenized.filter(F.col("__label").isNotNull())
         count = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=C.MAX_TERMS, minDF=C.MIN_DOC_FREQ)
-        counting = count.fit(tokenized)
-        counted = counting.transform(tokenized)
+        # By name, as terms of equal counts come in no fixed order.
+        counting = CountVectorizerModel.from_vocabulary(sorted(count.fit(known).vocabulary), "__terms", "__tf")
+        counted = counting.transform(known)
         idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray() + 1.0
         weighing = ElementwiseProduct(inputCol="__tf", outputCol="__weighted", scalingVec=Vectors.dense(idf))
         norm = Normalizer(inputCol="__weighted", outputCol="__normed")
         join = VectorAssembler(inputCols=["__normed", *numeric], outputCol="__features")
-        forest = RandomForestClassifier(
-            labelCol="__label", featuresCol="__features", weightCol="__weight", numTrees=trees, maxDepth=depth,
-            minInstancesPerNode=C.FOREST_MIN_LEAF, seed=C.FOREST_SEED, maxMemoryInMB=FOREST_MEMORY_MB,
-            rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction",
-        )
-        model = forest.fit(join.transform(norm.transform(weighing.transform(counted))))
-        return PipelineModel([*_tokenizer(text), counting, weighing, norm, join, model])
+        featured = join.transform(norm.transform(weighing.transform(counted)))
+        forest = train_forest(
+            featured.select(F.col("__features").alias("x"), F.col("__label").cast("int").alias("y"), F.col("__seed").alias("seed")),
+            Binning(len(counting.vocabulary), column_edges(known, numeric)),
+            (weights.get(False, 1.0), weights.get(True, 1.0)), trees, depth, C.FOREST_MIN_LEAF, C.FOREST_SEED)
+        return SpamModel(PipelineModel([*_tokenizer(text), counting, weighing, norm, join]), forest)
     finally:
         tokenized.unpersist()
 
 
-def spam_probability(df: DataFrame, model: PipelineModel | None, name: str = "p") -> DataFrame:
+def spam_probability(df: DataFrame, model: SpamModel | None, name: str = "p") -> DataFrame:
     """Add the probability of the spam class; NULL without a model."""
     if model is None:
         return df.withColumn(name, F.lit(None).cast("double"))
-    scored = model.transform(df)
-    probability = F.coalesce(F.get(vector_to_array("__probability"), F.lit(1)), F.lit(0.0))
-    return scored.withColumn(name, probability).select(*df.columns, name)
+    scored = model.features.transform(df)
+    return scored.withColumn(name, model.forest.probability(F.col("__features"))).select(*df.columns, name)
 
 
-def score_spam(df: DataFrame, model: PipelineModel | None, text: str = "text") -> DataFrame:
+def score_spam(df: DataFrame, model: SpamModel | None, text: str = "text") -> DataFrame:
     """Score texts with the model and apply the decision policy."""
     return spam_verdict(spam_probability(df, model, "__p"), "__p", text).drop("__p")
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, k: int = C.TOP_FEATURES_MODEL) -> DataFrame:
+def feature_importance(spark: SparkSession, model: SpamModel, k: int = C.TOP_FEATURES_MODEL) -> DataFrame:
     """The k terms (or numeric columns) of highest importance. A vocabulary has at most MAX_TERMS terms."""
-    counting, join, forest = model.stages[2], model.stages[-2], model.stages[-1]
+    counting, join = model.features.stages[2], model.features.stages[-1]
     names = [*counting.vocabulary, *join.getInputCols()[1:]]
-    rows = zip(names, map(float, forest.featureImportances.toArray()))
+    rows = zip(names, map(float, model.forest.importances))
     ranked = spark.createDataFrame(list(rows), "term STRING, importance DOUBLE")
     return ranked.orderBy(F.desc("importance"), "term").limit(k)
 
@@ -175,22 +183,21 @@ def metrics_history(metrics: DataFrame, schema: str, model_type: str = "spam", d
     return decoded.select("created_at", "m.*").orderBy("created_at")
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: SpamModel, path: str) -> str:
     """Write a model to a new folder; the registry names it only after the write has succeeded."""
-    model.write().save(path)
+    model.features.write().save(f"{path}/features")
+    model.forest.save(f"{path}/forest")
     return path
 
 
-def load_model(paths: list[str]) -> PipelineModel | None:
+def load_model(paths: list[str]) -> SpamModel | None:
     """The first loadable spam model of the paths, newest first; None means untrained."""
     for path in paths:
         try:
-            model = PipelineModel.load(path)
+            return SpamModel(PipelineModel.load(f"{path}/features"), Forest.load(SparkSession.active(), f"{path}/forest"))
         except Exception:
             # A missing or damaged model folder falls back to the version before it.
             continue
-        if hasattr(model.stages[-1], "featureImportances"):
-            return model
     return None
 
 
