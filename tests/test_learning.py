@@ -240,6 +240,26 @@ def test_phrases_by_hand(table):
         sentiment.Phrases(idioms={"one": 1.0})
 
 
+def test_context_does_not_leave_its_comment(table):
+    """Neighbours, capitals and `but` end with the comment, repeated keys are summed up, and unusual blanks part words."""
+    texts = [("a", "not"), ("b", "good"), ("c", None), ("d", ""), ("e", "a b c"), ("f", "it was good but"), ("g", "good"),
+             ("h", "GOOD"), ("h", "film"), ("i", "not\u2003\u0085\u001fgood"), ("j", "(good) ... 'bad'!!"), ("k", "to"), ("l", "die for good")]
+    lexicon = table("word STRING, valence DOUBLE", [*LEXICON, ("really", 0.0)])
+    df = table("comment_id STRING, text STRING", texts).coalesce(1)
+    for phrases in (None, sentiment.Phrases()):
+        got = {r["comment_id"]: r["compound"] for r in sentiment.lexicon_sentiment(df, lexicon, phrases=phrases).collect()}
+        want = {"a": 0.0, "b": 1.9, "c": 0.0, "d": 0.0, "e": 0.0, "f": 0.95, "g": 1.9, "h": 1.9, "i": 1.9 * -0.74,
+                "j": 1.9 - 2.5 - 2 * 0.292, "k": 0.0, "l": 1.9}
+        assert got == pytest.approx({k: compound(v) for k, v in want.items()}, abs=1e-4)
+
+
+def test_sentiment_shuffles_numbers_for_the_context(table):
+    """A word goes to its valence with two numbers for all its neighbours, and no value is worked out row by row."""
+    df, lexicon = table("comment_id STRING, text STRING", [("a", "x")]), table("word STRING, valence DOUBLE", LEXICON)
+    plan = sentiment.lexicon_sentiment(df, lexicon, phrases=sentiment.Phrases())._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "before1" not in plan and "transform(" not in plan
+
+
 def test_label_lexicon(table):
     df = table("comment_id STRING, text STRING, good BOOLEAN", [(str(i), "fine words", i < 3) for i in range(4)])
     got = rows(sentiment.label_lexicon(df, "good"))
