@@ -96,3 +96,18 @@ def test_no_texts_and_null_labels(spark):
     assert multilabel.train_labels(spark.createDataFrame([(1, "x y", None, True, True)], SCHEMA), ["a"]) is None
     one = multilabel.train_labels(spark.createDataFrame([(1, "xx yy", True, True, None)], SCHEMA), ["a"], least=1)
     assert one.vocabulary == ["xx", "yy"] and one.weights.shape == (3, 1)
+
+
+def test_a_pass_sends_a_gradient_from_each_running_task_only(spark, monkeypatch):
+    """However many parts the texts have: a gradient from each would make a pass grow faster than the texts."""
+    seen, plain = [], multilabel._losses
+
+    def losses(rows, *rest):
+        seen.append(rows.rdd.getNumPartitions())
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(multilabel, "_losses", losses)
+    spread = multilabel.train_labels(judged(spark).repartition(40), ["a", "b"])
+    assert max(seen) <= spark.sparkContext.defaultParallelism
+    monkeypatch.undo()
+    assert np.allclose(spread.weights, multilabel.train_labels(judged(spark).coalesce(1), ["a", "b"]).weights, atol=1e-3)
