@@ -250,3 +250,22 @@ def test_results_meet_their_calls_in_a_hash_join(spark):
     df = spark.createDataFrame([(1, 0, "tool", "x", "k", None, None)], MESSAGES)
     plan = chat.linked_messages(df, {})._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_marks_behind_a_word_need_no_whole_encoding(monkeypatch):
+    """Runs of marks behind words get the library's ids by the word model; apostrophes and other letters do not."""
+    whole, encoder = Tokenizer.from_file(TOKENIZER), tokens.Encoder(TOKENIZER)
+    chunks = ["en\xe9&&&", "Tree$$$", "a.", "end...\")", "x->", "it's!", "don't", "%%%", "\u4e2d\u6587,,", "12%%", "e\u0301**", "a_b__"]
+    for chunk in chunks + [w + a + b for w in ("ab", "\xc9t\xe9") for a in tokens.MARKS for b in tokens.MARKS]:
+        want = np.array(whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode(chunk) == want, chunk
+    monkeypatch.setattr(encoder, "_whole", lambda text: 1 / 0)
+    assert encoder.encode("other&&& words$$$ here...") == np.array(whole.encode("other&&& words$$$ here...", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_remembered_chunks_are_dropped_beyond_the_limit(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    whole, encoder = Tokenizer.from_file(TOKENIZER), tokens.Encoder(TOKENIZER)
+    for text in ("one two three four", "five six", None, "one two"):
+        assert encoder.encode(text) == np.array(whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(encoder.known) < 6
