@@ -269,3 +269,50 @@ def test_remembered_chunks_are_dropped_beyond_the_limit(monkeypatch):
     for text in ("one two three four", "five six", None, "one two"):
         assert encoder.encode(text) == np.array(whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
     assert len(encoder.known) < 6
+
+
+def whole_ids(whole, text):
+    return np.array(whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_long_chunks_and_many_words_are_not_held(monkeypatch):
+    """What is remembered is bounded by characters as well as by words: texts without blanks are one chunk each."""
+    monkeypatch.setattr(tokens, "REMEMBERED_CHARS", 20_000)
+    whole, encoder, held = Tokenizer.from_file(TOKENIZER), tokens.Encoder(TOKENIZER), 0
+    for n in range(30):
+        text = "日本語テスト" * 400 + str(n)
+        assert encoder.encode(text) == whole_ids(whole, text)
+        held = max(held, sum(map(len, encoder.known)))
+    assert held < 25_000
+
+
+def test_groups_and_parts_of_texts_give_the_ids_of_whole_texts(monkeypatch):
+    whole, rng = Tokenizer.from_file(TOKENIZER), random.Random(7)
+    letters = [*"abcdeXYZ éÀßñµªΣςİ日本😀059'’\"!,.-_<>| \t\n\r\x0b\x0c\x1c\x85\xa0​́ ", "<|endoftext|>", "don't", " the "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(300)] + TEXTS
+    want = [whole_ids(whole, t) for t in texts]
+    for part, remembered, words in ((20, 3, 2), (300, 60, 5000), (1 << 22, 300_000, 5000)):
+        for name, value in (("PART", part), ("REMEMBERED", remembered), ("WORDS", words)):
+            monkeypatch.setattr(tokens, name, value)
+        encoder = tokens.Encoder(TOKENIZER)
+        assert list(encoder.encode_all(texts)) == list(encoder.encode_all(texts)) == want
+    assert "".join(tokens.parts_of("a b c" * 9)) == "a b c" * 9
+
+
+def test_words_met_again_are_kept_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    whole, encoder = Tokenizer.from_file(TOKENIZER), tokens.Encoder(TOKENIZER)
+    for text in ("often one two three", "often four five six", "often seven eight", "nine often one."):
+        assert encoder.encode(text) == whole_ids(whole, text)
+    assert "often" in encoder.known and "two" not in encoder.known
+
+
+def test_an_encoder_goes_on_after_a_failure(monkeypatch):
+    """A worker keeps its encoder; words that a failed task left without ids must not shift those of later ones."""
+    whole, encoder = Tokenizer.from_file(TOKENIZER), tokens.Encoder(TOKENIZER)
+    with monkeypatch.context() as patch:
+        patch.setattr(encoder, "_whole", lambda text: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            encoder.encode("new words and 12")
+    for text in ("other words and 34", "new 12 and words"):
+        assert encoder.encode(text) == whole_ids(whole, text)
