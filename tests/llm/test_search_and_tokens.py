@@ -316,3 +316,15 @@ def test_an_encoder_goes_on_after_a_failure(monkeypatch):
             encoder.encode("new words and 12")
     for text in ("other words and 34", "new 12 and words"):
         assert encoder.encode(text) == whole_ids(whole, text)
+
+
+def test_scans_of_texts_hold_few_rows(spark):
+    held = spark.conf.get(tokens.READER_ROWS)
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    try:
+        for before, after in (("4096", str(tokens.SCANNED)), ("100", "100")):
+            spark.conf.set(tokens.READER_ROWS, before)
+            tokens.encoded_blocks(df, TOKENIZER)
+            assert spark.conf.get(tokens.READER_ROWS) == after
+    finally:
+        spark.conf.set(tokens.READER_ROWS, held)
