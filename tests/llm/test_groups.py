@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from threadwise.llm import simhash, substring
+from threadwise.llm import components, simhash, substring
 from threadwise.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -59,6 +59,16 @@ def test_components(spark, edges):
         assert (got[a] == got[b]) == (want[a] == want[b])
 
 
+def test_components_leave_no_tables_with_the_driver(spark, monkeypatch):
+    plans = []
+    stored = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, name))[1])
+    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")).collect()
+    assert len({r["root"] for r in got}) == 1 and len(got) == 61
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_fingerprint_is_the_majority_of_hashes():
     rng = random.Random(1)
     for text in (None, "", " \t\n", "one", "one two", "ONE Two three", "É é x", prose(rng, 200), "a b c " * 50):

@@ -1,6 +1,7 @@
 """Language model, packing, mixing, toxicity, pipeline and the registered queries."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 from zlib import crc32
@@ -268,6 +269,21 @@ def test_pair_whose_members_are_neutral_alone():
     assert alone > 0.8 and machine.score("zebras w5") > 0.8 and both < 0.2 and none < 0.2
 
 
+def test_fit_holds_few_copies_of_the_entries():
+    rng, rows = np.random.default_rng(17), []
+    for i in range(2500):
+        found = np.unique(np.append(rng.integers(0, 3000, 600), [5000] * (i % 2)))
+        rows.append({"toxic": i % 2, "found": found.astype("<i4").tobytes()})
+    tracemalloc.start()
+    try:
+        machine = toxicity.fit(rows, toxicity.Settings(steps=2))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert machine.terms.tolist() == [5000]
+    assert peak < 12 * sum(len(r["found"]) for r in rows) + (16 << 20)  # the entries' bytes, and the blocks worked on at once
+
+
 @pytest.mark.parametrize("label", [lambda a, b: a != b, lambda a, b: a == b])
 def test_pairs_are_those_of_a_double_loop(label):
     rows = labelled(np.random.default_rng(13), 300, label, terms=30)

@@ -86,14 +86,34 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, settings: Settings) -> li
     return stored(terms, "labelled").orderBy("id").limit(settings.sample).collect()
 
 
-def shared_counts(left: tuple, right: tuple, y: np.ndarray, shape: tuple, most: int = 1 << 20) -> np.ndarray:
+#: Entries (a term of a document) that the driver works on at once.
+PART = 1 << 18
+
+
+def picked(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at], a part at a time: numpy copies 32-bit indices to 64 bits."""
+    out = np.empty(len(at), table.dtype)
+    for i in range(0, len(at), PART):
+        out[i:i + PART] = table[at[i:i + PART]]
+    return out
+
+
+def entry_sums(at: np.ndarray, size: int, doc: np.ndarray | None = None, y: np.ndarray | None = None) -> np.ndarray:
+    """Number of the entries of each term, or the sum of their documents' labels, a part at a time."""
+    out = np.zeros(size)
+    for i in range(0, len(at), PART):
+        out += np.bincount(at[i:i + PART], None if y is None else y[doc[i:i + PART]], size)
+    return out
+
+
+def shared_counts(left: tuple, right: tuple, y: np.ndarray, shape: tuple, most: int = PART) -> np.ndarray:
     """How many documents, and how many toxic ones, hold both a term of the left and one of the right.
 
     Each side is (document, term) in the order of the documents. Only terms that stand in one document are brought
     together, about `most` of them at a time.
     """
     (doc, a), (right_doc, b) = left, right
-    first = np.searchsorted(right_doc, np.arange(len(y) + 1))
+    first = np.searchsorted(right_doc, np.arange(len(y) + 1, dtype=right_doc.dtype))
     room = np.diff(first)[doc]
     ends = np.cumsum(room)
     both = np.zeros((2, shape[0] * shape[1]))
@@ -101,14 +121,14 @@ def shared_counts(left: tuple, right: tuple, y: np.ndarray, shape: tuple, most:
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         n, at = room[lo:hi], ends[lo:hi] - room[lo:hi]
         to = np.arange(n.sum()) + np.repeat(first[doc[lo:hi]] - (at - at[0]), n)
-        cell = np.repeat(a[lo:hi], n) * shape[1] + b[to]
+        cell = np.repeat(a[lo:hi].astype(np.int64), n) * shape[1] + b[to]
         both[0] += np.bincount(cell, minlength=both.shape[1])
         both[1] += np.bincount(cell[np.repeat(y[doc[lo:hi]] > 0, n)], minlength=both.shape[1])
     return both.reshape(2, *shape)
 
 
 def in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: int, deviations: float,
-             cells: int = 1 << 20) -> np.ndarray:
+             cells: int = 1 << 18) -> np.ndarray:
     """For each term: is it in a pair that tells of the label what neither of its terms tells?
 
     The documents of a pair are held against the share of toxic ones among those of its stronger term, the one further
@@ -118,7 +138,7 @@ def in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: int, deviati
     make pairs of any of their words. Terms in too few documents to pass in any pair are left out,
     and `cells` pairs are counted at a time, so memory is bounded.
     """
-    n, toxic, p = np.bincount(at, minlength=terms), np.bincount(at, y[doc], terms), y.mean()
+    n, toxic, p = entry_sums(at, terms), entry_sums(at, terms, doc, y), y.mean()
     z = np.abs(toxic - n * p) / np.sqrt(n * p * (1 - p) + 1)
     limit = float(np.sqrt(deviations ** 2 + 4 * np.log(max(2, (n > 1).sum()))))
     reach = lambda count, q: count * (1 - q) / np.sqrt(count * p * (1 - p) + 1) >= limit
@@ -128,10 +148,10 @@ def in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, terms: int, deviati
     found = np.zeros(len(n), bool)
 
     def side(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        column = np.full(len(n), -1)
-        column[chosen] = np.arange(len(chosen))
-        here = column[at] >= 0
-        return doc[here], column[at[here]]
+        column, among = np.zeros(len(n), np.int32), np.zeros(len(n), bool)
+        column[chosen], among[chosen] = np.arange(len(chosen)), True
+        here = picked(among, at)
+        return doc[here], picked(column, at[here])
 
     def pairs(left: np.ndarray, right: np.ndarray, either_way: bool) -> None:
         rights, block = side(right), max(1, cells // max(1, len(right)))
@@ -177,16 +197,19 @@ def fit(rows: list, settings: Settings = Settings()) -> Machine:
     if not len(y) or y.min() == y.max():
         return Machine(settings.buckets, min(bias, -1.0) if not y.any() else bias, empty, empty * 1.0, np.zeros((0, 1)))
     found = [np.frombuffer(r["found"], "<i4") for r in rows]
-    terms, at = np.unique(np.concatenate(found), return_inverse=True)
-    doc = np.repeat(np.arange(len(y)), [len(f) for f in found])
-    n, toxic, p = np.bincount(at), np.bincount(at, y[doc]), y.mean()
+    terms, at = np.unique(np.concatenate(found)), np.concatenate(found)
+    ends = np.cumsum([len(f) for f in found])
+    for lo, hi in zip(ends - [len(f) for f in found], ends):
+        at[lo:hi] = np.searchsorted(terms, at[lo:hi])  # the term's number in the bucket's place
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in found])
+    n, toxic, p = entry_sums(at, len(terms)), entry_sums(at, len(terms), doc, y), y.mean()
     keep = np.abs(toxic - n * p) / np.sqrt(n * p * (1 - p) + 1) >= settings.deviations
     seen: dict = {}
-    once = np.array([seen.setdefault((f.tobytes(), t), i) == i for i, (f, t) in enumerate(zip(found, y))])
-    number = np.cumsum(once) - 1
-    keep |= in_pairs(number[doc[once[doc]]], at[once[doc]], y[once], len(terms), settings.deviations)
-    column = np.cumsum(keep) - 1
-    doc, at, terms = doc[keep[at]], column[at[keep[at]]], terms[keep].astype(np.int64)
+    once = np.array([seen.setdefault((bytes(r["found"]), t), i) == i for i, (r, t) in enumerate(zip(rows, y))])
+    number, first = np.cumsum(once, dtype=np.int32) - 1, picked(once, doc)
+    keep |= in_pairs(picked(number, doc[first]), at[first], y[once], len(terms), settings.deviations)
+    kept = picked(keep, at)
+    doc, at, terms = doc[kept].astype(np.int64), (np.cumsum(keep) - 1)[at[kept]], terms[keep].astype(np.int64)
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
 
