@@ -69,6 +69,24 @@ def test_components_leave_no_tables_with_the_driver(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+@pytest.mark.parametrize("task_edges, most", [(5000, 1), (40, 7), (0, 1000)])
+def test_components_shuffle_only_many_edges(spark, monkeypatch, task_edges, most):
+    """Rounds of few edges shuffle nothing, whatever the session's partitions; the roots are the same."""
+    plans = []
+    stored = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, name))[1])
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)]
+    edges += [(7919 * i, -104729 * i) for i in range(1000, 4000)]  # enough to make the joins seem large
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), task_edges).collect()
+    assert len(plans) > 4 and 0 < sum("Exchange" in p for p in plans) <= most
+    want = find_roots({n for e in edges for n in e}, edges)
+    assert {r["node"] for r in got} == set(want)
+    assert len({(r["root"], want[r["node"]]) for r in got}) == len(set(want.values())) == 3002
+    whole = connected_components(spark.createDataFrame(edges, "a long, b long"), 0).collect()
+    assert sorted(got) == sorted(whole)
+
+
 def test_fingerprint_is_the_majority_of_hashes():
     rng = random.Random(1)
     for text in (None, "", " \t\n", "one", "one two", "ONE Two three", "É é x", prose(rng, 200), "a b c " * 50):
